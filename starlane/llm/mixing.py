@@ -102,7 +102,7 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[in
 
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each document as many times as it is taken, with the columns of docs."""
-    columns = docs.columns
-    mixed = mix(docs, **how).withColumn("__copies", F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int"))
-    return mixed.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*columns)
+    """The mix itself: each document as many times as it is taken, with all columns of docs as they are."""
+    mixed = mix(docs.select("doc_id", "source", "text", F.struct("*").alias("__row")), **how)
+    copies = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
+    return mixed.withColumn("__copies", copies).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select("__row.*")

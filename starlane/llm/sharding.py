@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from starlane.llm.common import materialize
 
-SHARDS, VNODES, SLACK = 16, 1024, 0.002
+SHARDS, VNODES, SLACK = 16, 1024, 0.0005
 CELL_BITS, SPLITS, HOT_PART = 16, 256, 8
 
 
