@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from starlane.plans import cohorts, cubes, hosts  # noqa: F401  (register)
+from starlane.plans import cohorts, collectors, cubes, graphs, hosts  # noqa: F401  (register)
 from starlane.plans.registry import QUERIES, SQL
 
 

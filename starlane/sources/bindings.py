@@ -81,7 +81,10 @@ def as_sql(text: str) -> str:
     body = plain(text).strip()
     if not ctes:
         return body
-    return f"WITH {', '.join(ctes)}{', ' + body[5:] if body[:5].upper() == 'WITH ' else ' ' + body}"
+    for word in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(word):
+            return f"{word}{', '.join(ctes)}, {body.removeprefix(word)}"
+    return f"WITH {', '.join(ctes)} {body}"
 
 
 class Tables:
