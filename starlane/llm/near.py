@@ -9,7 +9,8 @@ of shingles is the order of their hashes. It is cut into fragments, in three pla
    count; a set with so many of them that the rest might not suffice emits them as well.)
 2. Candidates. Over the documents that are left shingles are ordered by how rare they are, and only documents that share one of the
    rarest (1 - t) n + 1 shingles, under bounds on sizes, places and unshared shingles, become candidates. First each document is
-   compared with the one that it shares most of them with; then those pairs that still lie in different components.
+   compared with the one that it shares most of them with. What then lies in different components is compared with the first
+   document of each shared shingle, its pivot, and only those pairs whose differences from their pivot agree enough are left.
 3. Overlaps. Each candidate pair's overlap is counted in each of FRAGMENTS fragments separately and summed.
 
 Equal sets are one class throughout: copies meet only in a count, and are never paired. Classes are told apart by a fingerprint of
@@ -244,6 +245,41 @@ def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     return whole.where((100 + percent) * F.col("overlap") >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
+def _differences(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+    """pairs (a, b) -> a, b, n_a, n_b, delta: the shingles that one of them has and the other has not, fragment by fragment."""
+    either = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
+    left = segments.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), "fragment", F.col("segment").alias("s_a"))
+    right = segments.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), "fragment", F.col("segment").alias("s_b"))
+    both = either.join(left, ["a", "fragment"], "left").join(right, ["b", "fragment"], "left")
+    x, y = (F.coalesce(c, F.array().cast("array<bigint>")) for c in ("s_a", "s_b"))
+    part = both.select("a", "b", "n_a", "n_b", F.concat(F.array_except(x, y), F.array_except(y, x)).alias("part"))
+    return part.groupBy("a", "b").agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.flatten(F.collect_list("part")).alias("delta"))
+
+
+def _unlike_pivot(apart: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that share a pivot, lie in different components, and may still be linked.
+
+    Seen from the pivot h, a set x is its difference Dx from h, and x differs from y by |Dx| + |Dy| - 2 |Dx & Dy| shingles. That is
+    few enough without a shared difference only if both are linked to h, and then they lie in one component. Every other linked
+    pair shares at least (|Dx| + |Dy| - allowed) / 2 differences; a rarity order, a prefix and bounds on what can be shared at all
+    leave few pairs, however many near copies surround a pivot.
+    """
+    rooted = apart.select(F.col("a").alias("cls"), F.col("b").alias("h"), F.col("n_a").alias("n"), "delta").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    rooted = rooted.withColumn("d", F.size("delta").cast("long"))
+    each = rooted.select("h", "cls", F.explode("delta").alias("x"))
+    shared = each.groupBy("h", "x").agg(F.count("*").alias("df")).where("df > 1")
+    lists = each.join(shared, ["h", "x"]).groupBy("h", "cls").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("xs"))
+    most = F.expr(f"(n + n * 100 div {percent}) * {100 - percent} div {100 + percent}")
+    rows = rooted.drop("delta").join(lists, ["h", "cls"]).withColumns({"s": F.size("xs").cast("long"), "least": F.greatest(F.lit(1), F.col("d") - most)})
+    rows = rows.where("s >= least").select("h", "cls", "root", "n", "d", "s", F.posexplode(F.expr("slice(xs, 1, cast(s - least + 1 as int))")).alias("i", "e")).select("h", F.col("e.x").alias("x"), "cls", "root", "n", "d", "s", "i")
+    a, b = rows.alias("p"), rows.alias("q")
+    c = lambda x, k: F.col(f"{x}.{k}")
+    can = 1 + F.least(c("p", "i"), c("q", "i")) + F.least(c("p", "s") - c("p", "i"), c("q", "s") - c("q", "i")) - 1
+    enough = (100 + percent) * (c("p", "d") + c("q", "d") - 2 * can) <= (100 - percent) * (c("p", "n") + c("q", "n"))
+    found = a.join(b, (c("p", "h") == c("q", "h")) & (c("p", "x") == c("q", "x")) & (c("p", "cls") < c("q", "cls")) & (c("p", "root") != c("q", "root")) & enough)
+    return found.select(c("p", "cls").alias("a"), c("q", "cls").alias("b")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """links (a, b) -> (node, root): smallest labels spread along links and jump to their own label's label, until none changes."""
     both = materialize(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
@@ -264,7 +300,8 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFr
     same = Window.partitionBy("sig")
     able = emitted.withColumns({"lo": F.min("cls").over(same), "hi": F.max("cls").over(same)}).where("lo <> hi").select("cls").distinct()
     able = materialize(able, "near-able")
-    texts = _once_a_task(docs, words).join(able, "cls", "left_semi").groupBy("cls").agg(F.first("text").alias("text"))
+    # The list grows with the input, so it is not sent to every task, at any size.
+    texts = _once_a_task(docs, words).join(able.hint("merge"), "cls", "left_semi").groupBy("cls").agg(F.first("text").alias("text"))
     segments = materialize(_segments(texts, words), "near-segments")
     buckets = materialize(_buckets(segments, percent), "near-buckets")
 
@@ -275,14 +312,19 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFr
     linked = materialize(_verified(first, segments, percent), "near-links")
     roots = components(linked)
 
-    rooted = buckets.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    rooted = buckets.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     rooted = materialize(rooted, "near-rooted")
     mixed = rooted.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tok")
     left = rooted.join(mixed, "tok")
-    apart = left.alias("x").join(left.alias("y"), (F.col("x.tok") == F.col("y.tok")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root")) & _overlap_bound("x", "y", percent))
-    rest = apart.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
-    done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = materialize(rest.join(done, ["a", "b"], "left_anti"), "near-rest")
+    pivots = left.groupBy("tok").agg(F.min(F.struct("u", "cls"))["cls"].alias("pivot"))
+    pairs = left.join(pivots, "tok").where("cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct()
+    apart = materialize(_differences(pairs, segments), "near-differences")
+    if apart.isEmpty():
+        return roots
+    near = apart.where((100 + percent) * F.size("delta") <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    linked = materialize(linked.unionByName(near), "near-links")
+    roots = components(linked)
+    rest = materialize(_unlike_pivot(apart, roots, percent), "near-rest")
     if rest.isEmpty():
         return roots
     return components(linked.unionByName(_verified(rest, segments, percent)))
