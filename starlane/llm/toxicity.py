@@ -1,6 +1,6 @@
 r"""Toxicity by a linear-chain conditional random field over words.
 
-The field tags each word as offending or not. Its features are the word, its first three to six letters and its last three, hashed;
+The field tags each word as offending or not. Its features are the word and its first four to six letters, hashed;
 its transitions tie neighbours. It is trained on labelled tokens: in documents marked toxic, words that have a feature seen far more
 often in toxic than in other documents. Forward-backward gives each word's marginal; the largest marginal and the (log of the) sum
 of marginals give the document's score through a logistic function fitted to the documents' labels, and words with a marginal of
@@ -39,7 +39,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def features(word: str) -> list[int]:
-    parts = [f"w{word}", f"e{word[-3:]}", *(f"{k}{word[:k]}" for k in range(3, 7) if len(word) >= k)]
+    parts = [f"w{word}", *(f"{k}{word[:k]}" for k in range(4, 7) if len(word) >= k)]
     return [zlib.crc32(p.encode()) % HASH for p in parts]
 
 
