@@ -41,9 +41,9 @@ MANIFEST = "path string, records long, bytes long"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def digest(payload: Column) -> Column:
-    """Bare base-32 SHA-1, in column functions: 160 bits are eight groups of 20, which are four characters each."""
-    group = lambda i: F.conv(F.substring(F.sha1(payload), i * 5 + 1, F.lit(5)), 16, 10).cast("int")
+def base32(sha1: Column) -> Column:
+    """A SHA-1 in hex -> bare base 32, in column functions: 160 bits are eight groups of 20, which are four characters each."""
+    group = lambda i: F.conv(F.substring(sha1, i * 5 + 1, F.lit(5)), 16, 10).cast("int")
     letter = lambda v, k: F.substring(F.lit(BASE32), F.shiftright(v, k).bitwiseAND(F.lit(31)) + 1, F.lit(1))
     return F.concat(*(letter(group(F.lit(i)), k) for i in range(8) for k in (15, 10, 5, 0)))
 
@@ -202,7 +202,9 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0)
     spark = pages.sparkSession
     folder = folder or f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}"
     html = F.coalesce("html", F.lit(""))
-    known = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html")).withColumns({"payload_bytes": F.octet_length("html").cast("long"), "payload_digest": digest(F.col("html"))})
+    known = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"))
+    # The hash stands in a projection of its own, so that its 32 characters do not each compute it.
+    known = known.withColumns({"payload_bytes": F.octet_length("html").cast("long"), "sha1": F.sha1("html")}).withColumn("payload_digest", base32(F.col("sha1"))).drop("sha1")
     heads = known.select("payload_digest", "page_id").groupBy("payload_digest").agg(F.max("page_id").alias("head"))
     revisit = (F.col("payload_bytes") >= least) & F.col("head").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("head"))
     rows = known.join(heads, "payload_digest").withColumn("revisit", revisit)
