@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from starlane.plans import cohorts, collectors, cubes, graphs, hosts  # noqa: F401  (register)
 from starlane.plans.registry import QUERIES, SQL
+from starlane.streaming import folds
+
+folds.register()
 
 
 def queries() -> dict:

@@ -291,3 +291,20 @@ def stratified_negatives(t: Tables) -> DataFrame:
 @query("wn01_latest_per_cluster", "SELECT cluster, max(node) AS node FROM {vectors} GROUP BY 1")
 def latest_per_cluster(t: Tables) -> DataFrame:
     return latest_per_key(t.vectors.select("cluster", "node"), ["cluster"], [F.desc("node")])
+
+
+@query("gm16_kmeans_clusters")
+def kmeans_clusters(t: Tables) -> DataFrame:
+    """Clusters found again from the vectors; not reproducible in SQL, so tests ask that they agree with the given ones."""
+    from starlane.operators.learn import clusters
+
+    return clusters(t.vectors, "embedding", 10).select("node", "cluster", "assigned")
+
+
+@query("gm24_linear_probe")
+def linear_probe(t: Tables) -> DataFrame:
+    """A balanced logistic probe of the vectors for the labels; tests ask that it separates them on the rows it saw."""
+    from starlane.operators import learn
+
+    rows = t.vectors.join(t.node_labels.select("node", F.col("bad").cast("int").alias("bad")), "node")
+    return learn.linear_probe(rows, "embedding", "bad").select("node", "bad", round_to(F.col("probability"), 6).alias("probability"))
