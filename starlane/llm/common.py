@@ -28,14 +28,33 @@ def scratch_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Folders that materialize() has written in this process, in order.
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """For release(): what is written from here on."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int) -> None:
+    """Deletes what materialize() wrote since a mark, but for the last; only for a caller that has used up all but that one."""
+    jvm = spark.sparkContext._jvm
+    for path in _written[since:-1]:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    del _written[since:-1]
+
+
 def plain_words(text: Column) -> Column:
     """Runs of anything but ASCII white space; no word for null."""
     return F.coalesce(F.array_remove(F.split(text, SPACE), ""), F.array().cast("array<string>"))
