@@ -1,12 +1,12 @@
 r"""N-gram Jaccard join by vertical partitioning.
 
 A document's set holds the hashes of its distinct shingles (runs of `words` words; a shorter text is one shingle). The global order
-of shingles is the order of their hashes. It is cut into fragments, in three places:
+of shingles is the order of their hashes. It is cut into fragments, in two of three steps:
 
 1. Filter. Documents are classed by set size. In each class the order is cut into F fragments, one more than the largest number of
-   shingles by which two linked sets of that class can differ. So linked sets agree in all of at least one fragment, and a hash for
-   each fragment, with its class, is enough to find every document that can have a link at all. (Fragments that are empty do not
-   count; a set with so many of them that the rest might not suffice emits them as well.)
+   shingles by which two linked sets of that class can differ, and a sixth more. So linked sets agree in all of a known number of
+   fragments, and a document stays only if that many of its fragments (by a hash of each, with the class) stand in other documents
+   too. (Empty fragments do not count; a set with so many of them that the rest might not suffice emits them as well.)
 2. Candidates. Over the documents that are left shingles are ordered by how rare they are, and only documents that share one of the
    rarest (1 - t) n + 1 shingles, under bounds on sizes, places and unshared shingles, become candidates. First each document is
    compared with the one that it shares most of them with. What then lies in different components is compared with the first
@@ -38,6 +38,8 @@ WORDS, PERCENT = 3, 90
 FRAGMENTS = 8
 #: Sizes in a class differ by this factor at most; it must be more than 100 / percent.
 CLASS_RATIO = 1.4
+#: Classes are told apart by this many values in the low bits of a signature (neighbours never fall together).
+CLASSES = 64
 BLOCK = 1 << 20
 
 _SPACE = np.zeros(256, bool)
@@ -116,8 +118,12 @@ def most_different(n: int, largest: int, percent: int) -> int:
     return (n + min(largest, n * 100 // percent)) * (100 - percent) // (100 + percent)
 
 
-def signatures(s: np.ndarray, percent: int) -> np.ndarray:
-    """A hash for each fragment of the set, in its own size class and in the next if a linked set may lie there."""
+def signatures(s: np.ndarray, percent: int) -> list[tuple[int, np.ndarray, int]]:
+    """(class, hashes of the set's fragments, how many of them it shares with any set it is linked to), in its own size class and in the next if a linked set may lie there.
+
+    The class stands in the low bits of each hash. There are more fragments than a linked set can differ in, so some must agree; that
+    many, less the empty ones, is what a document must share with others to stay.
+    """
     number, _, high = size_class(s.size)
     classes = [(number, high)]
     if 100 * s.size >= percent * (high + 1):
@@ -126,16 +132,19 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     out = []
     for number, high in classes:
         different = most_different(high, high, percent)
-        count = different + 1 + (1 + different // 32 if different else 0)
+        count = different + 1 + (1 + different // 6 if different else 0)
         f = ((s >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
         begin = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1])))
         f, sums = f[begin], np.add.reduceat(_mix(s), begin)
-        if count - begin.size > count - most_different(s.size, high, percent) - 1:
+        agree = count - most_different(s.size, high, percent)
+        need = agree - (count - begin.size)
+        if need < 1:
             every = np.zeros(count, np.uint64)
             every[f.astype(np.int64)] = sums
-            f, sums = np.arange(count, dtype=np.uint64), every
-        out.append(_mix(sums ^ _mix(f + np.uint64((number + 1) << 32))))
-    return np.concatenate(out)
+            f, sums, need = np.arange(count, dtype=np.uint64), every, agree
+        hashes = _mix(sums ^ _mix(f + np.uint64((number + 1) << 32)))
+        out.append((number % CLASSES, hashes & np.uint64(2**64 - CLASSES) | np.uint64(number % CLASSES), need))
+    return out
 
 
 def _texts(batches: Iterator[pa.RecordBatch], words: int, once: bool) -> Iterator[tuple[int | None, bytes, np.ndarray, int]]:
@@ -178,7 +187,7 @@ def _emitted(docs: DataFrame, words: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, names, held = [], [], 0
         for _, _, s, name in _texts(batches, words, True):
-            sigs.append(signatures(s, percent))
+            sigs.append(np.concatenate([h for _, h, _ in signatures(s, percent)]))
             names.append(np.full(sigs[-1].size, name, np.int64))
             held += sigs[-1].size
             if held > 100_000:
@@ -190,13 +199,31 @@ def _emitted(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "sig long, cls long")
 
 
-def _once_a_task(docs: DataFrame, words: int) -> DataFrame:
-    schema = pa.schema([("cls", pa.int64()), ("text", pa.string())])
+def _once_a_task(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """cls, its size class, what it must share in that class and in the next (null: nothing lies there), and the text."""
+    schema = pa.schema([("cls", pa.int64()), ("c", pa.int32()), ("need", pa.int32()), ("need_next", pa.int32()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _batched(((name, text.decode()) for _, text, _, name in _texts(batches, words, True)), schema, 200)
+        def rows() -> Iterator[tuple]:
+            for _, text, s, name in _texts(batches, words, True):
+                found = signatures(s, percent)
+                yield name, found[0][0], found[0][2], found[1][2] if len(found) > 1 else None, text.decode()
+
+        yield from _batched(rows(), schema, 200)
 
-    return docs.select("text").mapInArrow(run, "cls long, text string")
+    return docs.select("text").mapInArrow(run, "cls long, c int, need int, need_next int, text string")
+
+
+def _linkable(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """cls, text of the classes that share as many fragments with others as a link takes."""
+    same = Window.partitionBy("sig")
+    shared = _emitted(docs, words, percent).withColumns({"lo": F.min("cls").over(same), "hi": F.max("cls").over(same)}).where("lo <> hi")
+    counts = shared.groupBy("cls", F.pmod("sig", F.lit(CLASSES)).cast("int").alias("c")).agg(F.count("*").cast("int").alias("n"))
+    able = materialize(counts.groupBy("cls").agg(F.map_from_entries(F.collect_list(F.struct("c", "n"))).alias("shared")), "near-able")
+    in_class = lambda c, need: F.coalesce(F.try_element_at("shared", c) >= need, F.lit(False))
+    # The list grows with the input, so it is not sent to every task, at any size.
+    texts = _once_a_task(docs, words, percent).join(able.hint("merge"), "cls").where(in_class(F.col("c"), F.col("need")) | in_class(F.pmod(F.col("c") + 1, F.lit(CLASSES)), F.col("need_next")))
+    return texts.groupBy("cls").agg(F.first("text").alias("text"))
 
 
 def _segments(texts: DataFrame, words: int) -> DataFrame:
@@ -296,13 +323,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(node, root) of every class of equal sets that is linked to another."""
-    emitted = _emitted(docs, words, percent)
-    same = Window.partitionBy("sig")
-    able = emitted.withColumns({"lo": F.min("cls").over(same), "hi": F.max("cls").over(same)}).where("lo <> hi").select("cls").distinct()
-    able = materialize(able, "near-able")
-    # The list grows with the input, so it is not sent to every task, at any size.
-    texts = _once_a_task(docs, words).join(able.hint("merge"), "cls", "left_semi").groupBy("cls").agg(F.first("text").alias("text"))
-    segments = materialize(_segments(texts, words), "near-segments")
+    segments = materialize(_segments(_linkable(docs, words, percent), words), "near-segments")
     buckets = materialize(_buckets(segments, percent), "near-buckets")
 
     head = buckets.groupBy("tok").agg(F.min(F.struct("u", "cls", "n", "i")).alias("h")).select("tok", "h.*")
