@@ -32,7 +32,9 @@ from starlane.llm.language import held_out
 SAMPLE = (3000, 1500)
 HASH = 1 << 16
 PIECE, LEAST, LIFT = 64, 3, 20.0
-CACHE = 300_000
+CACHE = 100_000
+#: Bytes of text that a task holds as words at a time.
+HELD = 4 << 20
 _SPAN = T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])
 RESULT = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("offsets", T.ArrayType(_SPAN))]
 _WORD = re.compile(r"[^\W\d_]+")
@@ -94,7 +96,7 @@ class Field:
         order = sorted((i for i, s in enumerate(scores) if s.size), key=lambda i: scores[i].size)
         while order:
             longest = scores[order[-1]].size
-            take = max(1, min(len(order), 2_000_000 // longest, 512))
+            take = max(1, min(len(order), 500_000 // longest, 512))
             block, order = order[-take:], order[:-take]
             u = np.full((len(block), longest), -30.0)
             sizes = np.array([scores[i].size for i in block])
@@ -220,10 +222,23 @@ def _spans(text: str, p: np.ndarray) -> list[dict]:
     return [{"first": a, "last": b} for a, b in out]
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of batches of about HELD bytes of text, so that memory does not follow the number of rows in a batch."""
+    for batch in batches:
+        first = held = 0
+        for i, value in enumerate(batch.column("text")):
+            held += len(value.as_buffer()) if value.is_valid else 0
+            if held >= HELD:
+                yield batch.slice(first, i + 1 - first)
+                first, held = i + 1, 0
+        if first < batch.num_rows:
+            yield batch.slice(first)
+
+
 def _scorer(field: Field):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-        for batch in batches:
+        for batch in _pieces(batches):
             column = batch.column("text")
             scores = [field.scores(tokens(v.as_py())) if v.is_valid else np.zeros(0) for v in column]
             found = field.marginals(scores)
@@ -245,7 +260,7 @@ def keep_clean(docs: DataFrame, field: Field) -> DataFrame:
     """docs, all columns as they are, without those predicted to be toxic."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             found = field.marginals([field.scores(tokens(v.as_py())) if v.is_valid else np.zeros(0) for v in batch.column("text")])
             yield batch.filter(pa.array([field.document(p) < 0.5 for p in found], pa.bool_()))
 
