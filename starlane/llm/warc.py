@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starlane.llm.common import materialize, scratch_dir
@@ -33,21 +33,13 @@ from starlane.llm.common import materialize, scratch_dir
 CHUNK = 1 << 16
 #: An archive is closed once it has this many bytes.
 ARCHIVE_BYTES = 1 << 28
-#: The alphabet of RFC 4648 base 32, and the profile of WARC 1.1 revisits: fixed values.
-BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: The profile of WARC 1.1 revisits: a fixed value.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 MANIFEST = "path string, records long, bytes long"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def base32(sha1: Column) -> Column:
-    """A SHA-1 in hex -> bare base 32, in column functions: 160 bits are eight groups of 20, which are four characters each."""
-    group = lambda i: F.conv(F.substring(sha1, i * 5 + 1, F.lit(5)), 16, 10).cast("int")
-    letter = lambda v, k: F.substring(F.lit(BASE32), F.shiftright(v, k).bitwiseAND(F.lit(31)) + 1, F.lit(1))
-    return F.concat(*(letter(group(F.lit(i)), k) for i in range(8) for k in (15, 10, 5, 0)))
-
-
 def _sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
@@ -197,15 +189,28 @@ def _writer(folder: str):
     return write
 
 
+def _digested(keep: bool):
+    """Adds the payload's length and digest; without keep the rest but page_id is left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            payloads = [v.as_buffer() for v in batch.column("html")]
+            names = batch.schema.names if keep else ["page_id"]
+            columns = [batch.column(n) for n in names]
+            sizes, digests = pa.array([len(x) for x in payloads], pa.int64()), pa.array([_sha1(x) for x in payloads], pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, sizes, digests], [*names, "payload_bytes", "payload_digest"])
+
+    return run
+
+
 def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0) -> DataFrame:
     """Writes all pages; the manifest (path, records, bytes) of the archives. folder: one that all executors can write to."""
     spark = pages.sparkSession
     folder = folder or f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}"
-    html = F.coalesce("html", F.lit(""))
-    known = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"))
-    # The hash stands in a projection of its own, so that its 32 characters do not each compute it.
-    known = known.withColumns({"payload_bytes": F.octet_length("html").cast("long"), "sha1": F.sha1("html")}).withColumn("payload_digest", base32(F.col("sha1"))).drop("sha1")
-    heads = known.select("payload_digest", "page_id").groupBy("payload_digest").agg(F.max("page_id").alias("head"))
+    plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    known = plain.mapInArrow(_digested(True), "page_id long, url string, html string, payload_bytes long, payload_digest string")
+    heads = plain.select("page_id", "html").mapInArrow(_digested(False), "page_id long, payload_bytes long, payload_digest string")
+    heads = heads.groupBy("payload_digest").agg(F.max("page_id").alias("head"))
     revisit = (F.col("payload_bytes") >= least) & F.col("head").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("head"))
     rows = known.join(heads, "payload_digest").withColumn("revisit", revisit)
     rows = rows.select("page_id", "url", F.when(~revisit, F.col("html")).alias("html"), "payload_bytes", "payload_digest", F.when(revisit, F.col("head")).alias("refers_to"), "revisit")
