@@ -110,23 +110,21 @@ class Field:
     def train(self, pieces: list[tuple[list[str], np.ndarray]], epochs: int = 6, rate: float = 0.2, batch: int = 128) -> None:
         """Largest conditional likelihood by AdaGrad; a piece is (words, labels)."""
         rng, seen, seen_t, seen_b = np.random.default_rng(11), np.full(HASH, 1e-6), np.full((2, 2), 1e-6), 1e-6
-        cached = {w: features(w) for words, _ in pieces for w in words}
+        cached = {w: np.array(features(w)) for words, _ in pieces for w in words}
+        flat = [np.concatenate([cached[w] for w in words]) for words, _ in pieces]
+        many = [np.array([cached[w].size for w in words]) for words, _ in pieces]
         for _ in range(epochs):
             for block in np.array_split(rng.permutation(len(pieces)), max(1, len(pieces) // batch)):
                 sizes = np.array([len(pieces[i][0]) for i in block])
                 steps = int(sizes.max())
+                mask = np.arange(steps) < sizes[:, None]
+                ids, counts = np.concatenate([flat[i] for i in block]), np.concatenate([many[i] for i in block])
                 u, y = np.full((len(block), steps), -30.0), np.zeros((len(block), steps))
-                at = [[cached[w] for w in pieces[i][0]] for i in block]
-                for row, i in enumerate(block):
-                    u[row, : sizes[row]] = [self.bias + self.weights[f].sum() for f in at[row]]
-                    y[row, : sizes[row]] = pieces[i][1]
+                u[mask] = self.bias + np.add.reduceat(self.weights[ids], np.cumsum(counts) - counts)
+                y[mask] = np.concatenate([pieces[i][1] for i in block])
                 fore, back, p, e = forward_backward(u, sizes, self.trans)
-                mask = np.arange(steps) < sizes[:, None]
                 d = (y - p) * mask
-                g = np.zeros(HASH)
-                flat = [(f, d[row, t]) for row, fs in enumerate(at) for t, f in enumerate(fs) if abs(d[row, t]) > 1e-4]
-                if flat:
-                    np.add.at(g, np.concatenate([f for f, _ in flat]), np.repeat([x for _, x in flat], [len(f) for f, _ in flat]))
+                g = np.bincount(ids, np.repeat(d[mask], counts), HASH)
                 m, gt, pair = np.exp(self.trans), np.zeros((2, 2)), mask[:, 1:]
                 fs, bs = (1 - fore[:, :-1], fore[:, :-1]), (1 - back[:, 1:], back[:, 1:] * e[:, 1:])
                 xi = np.array([[fs[i] * m[i, j] * bs[j] for j in (0, 1)] for i in (0, 1)])
