@@ -18,7 +18,7 @@ NEW_BUCKET, NEW_DAYS = "0. new accounts", 14
 
 # Patterns of host URLs that are not public hosts.
 JUNK = (
-    "%localhost%", "%127.0.0.1%", "%0.0.0.0%", "%192.168.%", "%10.0.%", "%172.16.%", "%ngrok%", "%.surge.sh%", "%plc.surge.sh%", "%.uwu%", "%uwu.%",
+    "%localhost%", "%127.0.0.1%", "%0.0.0.0%", "%192.168.%", "%10.0.%", "%172.16.%", "%ngrok%", "%.surge.sh%", "%.uwu%", "%uwu.%",
     "%.test", "%.test/%", "%.test:%", "%//example.%", "%.example", "%.example/%", "%.example:%", "%.invalid", "%.invalid/%", "%.local", "%.local/%", "%.local:%",
     "%.internal", "%.internal/%", "%.internal:%", "%.lan", "%.lan/%", "%.lan:%", "%.home", "%.home/%", "%.home:%",
 )
