@@ -4,9 +4,9 @@ Turns are marked <|im_start|>role\n ... <|im_end|>\n. Inside texts a backslash i
 hold a control string, and the escape is undone exactly; in roles a line feed becomes "\n" as well.
 
 Every assistant turn is an example of its own: all turns before it are its context, and only its text is trainable. The turns are
-laid out once, end to end, as segments of their conversation; an example is the prefix of that layout up to the end of its turn,
-with the loss on [loss_start, loss_end). So n examples of a conversation take n rows, not n copies of its text; `rendered` joins
-them into whole texts for a trainer that wants those.
+laid out end to end; an example's text is the prefix of that layout up to the end of its turn, with the loss on [loss_start,
+loss_end) of that text. `expanded` makes the examples whole, each with its own copy of the context, so its text grows with the
+square of a conversation's length. `read_back` writes them and takes its digests from the files.
 
 Nulls, ties and the like: a null text or role is empty; a null conv_id is a conversation; a null turn comes first; equal turn
 numbers stand by role, then text; a conversation without assistant turns has no example and an empty loss; an empty table gives an
@@ -18,16 +18,24 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from starlane.llm.common import materialize
+
 START, END = "<|im_start|>", "<|im_end|>\n"
 TRAINED = "assistant"
-_SEGMENT = re.compile(r"<\|im_start\|>([^\n]*)\n(.*)<\|im_end\|>\n", re.S)
+_TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*)", re.S)
 _ESCAPED = re.compile(r"\\(.)", re.S)
+EXAMPLE = "conv_id long, example long, context string, reply string, loss_start long, loss_end long"
+_READ = "conv_id long, example long, n long, chars long, said string, loss string, before string, after string"
 BACK = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long, example_chars long"
+#: A batch that a task gives out has so many rows or characters at most.
+ROWS, HELD = 5000, 4 << 20
 
 
 def escape(text: Column, line: bool = False) -> Column:
@@ -56,62 +64,131 @@ def examples(laid: DataFrame) -> DataFrame:
     return laid.where("example is not null").select("conv_id", "example", F.col("begin").alias("context_end"), "end", "loss_start", "loss_end")
 
 
-def rendered(laid: DataFrame) -> DataFrame:
-    """Whole examples: conv_id, example, context, reply. Its output grows with the square of a conversation's length, as the expansion does."""
-    targets = laid.where("example is not null").select("conv_id", "example", F.col("place").alias("upto"), F.col("segment").alias("reply"))
-    context = targets.join(laid.select("conv_id", "place", "segment"), "conv_id").where("place < upto").groupBy("conv_id", "example")
-    context = context.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "segment"))), lambda x: x["segment"]), "").alias("context"))
-    return targets.join(context, ["conv_id", "example"], "left").select("conv_id", "example", F.coalesce("context", F.lit("")).alias("context"), "reply")
-
+def expanded(laid: DataFrame) -> DataFrame:
+    """Whole examples: conv_id, example, context, reply, loss_start, loss_end (in context and reply as one text).
 
-class _Conversation:
-    def __init__(self, conv_id: int | None):
-        self.conv_id, self.turns, self.chars, self.loss_chars, self.n_examples, self.example_chars = conv_id, 0, 0, 0, 0, 0
-        self.all, self.loss = hashlib.sha256(), hashlib.sha256()
+    Where turns follow the last reply, a row without example and reply has the whole conversation as its context.
+    """
+    rows = laid.select("conv_id", "place", "segment", "example", "loss_start", "loss_end")
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "place").mapInArrow(_expand, EXAMPLE)
 
-    def add(self, segment: str, loss_start: int | None, loss_end: int | None) -> None:
-        m = _SEGMENT.fullmatch(segment)
-        if m is None:
-            raise ValueError(f"not a turn: {segment[:80]!r}")
-        self.all.update(f"{unescape(m[1], line=True)}\n{unescape(m[2])}\n".encode())
-        if loss_start is not None:
-            text = unescape(segment[loss_start - self.chars : loss_end - self.chars])
-            self.loss.update(text.encode())
-            self.loss_chars += len(text)
-            self.n_examples += 1
-            self.example_chars += self.chars + len(segment)
-        self.turns += 1
-        self.chars += len(segment)
 
-    def row(self) -> tuple:
-        return self.conv_id, self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.n_examples, self.example_chars
+def rendered(laid: DataFrame) -> DataFrame:
+    """The examples alone: conv_id, example, context, reply."""
+    return expanded(laid).where("example is not null").select("conv_id", "example", "context", "reply")
 
 
-_NAMES = [x.split()[0] for x in BACK.split(", ")]
-_SCHEMA = pa.schema([(n, pa.string() if t.endswith("string") else pa.int64()) for n, t in zip(_NAMES, BACK.split(", "), strict=True)])
+def _columns(ddl: str) -> tuple[list[str], pa.Schema]:
+    fields = [x.split() for x in ddl.split(", ")]
+    return [n for n, _ in fields], pa.schema([(n, pa.string() if t == "string" else pa.int64()) for n, t in fields])
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The turns of a conversation come one after the other, in order; one is held at a time."""
-    current, done = None, []
-    pack = lambda: pa.RecordBatch.from_pydict(dict(zip(_NAMES, map(list, zip(*done, strict=True)), strict=True)), _SCHEMA)
-    for batch in batches:
-        for conv_id, segment, start, end in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "segment", "loss_start", "loss_end")), strict=True):
-            if current is None or current.conv_id != conv_id:
-                if current is not None:
-                    done.append(current.row())
-                current = _Conversation(conv_id)
-            current.add(segment, start, end)
-        if len(done) >= 5000:
+def _batched(rows: Iterator[tuple[tuple, int]], ddl: str) -> Iterator[pa.RecordBatch]:
+    """Rows come with their size in characters; a batch has ROWS rows or about HELD characters."""
+    names, schema = _columns(ddl)
+    done, held = [], 0
+    pack = lambda: pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*done, strict=True)), strict=True)), schema)
+    for row, size in rows:
+        done.append(row)
+        held += size
+        if len(done) >= ROWS or held >= HELD:
             yield pack()
-            done = []
-    if current is not None:
-        done.append(current.row())
+            done, held = [], 0
     if done:
         yield pack()
 
 
+def _rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+    """A row at a time: whole contexts are not made Python strings by the batch."""
+    for batch in batches:
+        columns = [batch.column(n) for n in names]
+        for i in range(batch.num_rows):
+            yield tuple(c[i].as_py() for c in columns)
+
+
+def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The turns of a conversation come one after the other, in order; its text so far is held."""
+
+    def run() -> Iterator[tuple[tuple, int]]:
+        for conv_id, turns in groupby(_rows(batches, "conv_id", "segment", "example", "loss_start", "loss_end"), itemgetter(0)):
+            text, open_ = "", []
+            for _, segment, example, start, end in turns:
+                if example is None:
+                    open_.append(segment)
+                    continue
+                text += "".join(open_)
+                open_ = []
+                yield (conv_id, example, text, segment, start, end), len(text) + len(segment)
+                text += segment
+            if open_:
+                text += "".join(open_)
+                yield (conv_id, None, text, None, None, None), len(text)
+
+    yield from _batched(run(), EXAMPLE)
+
+
+def _turns(text: str) -> Iterator[tuple[str, str, int]]:
+    """(role, text, end) of each turn; no text holds a control string, so each END ends a turn."""
+    *parts, rest = text.split(END)
+    if rest:
+        raise ValueError(f"not a turn: {rest[:80]!r}")
+    end = 0
+    for part in parts:
+        m = _TURN.fullmatch(part)
+        if m is None or "<|" in m[1] or "<|" in m[2]:
+            raise ValueError(f"not a turn: {part[:80]!r}")
+        end += len(part) + len(END)
+        yield unescape(m[1], line=True), unescape(m[2]), end
+
+
+def _sha(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's whole text, by itself: its turns, its loss, and digests by which the next row's context must go on."""
+
+    def run() -> Iterator[tuple[tuple, int]]:
+        for conv_id, example, context, reply, start, end in _rows(batches, "conv_id", "example", "context", "reply", "loss_start", "loss_end"):
+            said, n, upto, loss = hashlib.sha256(), 0, 0, None
+            for role, text, at in _turns(context):
+                said.update(f"{role}\n{text}\n".encode())
+                n, upto = n + 1, at if role == TRAINED else upto
+            if reply is not None:
+                ((role, text, _),) = _turns(reply)
+                loss = unescape(reply[start - len(context) : end - len(context)])
+                if role != TRAINED or loss != text:
+                    raise ValueError(f"the loss is not the reply: {reply[:80]!r}")
+                said.update(f"{role}\n{text}\n".encode())
+                n += 1
+            whole = context + (reply or "")
+            yield (conv_id, example, n, len(whole), said.hexdigest(), loss, _sha(whole[:upto]), _sha(whole)), 300 + len(loss or "")
+
+    yield from _batched(run(), _READ)
+
+
+def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A conversation's examples come in order; each must go on where the one before it ended, and the last has all turns."""
+
+    def run() -> Iterator[tuple[tuple, int]]:
+        for conv_id, rows in groupby(_rows(batches, *_columns(_READ)[0]), itemgetter(0)):
+            loss, loss_chars, n_examples, example_chars, last = hashlib.sha256(), 0, 0, 0, _sha("")
+            for _, example, n, chars, said, text, before, after in rows:
+                if before != last or example not in (None, n_examples + 1):
+                    raise ValueError(f"example {example} of conversation {conv_id} does not go on from the one before it")
+                last = after
+                if example is not None:
+                    loss.update(text.encode())
+                    loss_chars, n_examples, example_chars = loss_chars + len(text), n_examples + 1, example_chars + chars
+            yield (conv_id, n, said, loss_chars, loss.hexdigest(), chars, n_examples, example_chars), 300
+
+    yield from _batched(run(), BACK)
+
+
 def read_back(laid: DataFrame) -> DataFrame:
-    """A row for each conversation of a layout: what its segments and loss spans say, unescaped, in digests."""
-    rows = laid.select("conv_id", "place", "segment", "loss_start", "loss_end")
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "place").mapInArrow(_read, BACK)
+    """Writes the whole examples of a layout, reads them back, and gives a row for each conversation: what their turns and loss spans say, unescaped, in digests.
+
+    formatted_chars is the length of a conversation's longest text, example_chars that of all its examples.
+    """
+    each = materialize(expanded(laid), "chat", compression="zstd").mapInArrow(_read, _READ)
+    return each.repartition("conv_id").sortWithinPartitions("conv_id", F.col("example").asc_nulls_last()).mapInArrow(_combine, BACK)

@@ -32,11 +32,11 @@ def scratch_dir(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, **options)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

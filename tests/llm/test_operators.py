@@ -9,10 +9,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from starlane.llm import chat, decontaminate, language, licenses, mixing, near, quality, sharding, toxicity, warc
+from starlane.llm.common import _written, mark
 
 PLAIN = re.compile("[^\x20\x09-\x0d]+")
 FOLDED = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -462,6 +464,36 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.layout(turns.limit(0))).count() == 0
 
 
+def test_chat_query_reads_examples_from_files(spark):
+    rows = [(1, i, ("user", "assistant")[i % 2], f"said {i} <|x") for i in range(9)] + [(2, 0, "user", "alone")]
+    laid = chat.layout(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    before = mark()
+    (got,) = chat.read_back(laid).where("conv_id = 1").collect()
+    (path,) = _written[before:]
+    examples = {r.example: r for r in spark.read.parquet(path).where("conv_id = 1").collect()}
+    segments = [r.segment for r in laid.where("conv_id = 1").orderBy("place").collect()]
+    assert set(examples) == {1, 2, 3, 4, None}
+    for k in (1, 2, 3, 4):
+        e = examples[k]
+        assert e.context == "".join(segments[: 2 * k - 1]) and e.reply == segments[2 * k - 1]
+        assert chat.unescape((e.context + e.reply)[e.loss_start : e.loss_end]) == f"said {2 * k - 1} <|x"
+    assert examples[None].context == "".join(segments) and examples[None].reply is None
+    assert (got.n_examples, got.formatted_chars) == (4, sum(map(len, segments))) and got.example_chars == sum(len(examples[k].context + examples[k].reply) for k in (1, 2, 3, 4))
+
+
+def test_chat_reading_notices_a_context_that_is_cut():
+    turn = lambda role, text: f"{chat.START}{role}\n{text}{chat.END}"
+    u, a = turn("user", "q"), turn("assistant", "r")
+    start = len(u) + len(a) - len(chat.END) - 1
+    good = [(1, 1, u, a, start, start + 1), (1, 2, u + a + u, a, start + len(u + a), start + len(u + a) + 1)]
+    names, schema = chat._columns(chat.EXAMPLE)
+    back = lambda rows: [x for b in chat._combine(chat._read(iter([pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema)]))) for x in b.to_pylist()]
+    assert [(r["n_turns"], r["n_examples"]) for r in back(good)] == [(4, 2)]
+    for bad in (good[1:], [good[0], (1, 2, u, a, start, start + 1)], [good[0], (1, 2, u + u, a, start + len(u), start + len(u) + 1)]):
+        with pytest.raises(ValueError, match="does not go on"):
+            back(bad)
+
+
 def test_chat_escape_is_reversible(spark):
     rng = np.random.default_rng(9)
     texts = ["".join(rng.choice(list("\\<|n\nab"), 12)) for _ in range(300)]
