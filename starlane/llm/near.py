@@ -6,7 +6,8 @@ of shingles is the order of their hashes. It is cut into fragments, in two of th
 1. Filter. Documents are classed by set size. In each class the order is cut into F fragments, one more than the largest number of
    shingles by which two linked sets of that class can differ, and a sixth more. So linked sets agree in all of a known number of
    fragments, and a document stays only if that many of its fragments (by a hash of each, with the class) stand in other documents
-   too. (Empty fragments do not count; a set with so many of them that the rest might not suffice emits them as well.)
+   too. (Empty fragments do not count; a set with so many of them that all agreement might lie there emits them as
+   well, and always stays.)
 2. Candidates. Over the documents that are left shingles are ordered by how rare they are, and only documents that share one of the
    rarest (1 - t) n + 1 shingles, under bounds on sizes, places and unshared shingles, become candidates. First each document is
    compared with the one that it shares most of them with. What then lies in different components is compared with the first
@@ -122,7 +123,8 @@ def signatures(s: np.ndarray, percent: int) -> list[tuple[int, np.ndarray, int]]
     """(class, hashes of the set's fragments, how many of them it shares with any set it is linked to), in its own size class and in the next if a linked set may lie there.
 
     The class stands in the low bits of each hash. There are more fragments than a linked set can differ in, so some must agree; that
-    many, less the empty ones, is what a document must share with others to stay.
+    many, less the set's own empty ones, is what a document must share with others to stay. Where that is less than one, the document
+    stays whatever it shares (0): a linked set may emit none of the fragments in which they agree.
     """
     number, _, high = size_class(s.size)
     classes = [(number, high)]
@@ -136,12 +138,11 @@ def signatures(s: np.ndarray, percent: int) -> list[tuple[int, np.ndarray, int]]
         f = ((s >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
         begin = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1])))
         f, sums = f[begin], np.add.reduceat(_mix(s), begin)
-        agree = count - most_different(s.size, high, percent)
-        need = agree - (count - begin.size)
+        need = begin.size - most_different(s.size, high, percent)
         if need < 1:
             every = np.zeros(count, np.uint64)
             every[f.astype(np.int64)] = sums
-            f, sums, need = np.arange(count, dtype=np.uint64), every, agree
+            f, sums, need = np.arange(count, dtype=np.uint64), every, 0
         hashes = _mix(sums ^ _mix(f + np.uint64((number + 1) << 32)))
         out.append((number % CLASSES, hashes & np.uint64(2**64 - CLASSES) | np.uint64(number % CLASSES), need))
     return out
@@ -215,14 +216,14 @@ def _once_a_task(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def _linkable(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """cls, text of the classes that share as many fragments with others as a link takes."""
+    """cls, text of the classes that share as many fragments with others as a link takes, or that may be linked without sharing one."""
     same = Window.partitionBy("sig")
     shared = _emitted(docs, words, percent).withColumns({"lo": F.min("cls").over(same), "hi": F.max("cls").over(same)}).where("lo <> hi")
     counts = shared.groupBy("cls", F.pmod("sig", F.lit(CLASSES)).cast("int").alias("c")).agg(F.count("*").cast("int").alias("n"))
     able = materialize(counts.groupBy("cls").agg(F.map_from_entries(F.collect_list(F.struct("c", "n"))).alias("shared")), "near-able")
-    in_class = lambda c, need: F.coalesce(F.try_element_at("shared", c) >= need, F.lit(False))
+    in_class = lambda c, need: F.coalesce((need < 1) | (F.try_element_at("shared", c) >= need), F.lit(False))
     # The list grows with the input, so it is not sent to every task, at any size.
-    texts = _once_a_task(docs, words, percent).join(able.hint("merge"), "cls").where(in_class(F.col("c"), F.col("need")) | in_class(F.pmod(F.col("c") + 1, F.lit(CLASSES)), F.col("need_next")))
+    texts = _once_a_task(docs, words, percent).join(able.hint("merge"), "cls", "left").where(in_class(F.col("c"), F.col("need")) | in_class(F.pmod(F.col("c") + 1, F.lit(CLASSES)), F.col("need_next")))
     return texts.groupBy("cls").agg(F.first("text").alias("text"))
 
 

@@ -134,6 +134,15 @@ def test_near_against_brute_force(spark, k, percent, seed):
     assert Counter(map(tuple, got)) == brute_components(ids, texts, k, percent)
 
 
+def test_near_keeps_sets_that_agree_in_empty_fragments(spark):
+    """Eight words that lie in few fragments, and the same with two words more, alone in their class: both must pass the filter."""
+    words = [f"a48x{i}" for i in range(10)]
+    texts = [" ".join(words[:8]), " ".join(words)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in near.near_duplicates(docs, 1, 80).collect())
+    assert got == brute_components([0, 1], texts, 1, 80)
+
+
 def test_signatures_find_every_linked_pair():
     rng = np.random.default_rng(5)
     for percent in (80, 90):
