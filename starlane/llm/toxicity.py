@@ -6,8 +6,9 @@ often in toxic than in other documents. Forward-backward gives each word's margi
 of marginals give the document's score through a logistic function fitted to the documents' labels, and words with a marginal of
 one half or more are the offending offsets.
 
-Fitting uses at most SAMPLE[1] toxic and SAMPLE[0] other documents, whole, by the order of a hash of the id; everything else sees all
-rows and whole texts. Labels come only from rows whose crc32(doc_id as text) mod 5 is not 0.
+Fitting uses at most SAMPLE[1] toxic and SAMPLE[0] other documents, by the order of a hash of the id. Words are labelled, and the
+logistic function is fitted, on those documents whole; the field is trained on all their pieces of PIECE words that hold a labelled word,
+and of the others on CLEAN[0] for each of these and CLEAN[1] more. Everything else sees all rows and whole texts. Labels come only from rows whose crc32(doc_id as text) mod 5 is not 0.
 
 Nulls, ties and the like: a null or empty text has no words and the score of a text without any; a document with several labels is
 toxic if one says so; null ids and null labels are not learned from; where either class has no sample every score is the share of
@@ -30,6 +31,8 @@ from pyspark.sql import types as T
 from starlane.llm.language import held_out
 
 SAMPLE = (3000, 1500)
+#: Pieces without a labelled word that the field is trained on: so many for each piece with one, and so many more.
+CLEAN = (2, 500)
 HASH = 1 << 16
 PIECE, LEAST, LIFT = 64, 3, 20.0
 CACHE = 100_000
@@ -181,8 +184,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] =
     return chosen.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("text", "y"), known.groupBy("y").agg(F.count("*").alias("n"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> Field:
-    """Fitted on the driver, on the bounded sample."""
+def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, clean: tuple[int, int] = CLEAN) -> Field:
+    """Fitted on the driver, on the bounded sample; of its pieces without a labelled word, clean says how many (see CLEAN)."""
     rows, share = training_rows(docs, labels, sample)
     counts = {r.y: r.n for r in share.collect()}
     got = sorted({(r.text or "", int(r.y)) for r in rows.collect()})
@@ -197,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) ->
     cut = [(w[i : i + PIECE], t[i : i + PIECE]) for w, t in zip(texts, tags, strict=True) for i in range(0, len(w), PIECE)]
     marked = [c for c in cut if c[1].any()]
     plain = [c for c in cut if not c[1].any()]
-    keep = np.random.default_rng(5).permutation(len(plain))[: 2 * len(marked) + 500]
+    keep = np.random.default_rng(5).permutation(len(plain))[: clean[0] * len(marked) + clean[1]]
     field.train(marked + [plain[i] for i in keep])
     field.calibrate(texts, y, toxic_share)
     return field

@@ -413,6 +413,18 @@ def test_toxicity(spark, odd, nothing):
     assert toxicity.score(nothing, field).count() == 0
 
 
+def test_toxicity_trains_on_as_many_clean_pieces_as_asked(spark, monkeypatch):
+    d, seen = "/root/testdata/sf0.001", []
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    monkeypatch.setattr(toxicity.Field, "train", lambda self, pieces: seen.append(Counter(bool(t.any()) for _, t in pieces)))
+    monkeypatch.setattr(toxicity.Field, "calibrate", lambda self, *_: None)
+    for clean in ((0, 3), (0, 1 << 30), toxicity.CLEAN):
+        toxicity.fit(docs, labels, clean=clean)
+    few, every, usual = seen
+    assert few[False] == 3 < every[False] and few[True] == every[True] > 0
+    assert usual[False] == min(every[False], 2 * usual[True] + 500)
+
+
 def test_toxicity_without_labels(spark, odd):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.predicted for r in toxicity.score(odd, toxicity.fit(odd, none)).collect()} == {0}
