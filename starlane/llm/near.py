@@ -4,10 +4,11 @@ A document's set holds the hashes of its distinct shingles (runs of `words` word
 of shingles is the order of their hashes. It is cut into fragments, in two of three steps:
 
 1. Filter. Documents are classed by set size. In each class the order is cut into F fragments, one more than the largest number of
-   shingles by which two linked sets of that class can differ, and a sixth more. So linked sets agree in all of a known number of
-   fragments, and a document stays only if that many of its fragments (by a hash of each, with the class) stand in other documents
-   too. (Empty fragments do not count; a set with so many of them that all agreement might lie there emits them as
-   well, and always stays.)
+   shingles by which two linked sets of that class can differ, and a sixth more. A linked set differs in no more fragments than it
+   differs in shingles, so it has all but that many of a document's fragments that are not empty, and a document stays only if so
+   many of them (by a hash of each, with the class) stand in other documents too. Empty fragments have no hash; a document with too
+   few others for this always stays. Fragments that very many documents have are named by a sample of the texts, which proves that
+   they are shared; they are counted where they arise, so that no task gets all documents that have one.
 2. Candidates. Over the documents that are left shingles are ordered by how rare they are, and only documents that share one of the
    rarest (1 - t) n + 1 shingles, under bounds on sizes, places and unshared shingles, become candidates. First each document is
    compared with the one that it shares most of them with. What then lies in different components is compared with the first
@@ -15,7 +16,7 @@ of shingles is the order of their hashes. It is cut into fragments, in two of th
 3. Overlaps. Each candidate pair's overlap is counted in each of FRAGMENTS fragments separately and summed.
 
 Equal sets are one class throughout: copies meet only in a count, and are never paired. Classes are told apart by a fingerprint of
-64 bits beside the set itself; shingles by 64-bit hashes.
+64 bits, shingles by 64-bit hashes: of n different texts about n^2 / 2^65 pairs are taken for copies by chance (three of 10^10 texts).
 
 The result is exact but for collisions of those hashes. Nulls, ties and the like: null texts and texts without words have an empty set and
 are linked with nothing; a null id is no one's smallest id, and rows with null ids still get their component; repeated rows each get
@@ -42,6 +43,8 @@ CLASS_RATIO = 1.4
 #: Classes are told apart by this many values in the low bits of a signature (neighbours never fall together).
 CLASSES = 64
 BLOCK = 1 << 20
+#: Signatures that HOT_LEAST texts or more of a HOT_SAMPLE-th of all have, HOT_MOST at most, are counted in place.
+HOT_SAMPLE, HOT_LEAST, HOT_MOST = 64, 32, 1 << 16
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -123,8 +126,8 @@ def signatures(s: np.ndarray, percent: int) -> list[tuple[int, np.ndarray, int]]
     """(class, hashes of the set's fragments, how many of them it shares with any set it is linked to), in its own size class and in the next if a linked set may lie there.
 
     The class stands in the low bits of each hash. There are more fragments than a linked set can differ in, so some must agree; that
-    many, less the set's own empty ones, is what a document must share with others to stay. Where that is less than one, the document
-    stays whatever it shares (0): a linked set may emit none of the fragments in which they agree.
+    many, less the set's own empty ones, is what a document must share with others to stay. Where that is less than one (0), the
+    document stays whatever it shares. Empty fragments have no hash: what a linked set must share with it, it shares in others.
     """
     number, _, high = size_class(s.size)
     classes = [(number, high)]
@@ -138,11 +141,7 @@ def signatures(s: np.ndarray, percent: int) -> list[tuple[int, np.ndarray, int]]
         f = ((s >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
         begin = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1])))
         f, sums = f[begin], np.add.reduceat(_mix(s), begin)
-        need = begin.size - most_different(s.size, high, percent)
-        if need < 1:
-            every = np.zeros(count, np.uint64)
-            every[f.astype(np.int64)] = sums
-            f, sums, need = np.arange(count, dtype=np.uint64), every, 0
+        need = max(0, begin.size - most_different(s.size, high, percent))
         hashes = _mix(sums ^ _mix(f + np.uint64((number + 1) << 32)))
         out.append((number % CLASSES, hashes & np.uint64(2**64 - CLASSES) | np.uint64(number % CLASSES), need))
     return out
@@ -184,20 +183,41 @@ def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, cls long")
 
 
-def _emitted(docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _emitted(docs: DataFrame, words: int, percent: int, hot: np.ndarray) -> DataFrame:
+    """sig, cls, known: a row for each signature (known is null); those of a class that are in hot (sorted) are counted in one row of their own."""
+    schema = pa.schema([("sig", pa.int64()), ("cls", pa.int64()), ("known", pa.int32())])
+
+    def found(s: np.ndarray, name: int) -> Iterator[tuple[np.ndarray, list[int | None]]]:
+        for c, h, _ in signatures(s, percent):
+            h = h.view(np.int64)
+            known = hot[np.searchsorted(hot, h).clip(max=hot.size - 1)] == h if hot.size else np.zeros(h.size, bool)
+            rest, n = h[~known], int(known.sum())
+            yield rest, [None] * rest.size
+            if n:
+                yield np.array([name & -CLASSES | c], np.int64), [n]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, names, held = [], [], 0
+        sigs, names, counts, held = [], [], [], 0
         for _, _, s, name in _texts(batches, words, True):
-            sigs.append(np.concatenate([h for _, h, _ in signatures(s, percent)]))
-            names.append(np.full(sigs[-1].size, name, np.int64))
-            held += sigs[-1].size
+            for h, n in found(s, name):
+                sigs.append(h)
+                names.append(np.full(h.size, name, np.int64))
+                counts += n
+                held += h.size
             if held > 100_000:
-                yield pa.RecordBatch.from_pydict({"sig": np.concatenate(sigs).view(np.int64), "cls": np.concatenate(names)})
-                sigs, names, held = [], [], 0
-        if sigs:
-            yield pa.RecordBatch.from_pydict({"sig": np.concatenate(sigs).view(np.int64), "cls": np.concatenate(names)})
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(names)), pa.array(counts, pa.int32())], schema=schema)
+                sigs, names, counts, held = [], [], [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(names)), pa.array(counts, pa.int32())], schema=schema)
+
+    return docs.select("text").mapInArrow(run, "sig long, cls long, known int")
+
 
-    return docs.select("text").mapInArrow(run, "sig long, cls long")
+def _hot(docs: DataFrame, words: int, percent: int) -> np.ndarray:
+    """Signatures, HOT_MOST at most, that several classes of a sample have: these are shared for certain. The sample decides only where they are counted."""
+    some = _emitted(docs.where(F.pmod(F.xxhash64("text"), F.lit(HOT_SAMPLE)) == 0), words, percent, np.zeros(0, np.int64))
+    counts = some.select("sig", "cls").distinct().groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_LEAST)
+    return np.sort(np.array([r.sig for r in counts.orderBy(F.desc("n"), "sig").limit(HOT_MOST).collect()], np.int64))
 
 
 def _once_a_task(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -216,10 +236,11 @@ def _once_a_task(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def _linkable(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """cls, text of the classes that share as many fragments with others as a link takes, or that may be linked without sharing one."""
+    """cls, text of the classes that share as many fragments with others as a link takes, or have too few for that to be asked."""
     same = Window.partitionBy("sig")
-    shared = _emitted(docs, words, percent).withColumns({"lo": F.min("cls").over(same), "hi": F.max("cls").over(same)}).where("lo <> hi")
-    counts = shared.groupBy("cls", F.pmod("sig", F.lit(CLASSES)).cast("int").alias("c")).agg(F.count("*").cast("int").alias("n"))
+    emitted = _emitted(docs, words, percent, _hot(docs, words, percent))
+    shared = emitted.withColumns({"lo": F.min("cls").over(same), "hi": F.max("cls").over(same)}).where("known is not null or lo <> hi")
+    counts = shared.groupBy("cls", F.pmod("sig", F.lit(CLASSES)).cast("int").alias("c")).agg(F.sum(F.coalesce("known", F.lit(1))).cast("int").alias("n"))
     able = materialize(counts.groupBy("cls").agg(F.map_from_entries(F.collect_list(F.struct("c", "n"))).alias("shared")), "near-able")
     in_class = lambda c, need: F.coalesce((need < 1) | (F.try_element_at("shared", c) >= need), F.lit(False))
     # The list grows with the input, so it is not sent to every task, at any size.

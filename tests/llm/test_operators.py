@@ -144,19 +144,49 @@ def test_near_keeps_sets_that_agree_in_empty_fragments(spark):
 
 
 def test_signatures_find_every_linked_pair():
+    """Each pair alone in its table: both sets must pass the filter."""
     rng = np.random.default_rng(5)
+    draw = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+
+    def passes(x, other):
+        return any(need < 1 or np.isin(h, other).sum() >= need for _, h, need in x)
+
     for percent in (80, 90):
-        for n in (1, 2, 5, 9, 17, 40, 133, 700):
-            for _ in range(20):
-                a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
-                most = near.most_different(a.size, a.size, percent)
-                drop = rng.permutation(a.size)[: most // 2]
-                b = np.unique(np.concatenate([np.delete(a, drop), rng.integers(0, 1 << 63, most - most // 2, dtype=np.uint64)]))
-                both = np.intersect1d(a, b).size
-                if both and 100 * both >= percent * np.union1d(a, b).size:
-                    x, y = near.signatures(a, percent), near.signatures(b, percent)
-                    common = [(p, q) for p in x for q in y if p[0] == q[0]]
-                    assert any(np.intersect1d(p[1], q[1]).size >= max(p[2], q[2], 1) for p, q in common)
+        linked = 0
+        for n in [*range(1, 61)] * 80 + [133, 700] * 40:
+            a = np.unique(draw(n))
+            most = near.most_different(n, n * 100 // percent, percent)
+            gone = int(rng.integers(0, most + 1))
+            b = np.unique(np.concatenate([a[rng.permutation(n)[gone:]], draw(int(rng.integers(0, most - gone + 1)))]))
+            both = np.intersect1d(a, b, assume_unique=True).size
+            if both and 100 * both >= percent * (a.size + b.size - both):
+                linked += a.size != both or b.size != both
+                x, y = near.signatures(a, percent), near.signatures(b, percent)
+                assert passes(x, np.concatenate([h for _, h, _ in y])) and passes(y, np.concatenate([h for _, h, _ in x]))
+        assert linked > 1000
+
+
+def test_near_links_a_text_and_one_word_more(spark):
+    words = [f"q{i}" for i in range(12)]
+    docs = spark.createDataFrame([(1, " ".join(words[:11])), (2, " ".join(words))], "doc_id long, text string")
+    assert {r.component_id for r in near.near_duplicates(docs, 5, 80).collect()} == {1}
+    assert near.one_of_each(docs, 5, 80).count() == 1
+
+
+def test_hot_signatures_change_nothing(spark, monkeypatch):
+    """With every text in the sample, what two have is counted in place; the result stays."""
+    monkeypatch.setattr(near, "HOT_SAMPLE", 1)
+    monkeypatch.setattr(near, "HOT_LEAST", 2)
+    rng = np.random.default_rng(9)
+    vocabulary = [f"w{i}" for i in range(300)]
+    texts = []
+    for size, length in [(30, 60), (10, 9), (5, 200)]:
+        base = [vocabulary[i] for i in rng.integers(300, size=length)]
+        texts += [mutated(rng, base, vocabulary, int(rng.integers(4))) for _ in range(size)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert near._hot(docs, 3, 90).size > 0
+    got = near.near_duplicates(docs, 3, 90).select("doc_id", "n_shingles", "component_id").collect()
+    assert Counter(map(tuple, got)) == brute_components(list(range(len(texts))), texts, 3, 90)
 
 
 def test_near_empty_and_one_of_each(odd, nothing):
