@@ -38,7 +38,7 @@ FAMILIES = {
     "indic": ("hi", "bn", "ur", "mr", "ne", "pa", "gu"),
 }
 _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes}
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")
 #: Bytes beyond ASCII and letters stay, everything else is a gap.
 _LETTERS = np.array([b if b >= 0x80 or 0x61 <= b <= 0x7A else 32 for b in range(256)], np.uint32)
 
@@ -48,6 +48,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+def has_letter(text: str) -> bool:
+    """Of what a pattern takes for a letter, some are numerals (one half, Roman one)."""
+    return any(m[0].isalpha() for m in _WORDLIKE.finditer(text))
+
+
 def counts(text: str) -> np.ndarray:
     a = _LETTERS[np.frombuffer(f" {text.lower()} ".encode(), np.uint8)]
     return np.bincount(((a[:-2] * 0x9E3779B1 + a[1:-1] * 0x85EBCA77 + a[2:] * 0xC2B2AE3D) & 0xFFFFFFFF) >> 20 if a.size > 2 else np.zeros(0, int), minlength=FEATURES)
@@ -125,7 +130,12 @@ class Model:
 def training_rows(docs: DataFrame, sample: int = SAMPLE, per_language: int = PER_LANGUAGE) -> DataFrame:
     """At most per_language rows of each language and sample in all, by the order of a hash of the id."""
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    ranked = known.select("doc_id", "lang").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
+    ids = known.select("doc_id", "lang").withColumn("h", F.xxhash64("doc_id"))
+    # Only as many of a language's ids as surely hold its first ones meet in one task: those with hashes below a bound.
+    share = F.lit(20.0 * per_language + 200) / F.col("n")
+    bounds = ids.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).select("lang", F.when(share < 1, ((share * 2 - 1) * (2.0**63)).cast("long")).alias("bound"))
+    near_first = ids.join(bounds, "lang").where(F.col("bound").isNull() | (F.col("h") <= F.col("bound"))).select("doc_id", "lang")
+    ranked = near_first.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
     chosen = ranked.where(F.col("rank") <= per_language).orderBy("rank", "lang").limit(sample).drop("rank")
     # chosen has at most `sample` rows.
     return known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
@@ -168,7 +178,7 @@ def _predictor(model: Model):
 
             for i, value in enumerate(batch.column("text")):
                 text = value.as_py() if value.is_valid else ""
-                if _LETTER.search(text):
+                if has_letter(text):
                     rows.append(i)
                     x.append(counts(text))
                     if len(rows) == 256:

@@ -5,8 +5,8 @@ source up to and with it, divided by the source's target; its second and later c
 copies are ordered by virtual finish time, over all sources together, and the order is cut where the total budget is used up.
 
 The running sums are made in two levels so that no source goes through one task: sums for each (source, first digits of the
-shuffle key), then a running sum inside each of those cells. The cut is found from the sums of BINS ranges of virtual time and
-from the copies of the one range in which it falls.
+shuffle key), then a running sum inside each of those cells. The cut is found from the sums of BINS ranges of virtual time, then of
+FINE ranges inside the one in which it falls, and from the copies of the one range of these that holds it: about one of 34 million.
 
 Nulls, ties and the like: a null source is a source of its own, after all others; a null or empty text has size 0 and is never
 taken; documents that agree in id and size stand in any order, which cannot be told apart in the result; of copies with the same
@@ -27,6 +27,7 @@ from starlane.llm.common import materialize, plain_words
 CELL_DIGITS = 3
 #: Ranges of virtual time up to END; virtual time 1 is where every source has exactly its target.
 BINS, END = 4096, 2.0
+FINE = 4096
 WEIGHTS = (5, 2, 1)
 
 
@@ -74,6 +75,13 @@ def _copies(cap: float) -> Column:
     return F.array(*((F.lit(float(k)) * F.col("source_size") + F.col("__place")) / F.nullif(F.col("target"), F.lit(0.0)) for k in range(max(1, math.floor(cap)))))
 
 
+def _edge(sums: DataFrame, bin_: str, budget: DataFrame, most: str) -> DataFrame:
+    """The first range (one row, or none) whose running sum is over the budget, with the room that the ranges before it leave."""
+    upto = sums.withColumn("upto", F.sum("used").over(Window.orderBy(bin_)))
+    first = upto.join(F.broadcast(budget), F.col("upto") > F.col(most)).agg(F.min(F.struct(bin_, (F.col(most) - F.col("upto") + F.col("used")).alias("room"))).alias("e"))
+    return first.where("e is not null").select("e.*")
+
+
 def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, size: Column | None = None, keep_columns: bool = True) -> DataFrame:
     """docs (doc_id, source, text, ...) with size, source_size, target, finish and taken (words that the mix takes: a multiple of size)."""
     queued = queue_keys(docs, word_count(F.col("text")) if size is None else size)
@@ -87,13 +95,18 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[in
     last = int(BINS * END)
     entries = _finish(slim.where("size > 0"), cells).select("size", F.explode(_copies(cap)).alias("at")).withColumn("bin", F.least(F.floor(F.col("at") * BINS), F.lit(last)).cast("int"))
     budget = cells.select("__key", "source_size").distinct().agg((F.sum("source_size") * F.lit(float(share))).alias("budget"))
-    sums = entries.groupBy("bin").agg(F.sum("size").alias("used")).withColumn("upto", F.sum("used").over(Window.orderBy("bin")))
     # One row each: bounded, so they may go to every task.
-    edge = sums.join(F.broadcast(budget), F.col("upto") > F.col("budget")).agg(F.min(F.struct("bin", "upto", "used", "budget")).alias("e")).select("e.*")
+    edge = _edge(entries.groupBy("bin").agg(F.sum("size").alias("used")), "bin", budget, "budget")
+    within = entries.join(F.broadcast(edge.select(F.col("bin"), "room")), "bin")
+    within = within.select("size", "at", "room", F.least(F.floor((F.col("at") * BINS - F.col("bin")) * FINE), F.lit(FINE - 1)).cast("int").alias("fine"))
+    within = materialize(within, "mix-edge")
+    inner = _edge(within.groupBy("fine").agg(F.sum("size").alias("used")), "fine", within.select("room").limit(1), "room")
     running = Window.orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    within = entries.join(F.broadcast(edge.select(F.col("bin").alias("edge_bin"), (F.col("budget") - F.col("upto") + F.col("used")).alias("room"))), F.col("bin") == F.col("edge_bin"))
-    within = within.withColumn("sum", F.sum("size").over(running)).where("sum <= room").agg(F.max("at").alias("__cut_at"))
-    cut = materialize(edge.agg(F.max("bin").alias("__cut_bin")).crossJoin(F.broadcast(within)), "mix-cut")
+    last_ones = within.drop("room").join(F.broadcast(inner), "fine").withColumn("sum", F.sum("size").over(running)).where("sum <= room").agg(F.max("at").alias("at"))
+    # Without a copy that fits in the last range, the cut is at the last one of the ranges before it.
+    before = within.join(F.broadcast(inner.select(F.col("fine").alias("edge"))), F.col("fine") < F.col("edge")).agg(F.max("at").alias("at"))
+    found = last_ones.unionByName(before).agg(F.max("at").alias("__cut_at"))
+    cut = materialize(edge.agg(F.max("bin").alias("__cut_bin")).crossJoin(F.broadcast(found)), "mix-cut")
 
     rows = _finish(queued if keep_columns else slim, cells).crossJoin(F.broadcast(cut))
     kept = lambda at: F.coalesce((F.col("__cut_bin").isNull() | (F.least(F.floor(at * BINS), F.lit(last)) < F.col("__cut_bin")) | (at <= F.coalesce(F.col("__cut_at"), F.lit(-1.0)))), F.lit(False))

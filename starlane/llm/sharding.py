@@ -72,8 +72,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, slack: fl
     keyed = materialize(keyed, "shard-keys")
     # At most 2 ** CELL_BITS rows, and SHARDS * HOT_PART * SPLITS more for hot cells.
     whole = {r.cell: r for r in keyed.groupBy("cell").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")).collect()}
-    most = sum(r.bytes for r in whole.values()) / shards / HOT_PART
-    hot = sorted(c for c, r in whole.items() if r.bytes > most and r.rows > 1)
+    most, most_rows = (sum(n) / shards / HOT_PART for n in ([r.bytes for r in whole.values()], [r.rows for r in whole.values()]))
+    hot = sorted(c for c, r in whole.items() if r.rows > 1 and (r.bytes > most or r.rows > most_rows))
     counts = {(c, -1): (r.rows, r.bytes) for c, r in whole.items() if c not in set(hot)}
     if hot:
         parts = keyed.where(F.col("cell").isin(hot)).groupBy("cell", "part").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")).collect()

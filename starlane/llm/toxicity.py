@@ -6,12 +6,12 @@ often in toxic than in other documents. Forward-backward gives each word's margi
 of marginals give the document's score through a logistic function fitted to the documents' labels, and words with a marginal of
 one half or more are the offending offsets.
 
-Fitting uses at most SAMPLE[1] toxic and SAMPLE[0] other documents, by the order of a hash of the id. Words are labelled, and the
-logistic function is fitted, on those documents whole; the field is trained on all their pieces of PIECE words that hold a labelled word,
+Fitting uses at most SAMPLE[1] toxic and SAMPLE[0] other documents, by the order of a hash of the id, and of each its first MOST
+characters. Words are labelled, and the logistic function is fitted, on all of that; the field is trained on all their pieces of PIECE words that hold a labelled word,
 and of the others on CLEAN[0] for each of these and CLEAN[1] more. Everything else sees all rows and whole texts. Labels come only from rows whose crc32(doc_id as text) mod 5 is not 0.
 
 Nulls, ties and the like: a null or empty text has no words and the score of a text without any; a document with several labels is
-toxic if one says so; null ids and null labels are not learned from; where either class has no sample every score is the share of
+toxic if one says so; a text of millions of words takes time and memory in proportion to its length; null ids and null labels are not learned from; where either class has no sample every score is the share of
 toxic labels; an empty table gives an empty result. Scores depend on the text only.
 """
 
@@ -33,6 +33,8 @@ from starlane.llm.language import held_out
 SAMPLE = (3000, 1500)
 #: Pieces without a labelled word that the field is trained on: so many for each piece with one, and so many more.
 CLEAN = (2, 500)
+#: Characters of a document that fitting reads: with SAMPLE a bound on what the driver holds.
+MOST = 20_000
 HASH = 1 << 16
 PIECE, LEAST, LIFT = 64, 3, 20.0
 CACHE = 100_000
@@ -76,6 +78,62 @@ def forward_backward(u: np.ndarray, sizes: np.ndarray, trans: np.ndarray) -> tup
     return fore.T, back.T, (one / (one + zero)).T, e
 
 
+def _in_pieces(u: np.ndarray, sizes: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Marginals of state 1 of texts that lie one after the other in u, each with a word or more.
+
+    Texts are cut into pieces of PIECE words. The product of a piece's transfer matrices carries the forward vector over it (and the
+    backward vector the other way), so that vectors at the edges of pieces take a step for each piece of the longest text, and
+    inside of pieces all of them go at once: a long text costs no more steps than a short one does.
+    """
+    many = -(-sizes // PIECE)
+    text_of = np.repeat(np.arange(sizes.size), many)
+    nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    length = np.minimum(PIECE, sizes[text_of] - nth * PIECE)
+    inside = np.arange(PIECE) < length[:, None]
+    e = np.ones((length.size, PIECE))
+    e[inside] = np.exp(np.clip(u, -30, 30))
+    e, inside, start = np.ascontiguousarray(e.T), inside.T, nth == 0
+    m = np.exp(trans)
+    # Before a text's first word there is no transition.
+    first = [np.where(start, float(i == j), m[i, j]) for i in (0, 1) for j in (0, 1)]
+    at = lambda t: first if t == 0 else (m[0, 0], m[0, 1], m[1, 0], m[1, 1])
+
+    k = [np.ones(length.size), np.zeros(length.size), np.zeros(length.size), np.ones(length.size)]
+    for t in range(PIECE if many.max() > 1 else 0):
+        m00, m01, m10, m11 = at(t)
+        new = [k[0] * m00 + k[1] * m10, (k[0] * m01 + k[1] * m11) * e[t], k[2] * m00 + k[3] * m10, (k[2] * m01 + k[3] * m11) * e[t]]
+        total = sum(new)
+        k = [np.where(inside[t], x / total, y) for x, y in zip(new, k, strict=True)]
+
+    entry, leave = np.full((2, length.size), 0.5), np.full((2, length.size), 0.5)
+    begin = np.cumsum(many) - many
+    for r in range(1, many.max()):
+        p = begin[many > r] + r - 1
+        f0, f1 = entry[0, p] * k[0][p] + entry[1, p] * k[2][p], entry[0, p] * k[1][p] + entry[1, p] * k[3][p]
+        entry[:, p + 1] = f0 / (f0 + f1), f1 / (f0 + f1)
+    for r in range(many.max() - 1, 0, -1):
+        p = begin[many > r] + r
+        b0, b1 = k[0][p] * leave[0, p] + k[1][p] * leave[1, p], k[2][p] * leave[0, p] + k[3][p] * leave[1, p]
+        leave[:, p - 1] = b0 / (b0 + b1), b1 / (b0 + b1)
+
+    fore, f = np.empty((PIECE, length.size)), tuple(entry)
+    for t in range(PIECE):
+        m00, m01, m10, m11 = at(t)
+        f0, f1 = f[0] * m00 + f[1] * m10, (f[0] * m01 + f[1] * m11) * e[t]
+        f = f0 / (f0 + f1), f1 / (f0 + f1)
+        fore[t] = f[1]
+    b0, b1 = leave
+    for t in range(PIECE - 1, -1, -1):
+        one, zero = fore[t] * b1, (1 - fore[t]) * b0
+        x = e[t] * b1
+        # The transition into a text's first word is never asked for: nothing stands before it.
+        n0, n1 = m[0, 0] * b0 + m[0, 1] * x, m[1, 0] * b0 + m[1, 1] * x
+        s = n0 + n1
+        b0, b1 = np.where(inside[t], n0 / s, b0), np.where(inside[t], n1 / s, b1)
+        fore[t] = one / (one + zero)
+    return fore.T[inside.T]
+
+
 class Field:
     def __init__(self):
         self.weights, self.bias, self.trans = np.zeros(HASH), -2.0, np.zeros((2, 2))
@@ -94,21 +152,12 @@ class Field:
         return np.fromiter(map(known.__getitem__, words), np.float64, len(words))
 
     def marginals(self, scores: list[np.ndarray]) -> list[np.ndarray]:
-        """Sorted by length and padded in blocks, so that little is computed for padding."""
-        out: list[np.ndarray] = [np.zeros(0)] * len(scores)
-        order = sorted((i for i, s in enumerate(scores) if s.size), key=lambda i: scores[i].size)
-        while order:
-            longest = scores[order[-1]].size
-            take = max(1, min(len(order), 500_000 // longest, 512))
-            block, order = order[-take:], order[:-take]
-            u = np.full((len(block), longest), -30.0)
-            sizes = np.array([scores[i].size for i in block])
-            for row, i in enumerate(block):
-                u[row, : sizes[row]] = scores[i]
-            p = forward_backward(u, sizes, self.trans)[2]
-            for row, i in enumerate(block):
-                out[i] = p[row, : sizes[row]].copy()
-        return out
+        """Of state 1, for each word of each text. Texts go side by side in pieces; see _in_pieces."""
+        sizes = np.array([s.size for s in scores])
+        if not sizes.sum():
+            return [np.zeros(0) for _ in scores]
+        flat = _in_pieces(np.concatenate(scores), sizes[sizes > 0], self.trans)
+        return np.split(flat, np.cumsum(sizes)[:-1])
 
     def train(self, pieces: list[tuple[list[str], np.ndarray]], epochs: int = 6, rate: float = 0.2, batch: int = 128) -> None:
         """Largest conditional likelihood by AdaGrad; a piece is (words, labels)."""
@@ -181,7 +230,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] =
     first = lambda y: known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample[y])
     # At most sum(sample) ids.
     chosen = docs.select("doc_id", "text").join(F.broadcast(first(0).unionByName(first(1))), "doc_id")
-    return chosen.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("text", "y"), known.groupBy("y").agg(F.count("*").alias("n"))
+    return chosen.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select(F.substring("text", 1, MOST).alias("text"), "y"), known.groupBy("y").agg(F.count("*").alias("n"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, clean: tuple[int, int] = CLEAN) -> Field:
@@ -195,7 +244,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, cl
     if not got or y.min() == y.max():
         field.logistic = np.array([np.log(toxic_share / (1 - toxic_share)), 0.0, 0.0])
         return field
-    texts = [tokens(t) for t, _ in got]
+    same: dict[str, str] = {}
+    texts = [[same.setdefault(w, w) for w in tokens(t)] for t, _ in got]
     tags = label_tokens(texts, y)
     cut = [(w[i : i + PIECE], t[i : i + PIECE]) for w, t in zip(texts, tags, strict=True) for i in range(0, len(w), PIECE)]
     marked = [c for c in cut if c[1].any()]

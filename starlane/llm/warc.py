@@ -10,7 +10,7 @@ for each attempt of a task; only files of attempts that succeeded are listed in
 
 Nulls, ties and the like: a null html is an empty payload; payloads with fewer than `least` bytes are always responses; a null
 page_id loses against any other, and if all of a group are null, all are responses; repeated rows with the largest id are
-all responses; a null url becomes urn:page:<id>; an empty table gives an empty result. Only page_id, url and html are read.
+all responses; a null url becomes urn:page:<id>; an empty table gives an empty result. Only page_id, url and html are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from starlane.llm.common import materialize, scratch_dir
 CHUNK = 1 << 16
 #: An archive is closed once it has this many bytes.
 ARCHIVE_BYTES = 1 << 28
+#: A payload that more than a HOT_PARTS-th of all pages have is found by a broadcast join instead of a shuffle by digest.
+HOT_PARTS = 1000
 #: The profile of WARC 1.1 revisits: a fixed value.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
@@ -210,9 +212,15 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0)
     plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     known = plain.mapInArrow(_digested(True), "page_id long, url string, html string, payload_bytes long, payload_digest string")
     heads = plain.select("page_id", "html").mapInArrow(_digested(False), "page_id long, payload_bytes long, payload_digest string")
-    heads = heads.groupBy("payload_digest").agg(F.max("page_id").alias("head"))
+    heads = heads.groupBy("payload_digest").agg(F.max("page_id").alias("head"), F.count("*").alias("n"))
     revisit = (F.col("payload_bytes") >= least) & F.col("head").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("head"))
-    rows = known.join(heads, "payload_digest").withColumn("revisit", revisit)
+    heads = materialize(heads, "warc-heads")
+    # Fewer than HOT_PARTS payloads can each have so large a part of the pages; their pages stay where they are.
+    hot = heads.join(F.broadcast(heads.agg((F.sum("n") / HOT_PARTS).alias("most"))), (F.col("n") > F.col("most")) & (F.col("n") > 1))
+    known = known.join(F.broadcast(hot.select("payload_digest", F.col("head").alias("hot_head"), F.lit(True).alias("hot"))), "payload_digest", "left")
+    key = F.when(F.col("hot").isNull(), F.col("payload_digest")).otherwise(F.concat(F.lit("-"), F.monotonically_increasing_id()))
+    known = known.withColumns({"key": key, "html": F.when(F.col("hot_head").isNull() | F.col("page_id").eqNullSafe(F.col("hot_head")) | (F.col("payload_bytes") < least), F.col("html"))})
+    rows = known.join(heads.select(F.col("payload_digest").alias("key"), F.col("head").alias("cold_head")), "key", "left").withColumn("head", F.coalesce("hot_head", "cold_head")).withColumn("revisit", revisit)
     rows = rows.select("page_id", "url", F.when(~revisit, F.col("html")).alias("html"), "payload_bytes", "payload_digest", F.when(revisit, F.col("head")).alias("refers_to"), "revisit")
     return materialize(rows.mapInArrow(_writer(folder), MANIFEST), "warc-manifest")
 

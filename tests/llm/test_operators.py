@@ -61,6 +61,30 @@ def test_shard_splits_one_hot_id(spark):
     assert len(sizes) == 4 and max(sizes) < 1.1 * min(sizes)
 
 
+def test_shard_splits_many_small_rows_of_one_id(spark):
+    rows = spark.range(6000).select(F.when(F.col("id") < 3000, None).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") >= 3000, F.lit("y" * 500)).alias("text"))
+    got = sharding.shard(rows, 4)
+    assert got.where("doc_id is null").select("shard").distinct().count() > 1
+    assert sorted(r.slot for r in got.where("shard = 0").collect()) == list(range(got.where("shard = 0").count()))
+
+
+def test_ring_walk_against_a_plain_one():
+    """Key by key: clockwise from its place, past every point whose shard is full."""
+    rng = np.random.default_rng(6)
+    for shards, n in ((3, 40), (5, 300)):
+        cells = [(int(c), -1, int(b)) for c, b in zip(rng.choice(1 << sharding.CELL_BITS, n, replace=False), rng.integers(1, 400, n), strict=True)]
+        points = sorted((sharding._place("shard", s, v), s) for s in range(shards) for v in range(8))
+        cap, load, want = 1.05 * sum(b for *_, b in cells) / shards, [0] * shards, {}
+        place = lambda c: c << 64 - sharding.CELL_BITS
+        for c, k, size in sorted(cells, key=lambda x: (-x[2].bit_length(), place(x[0]))):
+            clockwise = sorted(points, key=lambda p: (p[0] - place(c)) % (1 << 64))
+            free = [s for _, s in clockwise if load[s] + size <= cap]
+            to = free[0] if free else min(range(shards), key=lambda s: (load[s], s))
+            load[to] += size
+            want[c, k] = to, clockwise[0][1]
+        assert sharding.walk(cells, shards, 8, 0.05) == want
+
+
 def test_shard_reruns_agree(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert Counter(map(tuple, sharding.shard(docs).collect())) == Counter(map(tuple, sharding.shard(docs).collect()))
@@ -371,8 +395,61 @@ def test_suffix_automaton_against_all_substrings():
         cut = [i for i in range(40) if want[i] >= licenses.SEED and (i == 39 or want[i + 1] <= want[i])]
         assert ends == {i: want[i] for i in cut}
         for place, length, state in automaton.matches(text):
-            for name, end in automaton.ends[state].items():
-                assert templates[name][end - length + 1 : end + 1] == text[place - length + 1 : place + 1]
+            run = text[place - length + 1 : place + 1]
+            assert automaton.ends[state] == {(name, end) for name, t in enumerate(templates) for end in range(length - 1, len(t)) if t[end - length + 1 : end + 1] == run}
+
+
+def brute_spans(template, text):
+    """All chains of maximal matches of one template, the best at each match; then by words covered, where the text is free."""
+    runs, want = [], brute_statistics([template], text)
+    for end, n in enumerate(want):
+        if n >= licenses.SEED and (end + 1 == len(text) or want[end + 1] <= n):
+            runs.append((end - n + 1, end, [p for p in range(n - 1, len(template)) if template[p - n + 1 : p + 1] == text[end - n + 1 : end + 1]]))
+    chains = []
+    for first, last, places in runs:
+        now = []
+        for place in places:
+            start = place - (last - first)
+            before = [c for c in chains if c[1] < first and first - c[1] <= licenses.GAP and c[2] < start]
+            best = max(before, key=lambda c: (c[3], c[1], c[0]), default=(first, 0, 0, 0))
+            now.append((best[0], last, place, best[3] + last - first + 1))
+        chains += now
+    out = []
+    for a, b, _, covered in sorted(set(chains), key=lambda c: (-c[3], c[1] - c[0], c[0])):
+        share = licenses.COVER_SHORT if len(template) <= licenses.SHORT else licenses.COVER
+        if covered >= share * len(template) and all(b < x or y < a for x, y, _ in out):
+            out.append((a, b, covered))
+    return sorted(out)
+
+
+def test_license_chains_against_brute_force():
+    rng = np.random.default_rng(8)
+    found = 0
+    for _ in range(300):
+        template = [b"t%d" % x for x in rng.integers(0, 9, int(rng.integers(8, 40)))]
+        text = []
+        for _ in range(int(rng.integers(1, 5))):
+            a = int(rng.integers(len(template)))
+            text += template[a : a + int(rng.integers(3, 40))] + [b"x%d" % x for x in rng.integers(0, 3, int(rng.integers(0, 40)))]
+        want = brute_spans(template, text)
+        got = licenses.spans(text, (("l", b" ".join(template).decode()),))
+        assert [x[1:4] for x in got] == want
+        found += len(want)
+    assert found > 200
+
+
+@pytest.mark.parametrize("between", [0, 10, 29, 40])
+def test_a_license_that_stands_twice_is_two_spans(between):
+    for template in (licenses.TEMPLATES[1][1], licenses.TEMPLATES[2][1]):
+        once = licenses.words(template.encode())
+        text = once + [b"foo"] * between + once
+        assert [x[1:3] for x in licenses.spans(text) if x[3] == len(once)] == [(0, len(once) - 1), (len(once) + between, len(text) - 1)]
+
+
+def test_license_templates_as_a_table(spark):
+    table = spark.createDataFrame([("own", "all of this belongs to nobody at all"), ("own", None), (None, "x y z"), ("none", "  ")], "label string, text string")
+    docs = spark.createDataFrame([(1, "Now ALL of this, belongs to nobody at all."), (2, "belongs to nobody"), (3, "w " * 300_000 + "all of this belongs to nobody at all")], "doc_id long, text string")
+    assert {r.doc_id: (r.labels, r.n_words) for r in licenses.scan(docs, table).collect()} == {1: ("own", 9), 2: ("", 3), 3: ("own", 300_008)}
 
 
 def test_license_scan(odd, nothing, spark):
@@ -400,6 +477,12 @@ def test_language(spark, odd, nothing):
     assert {r.lang_pred for r in language.identify(odd, language.fit(nothing)).collect()} == {"und"}
 
 
+def test_numerals_are_no_letters(spark):
+    docs = spark.createDataFrame([(1, "\u00bd \u2163 12"), (2, "\u00bd a"), (3, "_1_")], "doc_id long, text string")
+    model = language.Model(np.stack([language.counts("the dog")]), ["en"])
+    assert {r.doc_id: r.lang_pred for r in language.identify(docs, model).collect()} == {1: "und", 2: "en", 3: "und"}
+
+
 def test_language_family_first():
     x = np.vstack([language.counts(t) for t in ["der hund und die katze"] * 3 + ["the dog and the cat"] * 3 + ["le chien et le chat"] * 3])
     model = language.Model(x.astype(np.float32), ["de"] * 3 + ["en"] * 3 + ["fr"] * 3)
@@ -427,6 +510,18 @@ def test_forward_backward_against_enumeration():
         assert got == pytest.approx(ones / mass, abs=1e-9)
 
 
+def test_pieces_give_what_whole_texts_give():
+    rng = np.random.default_rng(4)
+    field = toxicity.Field()
+    field.trans = rng.normal(size=(2, 2))
+    scores = [rng.normal(0, 3, n) for n in (1, 0, 63, 64, 65, 128, 1, 1000, 0, 7)]
+    for got, u in zip(field.marginals(scores), scores, strict=True):
+        want = toxicity.forward_backward(u[None], np.array([u.size]), field.trans)[2][0] if u.size else u
+        assert got == pytest.approx(want, abs=1e-9)
+    assert [p.size for p in field.marginals([np.zeros(0)])] == [0]
+    assert field.marginals([rng.normal(size=1_000_000)])[0].shape == (1_000_000,)
+
+
 def test_toxicity(spark, odd, nothing):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
