@@ -1,100 +1,160 @@
 r"""Benchmark decontamination by a prefix-filtered set join, in DataFrame operations only.
 
-A benchmark item is cut into windows of WINDOW consecutive words (an item of fewer words is one window). A window is found in a
-document only if all its words are, so one word of it suffices as its prefix; the shingles (words) are ordered by how rare they
-are over all documents, and the rarest word of each window is joined with the documents' words. The place of that word in the
-window bounds the place of the window in the document (it must start at or after the first word and end at or before the last);
-what passes is verified word by word against the item-sized window.
-
-The words to look for come from the benchmark. Up to LITERALS of them go into the plan as a set of constants and the text is read
-in place; beyond that, and for windows beyond BROADCAST_WINDOWS, shuffled joins do the same.
-
-Nulls, ties and the like: a null text has no words and is clean; equal rows get equal results; a null id is an id; an item without
-words or with a null id is skipped; windows that several items share count for all of them. Other columns are ignored by
-`contamination` and kept by `clean`, which compares rows by (doc_id, hash of text).
+A benchmark item is cut into windows of WINDOW consecutive words (an item of fewer words is one window), a window into shingles of
+SHINGLE words (a window of fewer is one shingle). A window stands in a document only if all its shingles do, side by side.
+
+1. Documents are read once. A bitmap of the benchmark's shingles, of bounded size, tells which places of a text may hold one; the
+   stretches of text that these places cover (runs) are written, and nothing else: whatever windows a text has lie within its runs.
+2. Shingles are ordered by how rare they are, counted in all runs, which is to say in all documents. The rarest shingle of a window
+   is its prefix, which suffices; a window of which one shingle stands nowhere is left out.
+3. Prefixes are joined with the runs' shingles. The place of the shingle in the window bounds the place of the window in the run, by
+   the window's length; what passes is compared word by word with the item-sized window. Items are looked up for windows found.
+
+A benchmark so large that the bitmap fills up makes runs longer, never results wrong. Up to BROADCAST_WINDOWS windows go to every
+task, more are joined by shuffle.
+
+Nulls, ties and the like: a null text has no words and is clean; equal rows get equal results, one each; a null id is an id; an item
+without words or with a null id is skipped; windows that several items share count for all of them; a very long text is cut like any
+other; an empty table gives an empty result, an empty benchmark clean documents. Other columns, whatever they are called, are
+ignored by `contamination` and kept by `clean`, which compares rows by (doc_id, hash of text).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starlane.llm.common import folded_words, materialize
 
-WINDOW = 10
-LITERALS = 100_000
+WINDOW, SHINGLE = 10, 3
+#: Longs of the bitmap at most (a power of two); a shingle sets PROBES bits of one of them.
+BITMAP, PROBES = 1 << 17, 3
 BROADCAST_WINDOWS = 100_000
 
 
-def windows(benchmark: DataFrame, k: int = WINDOW) -> DataFrame:
-    """Distinct windows: words, and the ids of the items that have them (as strings)."""
-    items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item"), folded_words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    cut = items.select("item", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - k + 1, F.lit(1)))).alias("i")).select("item", F.slice("w", F.col("i"), F.lit(k)).alias("window"))
-    return cut.groupBy("window").agg(F.collect_set("item").alias("items"))
-
-
-def _member_sql(name: str, words: list[str]) -> str:
-    """name is one of words; these hold no ASCII but digits and letters, so they need no escape."""
-    return f"{name} in (" + ",".join(f"'{w}'" for w in words) + ")" if words else "false"
-
-
-def _counts(docs: DataFrame, vocabulary: DataFrame, words: list[str] | None) -> DataFrame:
-    """How often each word of the vocabulary stands in all documents."""
-    if words is not None:
-        found = docs.select(folded_words(F.col("text")).alias("w")).select(F.explode(F.expr(f"filter(w, x -> {_member_sql('x', words)})")).alias("token"))
-    else:
-        found = docs.select(F.explode(folded_words(F.col("text"))).alias("token")).join(vocabulary, "token", "left_semi")
-    return found.groupBy("token").agg(F.count("*").alias("n"))
-
+def _shingle(words: Column, i: Column | int, m: int) -> Column:
+    return F.xxhash64(*(F.get(words, i + j) for j in range(m)))
 
-def _few(df: DataFrame, column: str, most: int) -> list[str] | None:
-    """The values of a column, or None if they are more than most."""
-    rows = df.select(column).limit(most + 1).collect()
-    return [r[0] for r in rows] if len(rows) <= most else None
 
+def _shingles(words: Column, m: int) -> Column:
+    """The hashes of all runs of m words, in order."""
+    return F.when(F.size(words) >= m, F.transform(F.sequence(F.lit(0), F.size(words) - m), lambda i: _shingle(words, i, m))).otherwise(F.array().cast("array<bigint>"))
 
-def prefixes(docs: DataFrame, wins: DataFrame, literals: int = LITERALS) -> DataFrame:
-    """Each window that can occur at all, with its rarest word (token) and that word's place in it (offset, from 0)."""
-    vocabulary = wins.select(F.explode("window").alias("token")).distinct()
-    counts = materialize(_counts(docs, vocabulary, _few(vocabulary, "token", literals)), "decon-counts")
-    # Only distinct windows meet here, as many rows as the benchmark has words.
-    placed = wins.withColumn("wid", F.xxhash64("window")).select("wid", "window", "items", F.posexplode("window").alias("offset", "token"))
-    ranked = placed.join(counts, "token", "left").groupBy("wid", "window", "items").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "offset")).alias("p"))
-    return ranked.where("p.n > 0").select("window", "items", F.col("p.token").alias("token"), F.col("p.offset").alias("offset"))
 
-
-def _candidates(docs: DataFrame, tokens: DataFrame, k: int, literals: int) -> DataFrame:
-    """doc_id, th (hash of the text), n_words and, for each place of a prefix word, (place, word, first place of context, context)."""
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), folded_words(F.col("text")).alias("w"))
-    words = _few(tokens, "token", literals)
-    if words is not None:
-        placed = keyed.select("doc_id", "th", "w", F.expr(f"filter(transform(w, (x, i) -> case when {_member_sql('x', words)} then i end), i -> i is not null)").alias("places"))
-    else:
-        found = keyed.select("doc_id", "th", F.posexplode("w").alias("place", "token")).join(tokens, "token", "left_semi")
-        found = found.groupBy("doc_id", "th").agg(F.collect_set("place").alias("places")).withColumnsRenamed({"doc_id": "d", "th": "h"})
-        placed = keyed.join(found, keyed.doc_id.eqNullSafe(found.d) & (keyed.th == found.h), "left").select("doc_id", "th", "w", F.coalesce("places", F.array().cast("array<int>")).alias("places"))
-    around = F.expr(f"transform(places, p -> struct(p as place, w[p] as token, greatest(p - {k - 1}, 0) as lo, slice(w, greatest(p - {k - 1}, 0) + 1, {2 * k - 1}) as context))")
-    return placed.select("doc_id", "th", F.size("w").cast("long").alias("n_words"), around.alias("candidates"))
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, literals: int = LITERALS, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def windows(benchmark: DataFrame, k: int = WINDOW) -> DataFrame:
+    """item (the id as a string), window (words): each of an item's windows once."""
+    items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item"), folded_words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    return items.select("item", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - k + 1, F.lit(1)))).alias("i")).select("item", F.slice("w", F.col("i"), F.lit(k)).alias("window")).distinct()
+
+
+def _window_shingles(wins: DataFrame, m: int) -> DataFrame:
+    """wid, m (words of the window's shingles), offset, tok."""
+    out = None
+    for n in range(1, m + 1):
+        part = wins.where((F.size("window") >= n) if n == m else (F.size("window") == n)).select("wid", F.lit(n).alias("m"), F.posexplode(_shingles(F.col("window"), n)).alias("offset", "tok"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _mask(tok: Column) -> Column:
+    out = None
+    for probe in range(PROBES):
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(tok, 20 + 6 * probe).bitwiseAND(F.lit(63)).cast("int"))
+        out = bit if out is None else out.bitwiseOR(bit)
+    return out
+
+
+class _Bitmap:
+    """Which hashes may be among those given: a fixed table of bits, made once, and a constant of the plan from then on."""
+
+    def __init__(self, toks: DataFrame):
+        size = 1
+        n = toks.count()
+        while size < BITMAP and size * 4 < n:
+            size *= 2
+        self.size = size
+        table = [0] * size
+        # At most BITMAP rows, whatever the benchmark.
+        for slot, bits in toks.groupBy(self._slot(F.col("tok")).alias("slot")).agg(F.bit_or(_mask(F.col("tok"))).alias("bits")).collect():
+            table[slot] = bits
+        # One literal, folded once.
+        self.table = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
+
+    def _slot(self, tok: Column) -> Column:
+        return tok.bitwiseAND(F.lit(self.size - 1)).cast("int")
+
+    def has(self, tok: Column) -> Column:
+        mask = _mask(tok)
+        return F.get(self.table, self._slot(tok)).bitwiseAND(mask) == mask
+
+
+def _runs(words: Column, hashes: Column, m: int, bitmap: _Bitmap) -> tuple[Column, Column]:
+    """Two columns to be added one after the other: places of shingles that may be the benchmark's, and the stretches of words that they cover."""
+    places = F.filter(F.transform(hashes, lambda x, i: F.when(bitmap.has(x), i)), lambda i: i.isNotNull())
+    p = F.col("__places")
+    starts = F.filter(p, lambda x, j: (j == 0) | (F.get(p, j - 1) < x - m))
+    ends = F.filter(p, lambda x, j: F.coalesce(F.get(p, j + 1) > x + m, F.lit(True)))
+    return places, F.zip_with(starts, ends, lambda a, b: F.struct(F.lit(m).alias("m"), a.alias("start"), F.slice(words, a + 1, b - a + m).alias("words")))
+
+
+def _read(docs: DataFrame, toks: DataFrame) -> DataFrame:
+    """rid (a row's own), doc_id, th (hash of the text), n_words, runs: a row for each of docs."""
+    out = docs.select("doc_id", F.xxhash64("text").alias("th"), folded_words(F.col("text")).alias("w")).withColumn("runs", F.array().cast("array<struct<m:int,start:int,words:array<string>>>"))
+    # Lengths of shingles: SHINGLE values at most.
+    for m in sorted(r.m for r in toks.select("m").distinct().collect()):
+        bitmap = _Bitmap(toks.where(F.col("m") == m).select("tok").distinct())
+        out = out.withColumn("__hashes", _shingles(F.col("w"), m))
+        places, runs = _runs(F.col("w"), F.col("__hashes"), m, bitmap)
+        out = out.withColumn("__places", places).withColumn("runs", F.concat("runs", runs)).drop("__hashes", "__places")
+    return out.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "th", F.size("w").cast("long").alias("n_words"), "runs")
+
+
+def _spots(base: DataFrame, k: int, context: bool) -> DataFrame:
+    """tok and, with context, rid, start (of the run), n (its words), place (in the run), lo, around (its words from lo on): a row for each shingle of each run."""
+    runs = base.select("rid", F.explode("runs").alias("r")).select("rid", "r.*")
+    out = None
+    for m in range(1, SHINGLE + 1):
+        part = runs.where(F.col("m") == m)
+        if context:
+            lo = lambda i: F.greatest(i - (k - 1), F.lit(0))
+            each = F.transform(F.sequence(F.lit(0), F.size("words") - m), lambda i: F.struct(_shingle(F.col("words"), i, m).alias("tok"), i.alias("place"), lo(i).alias("lo"), F.slice("words", lo(i) + 1, F.lit(2 * k - 1)).alias("around")))
+            part = part.select("rid", "start", F.size("words").alias("n"), F.explode(each).alias("s")).select("rid", "start", "n", "s.*")
+        else:
+            part = part.select(F.explode(_shingles(F.col("words"), m)).alias("tok"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def prefixes(base: DataFrame, wins: DataFrame, toks: DataFrame) -> DataFrame:
+    """wid, window, tok (its rarest shingle), offset (its place): of each window whose shingles all stand somewhere."""
+    counts = _spots(base, WINDOW, context=False).join(toks.select("tok").distinct(), "tok", "left_semi").groupBy("tok").agg(F.count("*").alias("n"))
+    rarest = toks.join(counts, "tok", "left").groupBy("wid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "tok", "offset")).alias("p")).where("p.n > 0")
+    return wins.join(rarest, "wid").select("wid", "window", F.col("p.tok").alias("tok"), F.col("p.offset").alias("offset"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """doc_id, th, n_words, n_hit, n_items, items (sorted), spans (start, length) of every occurrence, contaminated: a row for each of docs."""
-    wins = materialize(windows(benchmark, k), "decon-windows")
-    found = materialize(prefixes(docs, wins, literals), "decon-prefixes")
-    base = materialize(_candidates(docs, found.select("token").distinct(), k, literals), "decon-candidates")
-    few = found.limit(broadcast_windows + 1).count() <= broadcast_windows
-    at = base.select("doc_id", "th", "n_words", F.explode("candidates").alias("c")).select("doc_id", "th", "n_words", "c.*")
+    owned = materialize(windows(benchmark, k), "decon-items")
+    wins = materialize(owned.select("window").distinct().withColumn("wid", F.monotonically_increasing_id()), "decon-windows")
+    toks = materialize(_window_shingles(wins, SHINGLE), "decon-shingles")
+    base = materialize(_read(docs, toks), "decon-runs")
+    found = materialize(prefixes(base, wins, toks), "decon-prefixes")
+    few = wins.limit(broadcast_windows + 1).count() <= broadcast_windows
+    sized = lambda df: F.broadcast(df) if few else df
+
     start, length = F.col("place") - F.col("offset"), F.size("window")
     hits = (
-        at.join(F.broadcast(found) if few else found, "token")
-        .where((start >= 0) & (start + length <= F.col("n_words")))
-        .where(F.slice("context", start - F.col("lo") + 1, length) == F.col("window"))
-        .groupBy("doc_id", "th")
-        .agg(F.collect_set(F.struct(start.alias("start"), length.alias("length"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-        .select(F.col("doc_id").alias("d"), F.col("th").alias("h"), "spans", "items")
+        _spots(base, k, context=True)
+        .join(sized(found), "tok")
+        .where((start >= 0) & (start + length <= F.col("n")))
+        .where(F.slice("around", start - F.col("lo") + 1, length) == F.col("window"))
+        .select("rid", "wid", (F.col("start") + start).alias("start"), length.alias("length"))
     )
+    hits = materialize(hits, "decon-hits")
+    spans = hits.groupBy("rid").agg(F.collect_set(F.struct("start", "length")).alias("spans"))
+    items = hits.select("rid", "wid").distinct().join(sized(owned.join(wins, "window").select("wid", "item")), "wid").groupBy("rid").agg(F.array_sort(F.collect_set("item")).alias("items"))
     n_hit = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))))
-    out = base.select("doc_id", "th", "n_words").join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")), "left")
+    out = base.select("rid", "doc_id", "th", "n_words").join(spans, "rid", "left").join(items, "rid", "left")
     return out.select(
         "doc_id",
         "th",

@@ -252,15 +252,27 @@ def brute_contamination(docs, items, k=10):
     return out
 
 
-@pytest.mark.parametrize(("literals", "few"), [(100, 100), (0, 0)])
-def test_decontaminate_both_ways(odd, benchmark, literals, few):
-    """With words as constants and a broadcast, and with joins only."""
+@pytest.mark.parametrize(("bitmap", "few"), [(1 << 17, 100), (1, 0)])
+def test_decontaminate_both_ways(odd, benchmark, monkeypatch, bitmap, few):
+    """With a broadcast and a sparse bitmap, and with joins and one long of bits only."""
+    monkeypatch.setattr(decontaminate, "BITMAP", bitmap)
     want = brute_contamination([(r.doc_id, r.text) for r in odd.collect()], [tuple(r) for r in benchmark.collect()])
-    got = decontaminate.contamination(odd, benchmark, literals=literals, broadcast_windows=few).collect()
+    got = decontaminate.contamination(odd, benchmark, broadcast_windows=few).collect()
     assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in got) == want
     assert sum(v for k, v in want.items() if k[-1]) == 5
 
 
+def test_decontaminate_against_brute_force(spark):
+    rng = np.random.default_rng(12)
+    words = [f"v{i}" for i in range(6)]
+    line = lambda n: " ".join(words[i] for i in rng.integers(6, size=n))
+    items = [(i, line(int(rng.integers(1, 16)))) for i in range(12)]
+    docs = [(i, line(int(rng.integers(0, 60))) + " " + (items[int(rng.integers(12))][1] if i % 2 else "")) for i in range(60)]
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), k=5).collect()
+    want = brute_contamination(docs, [(str(i), t) for i, t in items], 5)
+    assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in got) == want
+
+
 def test_decontaminate_cleans(odd, nothing, benchmark):
     left = decontaminate.clean(odd, benchmark)
     assert left.columns == odd.columns
