@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from starlane.sources.scratch import scratch_dir
+
 
 def saved(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint; the folder is the session's, a local one only where none is set."""
+    """A reliable checkpoint in the session's folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(where or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        context.setCheckpointDir(scratch_dir(df.sparkSession))
     return df.checkpoint()
 
 

@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starlane.operators.archetypes import merge
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one that all executors share; a local one only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+from starlane.sources.scratch import shared_folder
 
 
 def replace_partitions(df: DataFrame, path: str, by: list[str]) -> None:

@@ -17,7 +17,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from starlane.plans.collectors import event_bit, folds
 from starlane.plans.registry import QUERIES, SQL
-from starlane.sources.sinks import append_delta, read_merged, shared_folder
+from starlane.sources.scratch import shared_folder
+from starlane.sources.sinks import append_delta, read_merged
 
 KEYS, HOW = ["metric", "key", "day"], {"n": "add", "mask": "or"}
 MOVES = "did long, op_id long, from_host string, to_host string, ts timestamp"
