@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from starlane.sources.scratch import scratch_dir
+
 #: ASCII white space, as a Java regular expression; what lies between are the plain words.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Everything in ASCII but digits and (after lower-casing) letters; what lies between are the folded words.
@@ -19,40 +23,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+#: Folders that are written inside `scratch_tables`, in order. Each run has its own list, whatever runs beside it.
+_tables: ContextVar[list[str] | None] = ContextVar("scratch_tables", default=None)
+
 
+@contextmanager
+def scratch_tables() -> Iterator[list[str]]:
+    """The tables that operators write inside, for release(); without it they stay until the scratch folder is cleared."""
+    written: list[str] = []
+    token = _tables.set(written)
+    try:
+        yield written
+    finally:
+        _tables.reset(token)
 
-#: Folders that materialize() has written in this process, in order.
-_written: list[str] = []
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder below the scratch folder."""
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    written = _tables.get()
+    if written is not None:
+        written.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path, **options)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def mark() -> int:
-    """For release(): what is written from here on."""
-    return len(_written)
+def release(spark: SparkSession, written: list[str]) -> None:
+    """Deletes the tables listed but for the last; only for a caller that has used up all but that one."""
+    for path in written[:-1]:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    del written[:-1]
 
 
-def release(spark: SparkSession, since: int) -> None:
-    """Deletes what materialize() wrote since a mark, but for the last; only for a caller that has used up all but that one."""
-    jvm = spark.sparkContext._jvm
-    for path in _written[since:-1]:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    del _written[since:-1]
+def finished(df: Callable[[], DataFrame], name: str) -> DataFrame:
+    """A result written out as a table; what its operator wrote on the way there is deleted."""
+    with scratch_tables() as written:
+        out = materialize(df(), name)
+        release(out.sparkSession, written)
+    return out
 
 
 def plain_words(text: Column) -> Column:

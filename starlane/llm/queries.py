@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from starlane.llm import chat, decontaminate, language, licenses, mixing, near, quality, sharding, toxicity, warc
-from starlane.llm.common import table
+from starlane.llm.common import finished, table
 
 
 def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,12 +62,14 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
+def _finished(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query with its result as a table of its own, so that none of its other scratch tables stay."""
+    return lambda spark, sf_dir: finished(lambda: query(spark, sf_dir), query.__name__)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_shard, op2_ngram_jaccard, op3_decontaminate, op4_mix_sources, op5_warc, op6_license_scan, op7_language, op8_toxicity, op9_quality_rules, op10_chat_format, pipeline)}
+    one_pass = {f.__name__: f for f in (op6_license_scan, op7_language, op8_toxicity)}
+    return {f.__name__: _finished(f) for f in (op1_shard, op2_ngram_jaccard, op3_decontaminate, op4_mix_sources, op5_warc, op9_quality_rules, op10_chat_format)} | one_pass
 
 
 _OP3 = r"""

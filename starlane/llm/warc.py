@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starlane.llm.common import materialize, scratch_dir
+from starlane.llm.common import materialize, scratch_path
 
 CHUNK = 1 << 16
 #: An archive is closed once it has this many bytes.
@@ -208,7 +208,7 @@ def _digested(keep: bool):
 def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0) -> DataFrame:
     """Writes all pages; the manifest (path, records, bytes) of the archives. folder: one that all executors can write to."""
     spark = pages.sparkSession
-    folder = folder or f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = folder or scratch_path(spark, "warc")
     plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     known = plain.mapInArrow(_digested(True), "page_id long, url string, html string, payload_bytes long, payload_digest string")
     heads = plain.select("page_id", "html").mapInArrow(_digested(False), "page_id long, payload_bytes long, payload_digest string")

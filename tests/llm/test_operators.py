@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import io
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -14,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from starlane.llm import chat, decontaminate, language, licenses, mixing, near, quality, sharding, toxicity, warc
-from starlane.llm.common import _written, mark
+from starlane.llm.common import finished, scratch_tables
 
 PLAIN = re.compile("[^\x20\x09-\x0d]+")
 FOLDED = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -222,6 +223,17 @@ def test_near_empty_and_one_of_each(odd, nothing):
     assert near.one_of_each(nothing).count() == 0
 
 
+def test_finished_leaves_the_result_only(spark, odd):
+    """Also with another run's tables open around it, which stay."""
+    base = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    with scratch_tables() as outer:
+        kept = near.materialize(odd.select("doc_id"), "outer")
+        before = set(os.listdir(base))
+        out = finished(lambda: sharding.shard(odd, 4), "result")
+        assert [n.split("-")[0] for n in set(os.listdir(base)) - before] == ["result"]
+        assert len(outer) == 1 and kept.count() == out.count() == odd.count()
+
+
 def test_long_texts_hash_like_short_ones(monkeypatch):
     text = ("alpha beta gamma delta " * 500).encode()
     whole = near.word_hashes(text)
@@ -625,9 +637,9 @@ def test_chat_round_trip(spark):
 def test_chat_query_reads_examples_from_files(spark):
     rows = [(1, i, ("user", "assistant")[i % 2], f"said {i} <|x") for i in range(9)] + [(2, 0, "user", "alone")]
     laid = chat.layout(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
-    before = mark()
-    (got,) = chat.read_back(laid).where("conv_id = 1").collect()
-    (path,) = _written[before:]
+    with scratch_tables() as written:
+        (got,) = chat.read_back(laid).where("conv_id = 1").collect()
+    (path,) = written
     examples = {r.example: r for r in spark.read.parquet(path).where("conv_id = 1").collect()}
     segments = [r.segment for r in laid.where("conv_id = 1").orderBy("place").collect()]
     assert set(examples) == {1, 2, 3, 4, None}
