@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from starlane.llm import decontaminate, mixing, near, sharding, toxicity
-from starlane.llm.common import mark, materialize, release, table
+from starlane.llm.common import materialize, release, scratch_tables, table
 
 #: Near duplicates: shingles of five words, a similarity of 0.8 or more.
 WORDS, PERCENT = 5, 80
@@ -56,8 +56,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, begin = table(spark, sf_dir, "documents"), mark()
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        release(spark, begin)  # all that was written before this stage's output has been used
+    docs = table(spark, sf_dir, "documents")
+    with scratch_tables() as written:
+        for name, stage in STAGES:
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            release(spark, written)  # all that was written before this stage's output has been used
     return docs
