@@ -23,6 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table as it is read, dealt over all cores if its files make fewer tasks than there are (so it is small)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 #: Folders that are written inside `scratch_tables`, in order. Each run has its own list, whatever runs beside it.
 _tables: ContextVar[list[str] | None] = ContextVar("scratch_tables", default=None)
 

@@ -27,18 +27,16 @@ from pyspark.sql import functions as F
 from starlane.llm.common import folded_words, materialize
 
 WINDOW, SHINGLE = 10, 3
-#: Longs of the bitmap at most (a power of two); a shingle sets PROBES bits of one of them.
-BITMAP, PROBES = 1 << 17, 3
+#: Longs of the bitmap at most (a power of two): one for each shingle up to there.
+BITMAP = 1 << 17
 BROADCAST_WINDOWS = 100_000
 
 
-def _shingle(words: Column, i: Column | int, m: int) -> Column:
-    return F.xxhash64(*(F.get(words, i + j) for j in range(m)))
-
-
-def _shingles(words: Column, m: int) -> Column:
-    """The hashes of all runs of m words, in order."""
-    return F.when(F.size(words) >= m, F.transform(F.sequence(F.lit(0), F.size(words) - m), lambda i: _shingle(words, i, m))).otherwise(F.array().cast("array<bigint>"))
+def _shingled(df: DataFrame, words: str, m: int) -> DataFrame:
+    """df with toks: the hashes of all runs of m words, in order. Words are hashed once, and the hashes of a run together."""
+    hashed = df.withColumn("__a", F.transform(words, lambda x: F.xxhash64(x)))
+    toks = F.transform("__a", lambda x, i: F.xxhash64(x, *(F.get(F.col("__a"), i + j) for j in range(1, m))))
+    return hashed.withColumn("toks", F.slice(toks, F.lit(1), F.greatest(F.size(words) - m + 1, F.lit(0)))).drop("__a")
 
 
 def windows(benchmark: DataFrame, k: int = WINDOW) -> DataFrame:
@@ -51,31 +49,24 @@ def _window_shingles(wins: DataFrame, m: int) -> DataFrame:
     """wid, m (words of the window's shingles), offset, tok."""
     out = None
     for n in range(1, m + 1):
-        part = wins.where((F.size("window") >= n) if n == m else (F.size("window") == n)).select("wid", F.lit(n).alias("m"), F.posexplode(_shingles(F.col("window"), n)).alias("offset", "tok"))
+        own = wins.where((F.size("window") >= n) if n == m else (F.size("window") == n))
+        part = _shingled(own, "window", n).select("wid", F.lit(n).alias("m"), F.posexplode("toks").alias("offset", "tok"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _mask(tok: Column) -> Column:
-    out = None
-    for probe in range(PROBES):
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(tok, 20 + 6 * probe).bitwiseAND(F.lit(63)).cast("int"))
-        out = bit if out is None else out.bitwiseOR(bit)
-    return out
-
-
 class _Bitmap:
     """Which hashes may be among those given: a fixed table of bits, made once, and a constant of the plan from then on."""
 
     def __init__(self, toks: DataFrame):
-        size = 1
-        n = toks.count()
-        while size < BITMAP and size * 4 < n:
+        size, n = 1, toks.count()
+        while size < BITMAP and size < n:
             size *= 2
         self.size = size
         table = [0] * size
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), self._bit(F.col("tok")))
         # At most BITMAP rows, whatever the benchmark.
-        for slot, bits in toks.groupBy(self._slot(F.col("tok")).alias("slot")).agg(F.bit_or(_mask(F.col("tok"))).alias("bits")).collect():
+        for slot, bits in toks.groupBy(self._slot(F.col("tok")).alias("slot")).agg(F.bit_or(bit).alias("bits")).collect():
             table[slot] = bits
         # One literal, folded once.
         self.table = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
@@ -83,18 +74,22 @@ class _Bitmap:
     def _slot(self, tok: Column) -> Column:
         return tok.bitwiseAND(F.lit(self.size - 1)).cast("int")
 
+    def _bit(self, tok: Column) -> Column:
+        return F.shiftrightunsigned(tok, 58).cast("int")
+
     def has(self, tok: Column) -> Column:
-        mask = _mask(tok)
-        return F.get(self.table, self._slot(tok)).bitwiseAND(mask) == mask
+        return F.getbit(F.get(self.table, self._slot(tok)), self._bit(tok)) == 1
 
 
-def _runs(words: Column, hashes: Column, m: int, bitmap: _Bitmap) -> tuple[Column, Column]:
-    """Two columns to be added one after the other: places of shingles that may be the benchmark's, and the stretches of words that they cover."""
-    places = F.filter(F.transform(hashes, lambda x, i: F.when(bitmap.has(x), i)), lambda i: i.isNotNull())
+def _with_runs(df: DataFrame, m: int, bitmap: _Bitmap) -> DataFrame:
+    """df (w, runs) with the stretches of words added that shingles of m words cover which may be the benchmark's."""
+    places = F.filter(F.transform("toks", lambda x, i: F.when(bitmap.has(x), i)), lambda i: i.isNotNull())
+    df = _shingled(df, "w", m).withColumn("__places", places).drop("toks")
     p = F.col("__places")
     starts = F.filter(p, lambda x, j: (j == 0) | (F.get(p, j - 1) < x - m))
     ends = F.filter(p, lambda x, j: F.coalesce(F.get(p, j + 1) > x + m, F.lit(True)))
-    return places, F.zip_with(starts, ends, lambda a, b: F.struct(F.lit(m).alias("m"), a.alias("start"), F.slice(words, a + 1, b - a + m).alias("words")))
+    runs = F.zip_with(starts, ends, lambda a, b: F.struct(F.lit(m).alias("m"), a.alias("start"), F.slice("w", a + 1, b - a + m).alias("words")))
+    return df.withColumn("runs", F.concat("runs", runs)).drop("__places")
 
 
 def _read(docs: DataFrame, toks: DataFrame) -> DataFrame:
@@ -102,25 +97,22 @@ def _read(docs: DataFrame, toks: DataFrame) -> DataFrame:
     out = docs.select("doc_id", F.xxhash64("text").alias("th"), folded_words(F.col("text")).alias("w")).withColumn("runs", F.array().cast("array<struct<m:int,start:int,words:array<string>>>"))
     # Lengths of shingles: SHINGLE values at most.
     for m in sorted(r.m for r in toks.select("m").distinct().collect()):
-        bitmap = _Bitmap(toks.where(F.col("m") == m).select("tok").distinct())
-        out = out.withColumn("__hashes", _shingles(F.col("w"), m))
-        places, runs = _runs(F.col("w"), F.col("__hashes"), m, bitmap)
-        out = out.withColumn("__places", places).withColumn("runs", F.concat("runs", runs)).drop("__hashes", "__places")
+        out = _with_runs(out, m, _Bitmap(toks.where(F.col("m") == m).select("tok").distinct()))
     return out.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "th", F.size("w").cast("long").alias("n_words"), "runs")
 
 
 def _spots(base: DataFrame, k: int, context: bool) -> DataFrame:
     """tok and, with context, rid, start (of the run), n (its words), place (in the run), lo, around (its words from lo on): a row for each shingle of each run."""
     runs = base.select("rid", F.explode("runs").alias("r")).select("rid", "r.*")
+    lo = lambda i: F.greatest(i - (k - 1), F.lit(0))
     out = None
     for m in range(1, SHINGLE + 1):
-        part = runs.where(F.col("m") == m)
+        part = _shingled(runs.where(F.col("m") == m), "words", m)
         if context:
-            lo = lambda i: F.greatest(i - (k - 1), F.lit(0))
-            each = F.transform(F.sequence(F.lit(0), F.size("words") - m), lambda i: F.struct(_shingle(F.col("words"), i, m).alias("tok"), i.alias("place"), lo(i).alias("lo"), F.slice("words", lo(i) + 1, F.lit(2 * k - 1)).alias("around")))
+            each = F.transform("toks", lambda x, i: F.struct(x.alias("tok"), i.alias("place"), lo(i).alias("lo"), F.slice("words", lo(i) + 1, F.lit(2 * k - 1)).alias("around")))
             part = part.select("rid", "start", F.size("words").alias("n"), F.explode(each).alias("s")).select("rid", "start", "n", "s.*")
         else:
-            part = part.select(F.explode(_shingles(F.col("words"), m)).alias("tok"))
+            part = part.select(F.explode("toks").alias("tok"))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -32,8 +32,10 @@ def _host() -> Column:
 
 def _repeats(df: DataFrame) -> DataFrame:
     """w (words) -> n_repeat_words. Only texts in which some window repeats sort their windows."""
-    none = F.array().cast("array<bigint>")
-    df = df.withColumn("h", F.when(F.size("w") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("w") - WINDOW), lambda i: F.xxhash64(*(F.get(F.col("w"), i + k) for k in range(WINDOW))))).otherwise(none))
+    # Words are hashed once, and the hashes of a window together.
+    df = df.withColumn("a", F.transform("w", lambda x: F.xxhash64(x)))
+    windows = F.transform("a", lambda x, i: F.xxhash64(x, *(F.get(F.col("a"), i + k) for k in range(1, WINDOW))))
+    df = df.withColumn("h", F.slice(windows, F.lit(1), F.greatest(F.size("w") - WINDOW + 1, F.lit(0)))).drop("a")
     df = df.withColumn("s", F.when(F.size(F.array_distinct("h")) < F.size("h"), F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))))
     at = lambda j: F.get(F.col("s"), j)
     same = lambda j: F.coalesce(at(j)["x"] == at(j - 1)["x"], F.lit(False)) | F.coalesce(at(j)["x"] == at(j + 1)["x"], F.lit(False))
