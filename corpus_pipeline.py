@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from starlane.llm import decontaminate, mixing, near, sharding, toxicity
-from starlane.llm.common import materialize, release, scratch_tables, table
+from starlane.llm.common import materialize, release, scratch_tables, spread, table
 
 #: Near duplicates: shingles of five words, a similarity of 0.8 or more.
 WORDS, PERCENT = 5, 80
@@ -56,7 +56,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     with scratch_tables() as written:
         for name, stage in STAGES:
             docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
