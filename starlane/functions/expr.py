@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -20,7 +21,7 @@ NEW_BUCKET, NEW_DAYS = "0. new accounts", 14
 JUNK = (
     "%localhost%", "%127.0.0.1%", "%0.0.0.0%", "%192.168.%", "%10.0.%", "%172.16.%", "%ngrok%", "%.surge.sh%", "%.uwu%", "%uwu.%",
     "%.test", "%.test/%", "%.test:%", "%//example.%", "%.example", "%.example/%", "%.example:%", "%.invalid", "%.invalid/%", "%.local", "%.local/%", "%.local:%",
-    "%.internal", "%.internal/%", "%.internal:%", "%.lan", "%.lan/%", "%.lan:%", "%.home", "%.home/%", "%.home:%",
+    "%.internal", "%.internal/%", "%.internal:%", "%.lan", "%.lan/%", "%.lan:%", "%.home", "%.home/%", "%.home:%", "%//core.network%",
 )
 MOST_URL = 200
 
@@ -97,11 +98,13 @@ def hostname(url: Column) -> Column:
     return F.regexp_replace(url, "^https?://", "")
 
 
+def _as_regex(like: str) -> str:
+    return ("" if like.startswith("%") else "^") + re.escape(like.strip("%")) + ("" if like.endswith("%") else r"\z")
+
+
 def public_host(url: Column) -> Column:
-    """Not a private, reserved or throw-away name, with a scheme and a dot, of bounded length."""
-    junk = reduce(lambda a, b: a | b, (url.like(p) for p in JUNK))
-    web = url.like("http://%") | url.like("https://%")
-    return ~junk & web & hostname(url).contains(".") & (F.length(url) <= MOST_URL)
+    """Not a private, reserved or throw-away name, with a scheme and a dot, of bounded length. One pattern, so that a url that is an expression is not computed for each of them."""
+    return ~url.rlike("|".join(map(_as_regex, JUNK))) & url.rlike(r"(?s)^https?://.*\.") & (F.length(url) <= MOST_URL)
 
 
 def core_host(url: Column, suffix: str = ".core.network") -> Column:

@@ -16,19 +16,23 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[Column], ties: bo
     return df.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
 
 
-def composite_fallback(df: DataFrame, keys: list[str], order: str, groups: list[list[str]]) -> DataFrame:
+def composite_fallback(df: DataFrame, keys: list[str], order: str, groups: list[list[str]], where: Column | None = None, extra: Iterable[Column] = ()) -> DataFrame:
     """The latest row of each key; each group of columns filled, where null, from the latest row in which one of the group is not.
 
-    One aggregation: max_by over structs whose first field says whether the group is present.
+    One aggregation: the largest struct whose first field is the order, among rows that have the group. With where, only rows that
+    fit it count for all this, and keys without any are left out; extra aggregates (with names of their own) see every row.
     """
-    plain = [c for c in df.columns if c not in keys and c not in {x for g in groups for x in g}]
-    aggs = [F.max(F.struct(F.col(order).alias("__o"), *plain, *(c for g in groups for c in g))).alias("__latest")]
+    where = F.lit(True) if where is None else where
+    extra, taken = list(extra), {x for g in groups for x in g}
+    plain = [c for c in df.columns if c not in keys and c not in taken]
+    aggs = [F.max(F.when(where, F.struct(F.col(order).alias("__o"), *plain, *(c for g in groups for c in g)))).alias("__latest")]
     for i, g in enumerate(groups):
         present = F.coalesce(*(F.col(c).cast("string") for c in g)).isNotNull()
-        aggs.append(F.max(F.when(present, F.struct(F.col(order).alias("__o"), *g))).alias(f"__g{i}"))
-    got = df.groupBy(*keys).agg(*aggs)
+        aggs.append(F.max(F.when(where & present, F.struct(F.col(order).alias("__o"), *g))).alias(f"__g{i}"))
+    got = df.groupBy(*keys).agg(*aggs, *extra)
     filled = [F.coalesce(F.col(f"__latest.{c}"), F.col(f"__g{i}.{c}")).alias(c) for i, g in enumerate(groups) for c in g]
-    return got.select(*keys, *(F.col(f"__latest.{c}").alias(c) for c in plain), *filled)
+    own = [c for c in got.columns if c not in keys and not c.startswith("__")]
+    return got.where("__latest is not null").select(*keys, *(F.col(f"__latest.{c}").alias(c) for c in plain), *filled, *own)
 
 
 def topn_else_other(df: DataFrame, label: str, measure: str, n: int, other: str = "Other") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starlane.sources.scratch import scratch_dir
@@ -16,14 +16,26 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def node_ids(nodes: DataFrame, key: str) -> DataFrame:
-    """key, idx: contiguous from 0 in the order of the key, without one task for all: rows are numbered in range partitions, whose sizes give the offsets."""
-    ranged = saved(nodes.select(key).distinct().repartitionByRange(key).withColumn("__part", F.spark_partition_id()))
-    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
+def ranked(df: DataFrame, order: list[Column], rank: str, sums: dict[str, str] | None = None) -> DataFrame:
+    """df with its row number from 1 in a total order, and running sums (name: column), without one task for all.
+
+    Rows are numbered and summed in range partitions, and what the partitions before hold is added.
+    """
+    sums = sums or {}
+    parts = saved(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    held = parts.groupBy("__part").agg(F.count("*").alias("__n"), *(F.sum(c).alias(f"__{name}") for name, c in sums.items()))
     # One row for each partition.
-    offsets = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy(key))
-    return ranged.withColumn("__i", inside).join(offsets, "__part").select(key, (F.col("__before") + F.col("__i") - 1).alias("idx"))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = held.select("__part", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("__n", *(f"__{name}" for name in sums))))
+    inside = Window.partitionBy("__part").orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = parts.withColumns({"__i": F.row_number().over(inside), **{f"__{name}": F.sum(c).over(upto) for name, c in sums.items()}}).join(before, "__part")
+    return rows.select(*df.columns, (F.col("__n_before") + F.col("__i")).cast("long").alias(rank), *((F.col(f"__{name}_before") + F.col(f"__{name}")).alias(name) for name in sums))
+
+
+def node_ids(nodes: DataFrame, key: str) -> DataFrame:
+    """key, idx: contiguous from 0 in the order of the key."""
+    return ranked(nodes.select(key).distinct(), [F.col(key)], "idx").withColumn("idx", F.col("idx") - 1)
 
 
 def remap(edges: DataFrame, ids: DataFrame, key: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from starlane.functions.expr import flag, percent, round_to, uniform
 from starlane.operators.archetypes import detect_changes, latest_per_key
+from starlane.operators.graph import ranked
 from starlane.plans import registry as r
 from starlane.plans.registry import query
 from starlane.sources.bindings import Tables
@@ -79,7 +80,7 @@ def folds(events: DataFrame) -> DataFrame:
     """
     key = lambda name, k: F.struct(F.lit(name).alias("metric"), k.cast("string").alias("key"))
     is_a = lambda kind, s: F.when(F.col("event_type") == kind, s)
-    out = F.filter(F.array(key("account", F.col("user_id")), key("kind", F.col("event_type")), is_a("error", key("deletes", F.col("user_id"))), is_a("signup", key("pack", F.col("user_id") % 60))), lambda x: x.isNotNull())
+    out = F.filter(F.array(key("account", F.col("user_id")), key("kind", F.col("event_type")), is_a("error", key("deletes", F.col("user_id"))), is_a("signup", key("pack", F.floor(F.col("user_id") / 3)))), lambda x: x.isNotNull())
     rows = events.select(F.to_date("ts").alias("day"), event_bit(F.col("event_type")).alias("bit"), F.explode(out).alias("k"))
     return rows.groupBy(F.col("k.metric").alias("metric"), F.col("k.key").alias("key"), "day").agg(F.count("*").alias("n"), F.bit_or("bit").alias("mask"))
 
@@ -91,7 +92,7 @@ _BIT = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {b}" for k, b in EVENT_BI
     "q80_daily_folds",
     f"""WITH e AS (SELECT *, CAST(ts AS DATE) AS day, {_BIT} AS bit FROM {{events}}), f AS (
     SELECT 'account' AS metric, CAST(user_id AS VARCHAR) AS key, day, bit FROM e UNION ALL SELECT 'kind', event_type, day, bit FROM e
-    UNION ALL SELECT 'deletes', CAST(user_id AS VARCHAR), day, bit FROM e WHERE event_type = 'error' UNION ALL SELECT 'pack', CAST(user_id % 60 AS VARCHAR), day, bit FROM e WHERE event_type = 'signup')
+    UNION ALL SELECT 'deletes', CAST(user_id AS VARCHAR), day, bit FROM e WHERE event_type = 'error' UNION ALL SELECT 'pack', CAST(CAST(floor(user_id / 3.0) AS BIGINT) AS VARCHAR), day, bit FROM e WHERE event_type = 'signup')
     SELECT metric, key, day, count(*) AS n, CAST(bit_or(bit) AS INTEGER) AS mask FROM f GROUP BY 1, 2, 3""",
 )
 def daily_folds(t: Tables) -> DataFrame:
@@ -109,9 +110,9 @@ def label_distribution(t: Tables) -> DataFrame:
     "WITH w AS (SELECT uri, CAST(sum(n) AS BIGINT) AS seen, max(dt) AS last FROM {pack_joins} GROUP BY 1), d AS (SELECT uri, seen, last, CASE WHEN seen % 3 = 0 THEN 'done' ELSE 'pending' END AS status FROM w) SELECT uri, seen, last, row_number() OVER (ORDER BY seen DESC, uri) AS place FROM d WHERE status = 'pending'",
 )
 def worklist(t: Tables) -> DataFrame:
-    """What is still to be fetched, the largest first; one row for each feed is ordered."""
+    """What is still to be fetched, the largest first; numbered in range partitions."""
     by = t.pack_joins.groupBy("uri").agg(F.sum("n").alias("seen"), F.max("dt").alias("last")).where("seen % 3 <> 0")
-    return by.withColumn("place", F.row_number().over(Window.orderBy(F.desc("seen"), "uri")).cast("long"))
+    return ranked(by, [F.desc("seen"), F.col("uri")], "place")
 
 
 RETRY_BASE, RETRY_MOST = 5, 480

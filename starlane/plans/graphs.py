@@ -14,6 +14,8 @@ from starlane.sources.bindings import Tables
 
 CUTOFF = "2024-01-20"
 LEAST_CLUSTER = 8
+#: Centroids that a vector is compared with at a time.
+BLOCK = 256
 
 
 @query("gm01_node_ids", "SELECT node, row_number() OVER (ORDER BY node) - 1 AS idx FROM (SELECT src AS node FROM {follows} UNION SELECT dst FROM {follows})")
@@ -26,12 +28,16 @@ def edges(t: Tables) -> DataFrame:
     return graph.remap(t.follows, node_ids(t), "node").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-@query("gm03_reply_projection", "SELECT DISTINCT a.conv_id % 97 AS src, b.conv_id % 89 AS dst FROM {conversations} a JOIN {conversations} b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1 WHERE a.role <> b.role AND a.conv_id % 97 <> b.conv_id % 89")
+_SPEAKER = "CAST(floor({0}.conv_id / 4.0) AS BIGINT) * 3 + CASE {0}.role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END"
+
+
+@query("gm03_reply_projection", f"SELECT DISTINCT {_SPEAKER.format('a')} AS src, {_SPEAKER.format('b')} AS dst FROM {{conversations}} a JOIN {{conversations}} b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1 WHERE a.role <> b.role")
 def reply_projection(t: Tables) -> DataFrame:
-    """Each reply points at the turn before it; one window instead of a self join."""
+    """Each reply points at who wrote the turn before it (a speaker takes part in four conversations); one window instead of a self join."""
     w = Window.partitionBy("conv_id").orderBy("turn")
+    speaker = lambda role: F.floor(F.col("conv_id") / 4) * 3 + F.when(role == "user", 0).when(role == "assistant", 1).otherwise(2)
     rows = t.conversations.select("conv_id", "turn", "role").withColumns({"p": F.lag("role").over(w), "q": F.lag("turn").over(w)}).where((F.col("q") == F.col("turn") - 1) & (F.col("p") != F.col("role")))
-    return rows.select((F.col("conv_id") % 97).alias("src"), (F.col("conv_id") % 89).alias("dst")).where("src <> dst").distinct()
+    return rows.select(speaker(F.col("role")).alias("src"), speaker(F.col("p")).alias("dst")).where("src <> dst").distinct()
 
 
 @query("gm04_symmetric", "SELECT DISTINCT src, dst FROM (SELECT src, dst FROM {follows} UNION ALL SELECT dst, src FROM {follows}) WHERE src <> dst")
@@ -129,7 +135,8 @@ def linear_score(t: Tables) -> DataFrame:
 
 
 _ASSIGNED = "(SELECT v.node, cluster, coalesce(bad, false) AS bad, first_labeled FROM {vectors} v LEFT JOIN {node_labels} l ON v.node = l.node)"
-_PAIRS = "(SELECT doc_id % 400 AS src, (doc_id * 7 + 3) % 400 AS dst FROM {documents})"
+# Edges by what an order line ties together: as many as there are lines, over all ids.
+_PAIRS = "(SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM {lineitem} WHERE l_partkey <> l_suppkey)"
 
 
 def assigned(t: Tables) -> DataFrame:
@@ -137,7 +144,7 @@ def assigned(t: Tables) -> DataFrame:
 
 
 def pairs(t: Tables) -> DataFrame:
-    return t.documents.select((F.col("doc_id") % 400).alias("src"), ((F.col("doc_id") * 7 + 3) % 400).alias("dst"))
+    return t.lineitem.where("l_partkey <> l_suppkey").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
 
 
 @query("gm18_intra_cluster_edges", f"SELECT a.cluster, count(*) AS intra FROM {_PAIRS} p JOIN {_ASSIGNED} a ON p.src = a.node JOIN {_ASSIGNED} b ON p.dst = b.node WHERE a.cluster = b.cluster GROUP BY 1")
@@ -206,8 +213,8 @@ def roc_auc(t: Tables) -> DataFrame:
     f"WITH s AS {_RANKED}, k AS (SELECT hit, row_number() OVER (ORDER BY score DESC, node) AS rank, sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (ORDER BY score DESC, node ROWS UNBOUNDED PRECEDING) AS found FROM s) SELECT {r.rnd('avg(1.0::DOUBLE * found / rank)', 6)} AS average_precision, count(*) AS positives FROM k WHERE hit",
 )
 def average_precision(t: Tables) -> DataFrame:
-    w = Window.orderBy(F.desc("score"), "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    k = scored(t).withColumns({"rank": F.row_number().over(w), "found": F.sum(flag(F.col("hit"))).over(w)}).where("hit")
+    rows = scored(t).withColumn("h", flag(F.col("hit")))
+    k = graph.ranked(rows, [F.desc("score"), F.col("node")], "rank", {"found": "h"}).where("hit")
     return k.agg(round_to(F.avg(F.col("found") / F.col("rank")), 6).alias("average_precision"), F.count("*").alias("positives"))
 
 
@@ -252,15 +259,16 @@ def relational_mean(t: Tables) -> DataFrame:
 
 @query("gm25_nearest_centroid", "WITH s AS (SELECT cluster, i, avg(x) AS c FROM (SELECT cluster, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM {vectors}) GROUP BY 1, 2), n AS (SELECT cluster, sqrt(sum(c * c)) AS norm FROM s GROUP BY 1), v AS (SELECT node, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM {vectors}), d AS (SELECT node, s.cluster, sum(x * c) / max(norm) AS cos FROM v JOIN s USING (i) JOIN n ON s.cluster = n.cluster GROUP BY 1, 2) SELECT node, " + r.rnd("max(cos)", 6) + " AS cosine FROM d GROUP BY 1")
 def nearest_centroid(t: Tables) -> DataFrame:
-    """The largest cosine with any cluster's centroid. There is one centroid for each cluster, so all of them go to every task; more than 1,000 are refused."""
+    """The largest cosine with any cluster's centroid. Centroids go to every task in blocks of BLOCK, and the largest of the blocks' cosines is kept."""
     parts = t.vectors.select("cluster", F.posexplode("embedding").alias("i", "x")).groupBy("cluster", "i").agg(F.avg(F.col("x").cast("double")).alias("c"))
     centroids = parts.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda p: p["c"]).alias("c"))
-    if centroids.limit(1001).count() > 1000:
-        raise ValueError("too many centroids to compare each vector with all of them")
     unit = centroids.select((F.transform("c", lambda x: x / F.sqrt(dot(F.col("c"), F.col("c"))))).alias("c"))
-    every = unit.agg(F.collect_list("c").alias("all"))
+    numbered = graph.saved(unit.withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK)))
+    every = numbered.groupBy("block").agg(F.collect_list("c").alias("all"))
     cos = F.array_max(F.transform("all", lambda c: dot(c, F.col("embedding"))))
-    return t.vectors.crossJoin(F.broadcast(every)).select("node", round_to(cos, 6).alias("cosine"))
+    # A stated set (centroids, one for each cluster) against all rows, block by block.
+    best = t.vectors.join(every.select("all")).groupBy("node").agg(F.max(cos).alias("cosine"))
+    return best.select("node", round_to(F.col("cosine"), 6).alias("cosine"))
 
 
 @query("gm21_candidate_ranking", f"{_CLUSTERS}, c AS (SELECT cluster, CASE WHEN {_ENRICH} <= 1 THEN {r.rnd('ln(1 + coalesce(intra, 0) / (1.0::DOUBLE * size))', 6)} ELSE 0 END AS novelty FROM g LEFT JOIN e USING (cluster), b), k AS (SELECT cluster, row_number() OVER (ORDER BY novelty DESC, cluster) AS cluster_rank FROM c) SELECT a.node, a.cluster, cluster_rank, row_number() OVER (PARTITION BY a.cluster ORDER BY score DESC, a.node) AS place FROM a JOIN k ON a.cluster = k.cluster JOIN (SELECT node, {_SCORE} AS score FROM {{vectors}}) s ON a.node = s.node WHERE NOT bad QUALIFY place <= 5")

@@ -16,12 +16,13 @@ PLACE = {"lat": 38.0, "lon": -30.0, "city": "CDN / Host Unknown"}
 
 _FIRST = "QUALIFY row_number() OVER (PARTITION BY u ORDER BY snap DESC, url) = 1"
 _SNAP = "(SELECT *, rtrim(url, '/') AS u FROM {snapshots})"
+_SCAN = f"(SELECT *, rtrim(url, '/') AS u FROM {{snapshots}} WHERE {r.public_host('url')})"
 _LATEST = f"""(SELECT l.u AS host, l.snap, l.total, l.active, l.is_online, l.invite_required, l.ip, b.best_total, b.best_active, coalesce(l.version, v.version) AS version,
     coalesce(l.country, g.country) AS country, coalesce(l.country_code, g.country_code) AS country_code, coalesce(l.city, g.city) AS city, coalesce(l.lat, g.lat) AS lat, coalesce(l.lon, g.lon) AS lon, coalesce(l.org, g.org) AS org, b.in_directory
-    FROM (SELECT * FROM {_SNAP} WHERE is_partial = 0 {_FIRST}) l
-    JOIN (SELECT u, max(CASE WHEN is_partial = 0 THEN total END) AS best_total, CAST(max(CASE WHEN is_partial = 0 THEN active END) AS BIGINT) AS best_active, max(CASE WHEN in_directory = 1 THEN 1 ELSE 0 END) AS in_directory FROM {_SNAP} GROUP BY 1) b USING (u)
-    LEFT JOIN (SELECT * FROM {_SNAP} WHERE version IS NOT NULL AND is_partial = 0 {_FIRST.replace(', url', ', version DESC')}) v USING (u)
-    LEFT JOIN (SELECT * FROM {_SNAP} WHERE (country IS NOT NULL OR org IS NOT NULL) AND is_partial = 0 {_FIRST}) g USING (u))"""
+    FROM (SELECT * FROM {_SCAN} WHERE is_partial = 0 {_FIRST}) l
+    JOIN (SELECT u, max(CASE WHEN is_partial = 0 THEN total END) AS best_total, CAST(max(CASE WHEN is_partial = 0 THEN active END) AS BIGINT) AS best_active, max(CASE WHEN in_directory = 1 THEN 1 ELSE 0 END) AS in_directory FROM {_SCAN} GROUP BY 1) b USING (u)
+    LEFT JOIN (SELECT * FROM {_SCAN} WHERE version IS NOT NULL AND is_partial = 0 {_FIRST.replace(', url', ', version DESC')}) v USING (u)
+    LEFT JOIN (SELECT * FROM {_SCAN} WHERE (country IS NOT NULL OR org IS NOT NULL) AND is_partial = 0 {_FIRST}) g USING (u))"""
 
 
 def scans(t: Tables) -> DataFrame:
@@ -32,12 +33,15 @@ def scans(t: Tables) -> DataFrame:
 def latest(t: Tables) -> DataFrame:
     """One row for each host: its latest complete scan; version and place from the latest scan that had them; best counts ever.
 
-    Two aggregations on the same key, so they share their shuffle; the normalised name is unique.
+    One aggregation over one reading of the scans; the normalised name is unique. listed is the latest complete scan of a listed host.
     """
-    full = scans(t).where("is_partial = 0")
-    now = composite_fallback(full.select("host", "snap", "total", "active", "is_online", "invite_required", "ip", "version", *GEO), ["host"], "snap", [["version"], GEO])
-    best = scans(t).groupBy("host").agg(F.max(F.when(F.col("is_partial") == 0, F.col("total"))).alias("best_total"), F.max(F.when(F.col("is_partial") == 0, F.col("active"))).alias("best_active"), F.max(F.when(F.col("in_directory") == 1, 1).otherwise(0)).alias("in_directory"))
-    return now.join(best, "host")
+    full = F.col("is_partial") == 0
+    best = lambda c: F.max(F.when(full, F.col(c))).alias(f"best_{c}")
+    listed = F.max(F.when(full & (F.col("in_directory") == 1), F.struct("snap", F.col("is_online").alias("online"), F.col("invite_required").alias("invite")))).alias("listed")
+    rows = scans(t).select("host", "snap", "total", "active", "is_online", "invite_required", "ip", "version", *GEO, "is_partial", "in_directory")
+    extra = [best("total"), best("active"), F.max(F.when(F.col("in_directory") == 1, 1).otherwise(0)).alias("listed_ever"), listed]
+    now = composite_fallback(rows, ["host"], "snap", [["version"], GEO], full, extra)
+    return now.drop("is_partial", "in_directory").withColumnRenamed("listed_ever", "in_directory")
 
 
 @query("q47_latest_scan", f"SELECT u AS host, snap, total, CAST(active AS BIGINT) AS active FROM {_SNAP} {_FIRST}")
@@ -68,7 +72,7 @@ def host_age(t: Tables) -> DataFrame:
     return c.join(m, "host", "left").select("host", F.least("f", F.coalesce("m", "f")).alias("first_week"), "accounts")
 
 
-@query("q52_active_hosts", f"SELECT count(*) AS active_hosts, {r.long_sum('mx > 50')} AS large_hosts FROM (SELECT u, max(total) AS mx FROM {_SNAP} GROUP BY 1 HAVING max(total) > 0)")
+@query("q52_active_hosts", f"SELECT count(*) AS active_hosts, {r.long_sum('mx > 50')} AS large_hosts FROM (SELECT u, max(total) AS mx FROM {_SCAN} GROUP BY 1 HAVING max(total) > 0)")
 def active_hosts(t: Tables) -> DataFrame:
     by = scans(t).groupBy("host").agg(F.max("total").alias("mx")).where("mx > 0")
     return by.agg(F.count("*").alias("active_hosts"), F.sum(flag(F.col("mx") > 50)).alias("large_hosts"))
@@ -106,7 +110,7 @@ def latest_state(t: Tables) -> DataFrame:
     return latest(t).select("host", "snap", "total", "active", "best_total", "best_active", "version", "country", "country_code", "city", "lat", "lon", "org", "in_directory")
 
 
-_ONE = f"(SELECT * FROM {_SNAP} WHERE in_directory = 1 AND is_partial = 0 {_FIRST})"
+_ONE = f"(SELECT * FROM {_SCAN} WHERE in_directory = 1 AND is_partial = 0 {_FIRST})"
 
 
 @query(
@@ -118,12 +122,13 @@ _ONE = f"(SELECT * FROM {_SNAP} WHERE in_directory = 1 AND is_partial = 0 {_FIRS
 )
 def overview(t: Tables) -> DataFrame:
     """One row: listed hosts by state, countries, and users with hosts behind one address counted once."""
-    listed = latest_per_key(scans(t).where("in_directory = 1 AND is_partial = 0"), ["host"], [F.desc("snap"), F.col("url")])
-    d = listed.agg(F.count("*").alias("total"), F.sum(flag(F.col("is_online") == 1)).alias("online"), F.sum(flag(F.col("is_online") == 0)).alias("offline"), F.sum(flag(F.col("invite_required") == 0)).alias("open_registration"), F.sum(flag((F.col("invite_required") != 0) | F.col("invite_required").isNull())).alias("invite_only"))
     p = latest(t)
+    is_ = lambda c: F.sum(flag(F.col("listed").isNotNull() & c))
+    online, invite = F.col("listed.online"), F.col("listed.invite")
+    d = p.agg(is_(F.lit(True)).alias("total"), is_(online == 1).alias("online"), is_(online == 0).alias("offline"), is_(invite == 0).alias("open_registration"), is_((invite != 0) | invite.isNull()).alias("invite_only"), F.count_distinct("country_code").alias("countries"))
     backend = F.when(F.col("org").contains("Cloudflare"), F.col("host")).otherwise(F.coalesce("ip", "host"))
     b = p.groupBy(backend.alias("backend")).agg(F.max("best_total").alias("n"), F.max("best_active").alias("a")).agg(F.sum("n").alias("users"), F.sum("a").alias("active"))
-    return d.crossJoin(F.broadcast(p.agg(F.count_distinct("country_code").alias("countries")))).crossJoin(F.broadcast(b))
+    return d.crossJoin(F.broadcast(b)).select("total", "online", "offline", "open_registration", "invite_only", "countries", "users", "active")
 
 
 @query("q60_countries", f"SELECT country, country_code, count(*) AS n FROM {_LATEST} WHERE country IS NOT NULL GROUP BY 1, 2")

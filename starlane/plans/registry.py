@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from starlane.functions.expr import JUNK, MOST_URL
 from starlane.sources.bindings import Tables, as_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +42,8 @@ def spread(x: str) -> str:
 
 def long_sum(condition: str) -> str:
     return f"CAST(coalesce(sum(CASE WHEN {condition} THEN 1 ELSE 0 END), 0) AS BIGINT)"
+
+
+def public_host(url: str) -> str:
+    """SQL of expr.public_host."""
+    return " AND ".join([*(f"{url} NOT LIKE '{p}'" for p in JUNK), f"({url} LIKE 'http://%' OR {url} LIKE 'https://%')", f"strpos(substr({url}, strpos({url}, '://') + 3), '.') > 0", f"length({url}) <= {MOST_URL}"])

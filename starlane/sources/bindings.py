@@ -25,7 +25,7 @@ BINDINGS = {
     "account_labels": """SELECT doc_id AS did, CASE WHEN toxic = 1 THEN 'spam' WHEN quality = 0 THEN 'impersonation' ELSE 'benign' END AS label,
         DATE '2024-01-01' + CAST(doc_id % 30 AS INT) AS labeled FROM {labels}""",
     "repo_status": """SELECT c_custkey AS did, CASE WHEN c_custkey % 3 = 0 THEN 'deactivated' WHEN c_custkey % 3 = 1 THEN 'takendown' ELSE 'deleted' END AS status
-        FROM {customer} WHERE c_custkey % 11 = 0""",
+        FROM {customer} WHERE c_acctbal < 0""",
     "excluded": """SELECT did FROM {repo_status} UNION SELECT did FROM {account_labels} WHERE label = 'spam'""",
     "cohort": """SELECT a.did, a.created, a.host, CASE WHEN a.host LIKE '%.core.network' THEN 'core' ELSE 'indie' END AS host_type
         FROM {accounts} a LEFT JOIN {excluded} x ON a.did = x.did WHERE x.did IS NULL""",
@@ -40,8 +40,8 @@ BINDINGS = {
     "creations": """SELECT did, host, ts FROM {ops} WHERE nth = 1""",
     "migrations": """SELECT did, op_id, before AS from_host, host AS to_host, ts FROM {ops} WHERE nth > 1 AND before <> host""",
     "current_host": """SELECT o.did, o.host FROM {ops} o JOIN (SELECT did, max(nth) AS nth FROM {ops} GROUP BY did) m ON o.did = m.did AND o.nth = m.nth""",
-    # One row for each host and month, with what a scan of it would report.
-    "snapshots": """SELECT concat('https://', lower(replace(s_name, '#', '-')), CASE WHEN s_suppkey % 10 = 0 THEN '.core.network' ELSE '.host.net' END, CASE WHEN s_suppkey % 7 = 0 AND m % 5 = 0 THEN '/' ELSE '' END) AS url,
+    # One row for each host and month, with what a scan of it would report; some hosts are not public ones.
+    "snapshots": """SELECT concat('https://', lower(replace(s_name, '#', '-')), CASE WHEN s_suppkey % 10 = 0 THEN '.core.network' WHEN s_suppkey % 29 = 3 THEN '.local' WHEN s_suppkey % 29 = 7 THEN '.test:8080' ELSE '.host.net' END, CASE WHEN s_suppkey % 7 = 0 AND m % 5 = 0 THEN '/' ELSE '' END) AS url,
         m AS snap, total, active, CAST(CASE WHEN s_suppkey % 9 = 4 THEN 0 ELSE 1 END AS INT) AS is_online,
         CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE CAST(s_suppkey % 2 AS INT) END AS invite_required,
         CASE WHEN (s_suppkey + m) % 3 = 0 THEN NULL ELSE concat('0.4.', CAST(m % 13 AS VARCHAR(20))) END AS version,
@@ -53,10 +53,10 @@ BINDINGS = {
         CASE WHEN s_suppkey % 6 = 5 THEN NULL ELSE concat('10.1.0.', CAST(s_suppkey % 40 AS VARCHAR(20))) END AS ip, CAST(s_suppkey % 3 AS INT) AS in_directory, CAST(CASE WHEN (s_suppkey * 3 + m) % 17 = 0 THEN 1 ELSE 0 END AS INT) AS is_partial
         FROM (SELECT l_suppkey, CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) AS INT) AS m, count(*) AS total, sum(CASE WHEN l_returnflag <> 'R' THEN 1 ELSE 0 END) AS active FROM {lineitem} GROUP BY 1, 2) l
         JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey""",
-    "did_langs": """SELECT doc_id % 200 AS did, concat(lang, CASE WHEN doc_id % 4 = 0 THEN '-x' ELSE '' END) AS lang, count(*) AS posts FROM {documents} WHERE lang IS NOT NULL GROUP BY 1, 2""",
+    "did_langs": """SELECT CAST(floor(doc_id / 5.0) AS BIGINT) AS did, concat(lang, CASE WHEN doc_id % 4 = 0 THEN '-x' ELSE '' END) AS lang, count(*) AS posts FROM {documents} WHERE lang IS NOT NULL GROUP BY 1, 2""",
     "collections": """SELECT concat(CASE WHEN page_id % 5 = 0 THEN 'core.app' ELSE concat('ns', CAST(page_id % 6 AS VARCHAR(20)), '.', CASE WHEN page_id % 2 = 0 THEN 'blog' ELSE 'chat' END) END, '.item', CAST(page_id % 3 AS VARCHAR(20))) AS collection,
-        page_id % 150 AS did, DATE '2024-01-01' + CAST(page_id % 30 AS INT) AS dt, count(*) AS n FROM {pages} GROUP BY 1, 2, 3""",
-    "pack_joins": """SELECT concat('pack/', CAST(user_id % 60 AS VARCHAR(20))) AS uri, CAST(ts AS DATE) AS dt, count(*) AS n FROM {events} WHERE event_type = 'signup' GROUP BY 1, 2""",
+        CAST(floor(page_id / 2.0) AS BIGINT) AS did, DATE '2024-01-01' + CAST(page_id % 30 AS INT) AS dt, count(*) AS n FROM {pages} GROUP BY 1, 2, 3""",
+    "pack_joins": """SELECT concat('pack/', CAST(CAST(floor(user_id / 3.0) AS BIGINT) AS VARCHAR(20))) AS uri, CAST(ts AS DATE) AS dt, count(*) AS n FROM {events} WHERE event_type = 'signup' GROUP BY 1, 2""",
     "follows": """SELECT a.l_suppkey AS src, b.l_suppkey AS dst FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey
         WHERE a.l_returnflag = 'R' AND a.l_quantity >= 45 AND b.l_returnflag = 'R' AND b.l_quantity >= 45""",
     "vectors": """SELECT vec_id AS node, label AS cluster, embedding FROM {embeddings}""",
