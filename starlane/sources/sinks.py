@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starlane.operators.archetypes import merge
@@ -25,14 +25,76 @@ def read_merged(spark: SparkSession, path: str, keys: list[str], how: dict[str,
     return merge(deltas, deltas.limit(0), keys, how)
 
 
-def upsert(spark: SparkSession, path: str, delta: DataFrame, keys: list[str], how: dict[str, str], by: str) -> None:
+def upsert(spark: SparkSession, path: str, delta: DataFrame, keys: list[str], how: dict[str, str], by: str, order: str | None = None) -> None:
     """Merges delta into a table partitioned by `by`, one of the keys: only its partitions are read and replaced."""
     saved = shared_folder(spark)
     touched = [r[0] for r in delta.select(by).distinct().collect()]  # one value for each partition that changes
     old = spark.read.parquet(path).where(F.col(by).isin(touched))
-    merge(old.select(*keys, *how), delta.select(*keys, *how), keys, how).write.parquet(saved)
+    merge(old.select(*keys, *how), delta.select(*keys, *how), keys, how, order).write.parquet(saved)
     replace_partitions(spark.read.parquet(saved), path, [by])
 
 
-def report(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+def with_tombstones(changes: DataFrame, keys: list[str], order: str, deleted: Column) -> DataFrame:
+    """The last change of each key with deleted_at: when it went, if that was the last that happened; a later change brings it back."""
+    plain = [c for c in changes.columns if c not in keys]
+    last = changes.withColumn("deleted_at", F.when(deleted, F.col(order))).groupBy(*keys).agg(F.max(F.struct(F.col(order).alias("__o"), *plain, "deleted_at")).alias("l"))
+    return last.select(*keys, *(f"l.{c}" for c in plain), "l.deleted_at")
+
+
+def prune(spark: SparkSession, path: str, by: str, first_kept: str | None) -> int:
+    """Deletes partitions before first_kept (as their names sort); without it nothing. How many went."""
+    if not first_kept:
+        return 0
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = [f.getPath() for f in store.listStatus(folder) if f.getPath().getName().startswith(f"{by}=") and f.getPath().getName() < f"{by}={first_kept}"]
+    for one in old:
+        store.delete(one, True)
+    return len(old)
+
+
+def rewind(spark: SparkSession, path: str, by: str, first_full: str, replayed: DataFrame) -> None:
+    """Additive days from first_full on are deleted and written again from what is replayed; the day on which the replay begins is partial and stays as it is."""
+    saved = shared_folder(spark)
+    replayed.where(F.col(by) >= F.lit(first_full)).write.parquet(saved)
+    later = [r[0] for r in spark.read.parquet(path).where(F.col(by) >= F.lit(first_full)).select(F.col(by).cast("string")).distinct().collect()]  # one value for each day
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for day in later:
+        where = folder(f"{path}/{by}={day}")
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    spark.read.parquet(saved).write.mode("append").partitionBy(by).parquet(path)
+
+
+def commit_batch(spark: SparkSession, base: str, batch: int, tables: dict[str, DataFrame]) -> None:
+    """Several tables of one batch become visible together: each is written under the batch's number, and a mark after all of them."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{base}/{name}/batch={batch}")
+    spark.range(1).write.mode("overwrite").parquet(f"{base}/committed/batch={batch}")
+
+
+def read_committed(spark: SparkSession, base: str, name: str) -> DataFrame:
+    """Rows of batches that are marked; of others nothing is seen."""
+    marks = spark.read.parquet(f"{base}/committed").select("batch").distinct()
+    return spark.read.parquet(f"{base}/{name}").join(F.broadcast(marks.limit(1 << 20)), "batch", "left_semi").drop("batch")
+
+
+def report(df: DataFrame, path: str) -> bool:
+    """A CSV report with a header, quoted as RFC 4180 has it; nothing at all is written for no rows. Whether it was written."""
+    if df.isEmpty():
+        return False
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    return True
+
+
+def json_lines(df: DataFrame, path: str, by: list[str]) -> None:
+    """JSON lines in folders by column, as in dt=2024-01-01/hr=07."""
+    df.write.mode("overwrite").partitionBy(*by).json(path)
+
+
+def bundle(variants: dict[str, DataFrame], path: str, rest: str = "variant") -> None:
+    """Results in variants (such as with and without the platform's own hosts) as JSON lines, each row with its variant's name."""
+    out = None
+    for name, df in variants.items():
+        rows = df.select(F.lit(name).alias(rest), F.to_json(F.struct("*")).alias("row"))
+        out = rows if out is None else out.unionByName(rows)
+    out.write.mode("overwrite").json(path)
