@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,10 +21,26 @@ def clusters(df: DataFrame, column: str, k: int, seed: int = 42, rounds: int = 2
     return model.transform(rows).drop("features")
 
 
-def linear_probe(df: DataFrame, column: str, label: str) -> DataFrame:
-    """df with the probability of label = 1 from a logistic model in which both classes weigh the same."""
-    rows = vectors(df, column).withColumn("label", F.col(label).cast("double"))
+def _weighted(df: DataFrame, label: str) -> DataFrame:
+    """Both classes weigh the same in all."""
+    rows = df.withColumn("label", F.col(label).cast("double"))
     share = rows.agg(F.avg("label")).first()[0] or 0.5
-    weighted = rows.withColumn("weight", F.when(F.col("label") == 1, 0.5 / share).otherwise(0.5 / max(1 - share, 1e-9)))
-    model = LogisticRegression(weightCol="weight", regParam=1e-3).fit(weighted)
-    return model.transform(weighted).withColumn("probability", vector_to_array("probability")[1]).drop("features", "rawPrediction", "prediction", "weight", "label")
+    return rows.withColumn("weight", F.when(F.col("label") == 1, 0.5 / share).otherwise(0.5 / max(1 - share, 1e-9)))
+
+
+def _scored(model, df: DataFrame) -> DataFrame:
+    return model.transform(df).withColumn("probability", vector_to_array("probability")[1]).drop("features", "rawPrediction", "prediction", "weight", "label")
+
+
+def linear_probe(known: DataFrame, candidates: DataFrame, column: str, label: str, c: float = 1.0) -> DataFrame:
+    """candidates with the probability of label = 1, from a balanced logistic model fitted on what is known; c weighs the rows against the penalty."""
+    rows = _weighted(vectors(known, column), label)
+    model = LogisticRegression(weightCol="weight", regParam=1.0 / (c * max(rows.count(), 1))).fit(rows)
+    return _scored(model, vectors(candidates, column))
+
+
+def boosted_trees(known: DataFrame, candidates: DataFrame, columns: list[str], label: str, rounds: int = 20, depth: int = 4, seed: int = 42) -> DataFrame:
+    """candidates with the probability of label = 1, from boosted trees fitted on what is known; both classes weigh the same."""
+    assemble = VectorAssembler(inputCols=columns, outputCol="features")
+    model = GBTClassifier(weightCol="weight", maxIter=rounds, maxDepth=depth, seed=seed).fit(assemble.transform(_weighted(known, label)))
+    return _scored(model, assemble.transform(candidates))

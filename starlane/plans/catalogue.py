@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from starlane.plans import cohorts, collectors, cubes, details, graphs, hosts, records, writes  # noqa: F401  (register)
+from starlane.plans import cohorts, collectors, cubes, details, graphs, hosts, models, records, writes  # noqa: F401  (register)
 from starlane.plans.registry import QUERIES, SQL
 from starlane.streaming import folds
 

@@ -168,5 +168,30 @@ def test_clusters_and_probe(spark):
     rows = [(i, i % 3, [float(x) for x in rng.normal(10 * (i % 3), 0.1, 4)]) for i in range(60)]
     df = spark.createDataFrame(rows, "id int, c int, v array<double>")
     assert learn.clusters(df, "v", 3).select("c", "assigned").distinct().count() == 3
-    p = learn.linear_probe(df.withColumn("y", (F.col("c") == 2).cast("int")), "v", "y").collect()
+    labelled = df.withColumn("y", (F.col("c") == 2).cast("int"))
+    p = learn.linear_probe(labelled, labelled, "v", "y").collect()
     assert all((r.probability > 0.5) == (r.c == 2) for r in p)
+
+
+def test_boosted_trees_on_rows_not_seen(spark):
+    rng = np.random.default_rng(1)
+    rows = [(float(a), float(b), int(a * b > 0)) for a, b in rng.normal(size=(600, 2))]
+    df = spark.createDataFrame(rows, "a double, b double, y int")
+    from starlane.operators import learn
+
+    got = learn.boosted_trees(df.limit(400), df.subtract(df.limit(400)), ["a", "b"], "y").collect()
+    assert len(got) >= 190 and sum((r.probability >= 0.5) == bool(r.y) for r in got) > 0.85 * len(got)
+
+
+def test_ranked_sums_over_partitions(spark):
+    rows = spark.range(500).select(F.col("id"), (F.col("id") % 7).alias("v"))
+    got = {r.id: (r.rank, r.upto) for r in graph.ranked(rows, [F.desc("id")], "rank", {"upto": "v"}).collect()}
+    total = 0
+    for rank, i in enumerate(range(499, -1, -1), 1):
+        total += i % 7
+        assert got[i] == (rank, total)
+
+
+@pytest.mark.parametrize(("url", "public"), [("https://a.host.net", True), ("ftp://a.net", False), ("https://nodots", False), ("https://x.local", False), ("https://x.local.net", True), ("https://x.test:80", False), ("http://core.network", False), ("https://a.core.network", True), ("https://10x0.0.1.net", True), ("https://" + "a" * 200 + ".net", False)])
+def test_public_hosts(spark, url, public):
+    assert one(spark, expr.public_host(F.lit(url))) is public
