@@ -5,7 +5,7 @@ words in windows of five that stand twice or more in the text.
 
 Cross-document line frequency: the lines that have a word are normalised (lower case, white space collapsed) and hashed. For each
 host (the source) the distinct texts that have a line are counted, so that copies of a text count once. A line is boilerplate if
-more than max(LEAST_DOCUMENTS, SHARE of the host's distinct texts) have it; boilerplate lines are removed, and a document of which
+more than max(LEAST_DOCUMENTS, SHARE of the host's distinct texts) have it, or more than MOST_DOCUMENTS on a host of any size; boilerplate lines are removed, and a document of which
 less than DEPLETED of the characters in lines is left is rejected.
 
 Nulls, ties and the like: a null text has no words and so fails; a null source is a host of its own; repeated rows are judged
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from starlane.llm.common import SPACE, materialize, plain_words
 
 WINDOW = 5
-LEAST_DOCUMENTS, SHARE, DEPLETED = 20, 0.10, 0.30
+LEAST_DOCUMENTS, MOST_DOCUMENTS, SHARE, DEPLETED = 20, 1000, 0.10, 0.30
 LEAST_WORDS, MOST_REPEATED_PERCENT = 10, 20
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -62,13 +62,13 @@ def statistics(docs: DataFrame) -> DataFrame:
     )
 
 
-def quality(docs: DataFrame, least: int = LEAST_DOCUMENTS, share: float = SHARE, depleted: float = DEPLETED) -> DataFrame:
+def quality(docs: DataFrame, least: int = LEAST_DOCUMENTS, share: float = SHARE, depleted: float = DEPLETED, most: int = MOST_DOCUMENTS) -> DataFrame:
     """A row for each of docs: doc_id, the statistics, base_failed, line_chars, boilerplate_chars, kept."""
     stats = materialize(statistics(docs).withColumn("row", F.monotonically_increasing_id()), "quality")
     lines = stats.select("row", "host", "th", F.explode("lines").alias("l")).select("row", "host", "th", "l.*")
     texts = stats.select("host", "th").distinct().groupBy("host").agg(F.count("*").alias("texts"))
     frequent = lines.select("host", "line", "th").distinct().groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > least)
-    boilerplate = frequent.join(texts, "host").where(F.col("n") > F.greatest(F.lit(float(least)), F.lit(share) * F.col("texts"))).select("host", "line")
+    boilerplate = frequent.join(texts, "host").where(F.col("n") > F.least(F.lit(float(most)), F.greatest(F.lit(float(least)), F.lit(share) * F.col("texts")))).select("host", "line")
     removed = lines.join(boilerplate, ["host", "line"]).groupBy("row").agg(F.sum("chars").alias("boilerplate_chars"))
     out = stats.withColumns({"line_chars": F.aggregate("lines", F.lit(0).cast("long"), lambda s, x: s + x["chars"]), "base_failed": (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))})
     out = out.drop("lines").join(removed, "row", "left").withColumn("boilerplate_chars", F.coalesce("boilerplate_chars", F.lit(0)).cast("long"))

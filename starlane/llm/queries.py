@@ -112,7 +112,7 @@ win AS (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT r, w, un
 rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS n FROM win) WHERE n > 1) GROUP BY r),
 ln AS (SELECT r, host, text, x, length(x) AS chars, regexp_replace(lower(trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), '[\x20\x09-\x0D]+', ' ', 'g') AS line FROM (SELECT r, host, text, unnest(l) AS x FROM w)),
 hosts AS (SELECT host, count(DISTINCT text) AS texts FROM d GROUP BY host),
-bad AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT text) AS n FROM ln GROUP BY host, line) JOIN hosts USING (host) WHERE n > 20 AND n > 0.10::DOUBLE * texts),
+bad AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT text) AS n FROM ln GROUP BY host, line) JOIN hosts USING (host) WHERE n > 20 AND n > least(1000.0::DOUBLE, 0.10::DOUBLE * texts)),
 gone AS (SELECT r, sum(chars) AS chars FROM ln JOIN bad USING (host, line) GROUP BY r),
 every AS (SELECT r, sum(chars) AS chars FROM ln GROUP BY r),
 o AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,

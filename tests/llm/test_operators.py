@@ -591,6 +591,14 @@ def brute_quality(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(repeated)
 
 
+def test_quality_limit_does_not_rise_with_the_host(spark):
+    """A line in 60 of 1,000 texts is below the share, but above a fixed count."""
+    rows = [(i, ("same line in many texts of this host here\n" if i < 60 else "") + f"its own words {i} a b c d e f g", "h") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    gone = lambda **how: quality.quality(docs, **how).where("boilerplate_chars > 0").count()
+    assert gone() == 0 and gone(most=50) == 60 and gone(most=60) == 0
+
+
 def test_quality_statistics(odd, spark, nothing):
     extra = spark.createDataFrame([(20, "a b c d e f\na b c d e f\n\nx é# $ç\n a b c d e f", "en", "a"), (21, "a " * 7, "en", None)], "doc_id long, text string, lang string, source string")
     docs = odd.select("doc_id", "text", "lang", "source").unionByName(extra)
