@@ -125,6 +125,16 @@ def merge(old: DataFrame, delta: DataFrame, keys: list[str], how: dict[str, str]
     return both.groupBy(*keys).agg(*(make[h](c).cast(kinds[c]).alias(c) for c, h in how.items()))
 
 
+def null_aware_anti(df: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """Rows of df whose key is NOT IN others: all if others is empty, none if it holds a null, and none with a null key unless it is empty.
+
+    An anti join on equality and one row of counts, so neither side is broadcast whatever its size.
+    """
+    held = others.agg(F.count("*").alias("__rows"), F.count(key).alias("__named"))
+    apart = df.join(others.select(key).distinct(), key, "left_anti").crossJoin(F.broadcast(held))
+    return apart.where((F.col("__rows") == 0) | ((F.col("__rows") == F.col("__named")) & F.col(key).isNotNull())).select(*df.columns)
+
+
 def rank_metrics(df: DataFrame, score: str, hit: str, key: str, ks: list[int]) -> DataFrame:
     """k, precision, recall, lift of the k best by score. Only the best max(ks) rows are ordered."""
     totals = df.agg(F.count("*").alias("n"), F.sum(F.col(hit).cast("long")).alias("hits"))

@@ -1,6 +1,7 @@
 """Operators and expressions on rows written by hand."""
 
 import datetime as dt
+import math
 
 import numpy as np
 import pytest
@@ -195,3 +196,33 @@ def test_ranked_sums_over_partitions(spark):
 @pytest.mark.parametrize(("url", "public"), [("https://a.host.net", True), ("ftp://a.net", False), ("https://nodots", False), ("https://x.local", False), ("https://x.local.net", True), ("https://x.test:80", False), ("http://core.network", False), ("https://a.core.network", True), ("https://10x0.0.1.net", True), ("https://" + "a" * 200 + ".net", False)])
 def test_public_hosts(spark, url, public):
     assert one(spark, expr.public_host(F.lit(url))) is public
+
+
+def test_null_aware_anti(spark):
+    def kept(keys, others):
+        df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k string, i int")
+        return sorted(r.i for r in ops.null_aware_anti(df, spark.createDataFrame([(o,) for o in others], "k string"), "k").collect())
+
+    assert kept(["a", "b", None, "b"], []) == [0, 1, 2, 3]
+    assert kept(["a", "b", None, "b"], ["a", "a"]) == [1, 3]
+    assert kept(["a", "b", None, "b"], ["a", None]) == []
+    assert kept([], ["a"]) == []
+
+
+def test_focal_loss(spark):
+    from starlane.plans.choices import focal_loss
+
+    rows = [(0.9, True), (0.9, False), (0.2, True), (0.5, False)]
+    df = spark.createDataFrame(rows, "p double, hit boolean")
+    for gamma in (0.0, 2.0):
+        got = [r.v for r in df.select(focal_loss(F.col("p"), F.col("hit"), gamma, 3.0).alias("v")).collect()]
+        want = [(3 if hit else 1) * -math.log(p if hit else 1 - p) * ((1 - p) if hit else p) ** gamma for p, hit in rows]
+        assert got == pytest.approx(want)
+
+
+def test_eras_take_whole_months(spark):
+    from starlane.plans.choices import era
+
+    days = {"2022-12-31": "Pre-2023", "2023-01-01": "2023", "2024-10-31": "2024 pre-Nov", "2024-11-01": "2024 Nov–Dec", "2025-06-30": "2025 H1", "2026-01-01": "2026+", None: None}
+    got = spark.createDataFrame([(d,) for d in days], "d string").select("d", era(F.col("d")).alias("e")).collect()
+    assert {r.d: r.e for r in got} == days
