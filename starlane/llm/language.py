@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE, PER_LANGUAGE, PIECES = 2000, 400, 2
+#: So many languages at most have the hashes of their ids bounded when the sample is drawn.
+BOUNDED = 1 << 12
 FEATURES = 4096
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double"
 # Language codes by family.
@@ -131,10 +133,12 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE, per_language: int = PER
     """At most per_language rows of each language and sample in all, by the order of a hash of the id."""
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     ids = known.select("doc_id", "lang").withColumn("h", F.xxhash64("doc_id"))
-    # Only as many of a language's ids as surely hold its first ones meet in one task: those with hashes below a bound.
-    share = F.lit(20.0 * per_language + 200) / F.col("n")
-    bounds = ids.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).select("lang", F.when(share < 1, ((share * 2 - 1) * (2.0**63)).cast("long")).alias("bound"))
-    near_first = ids.join(bounds, "lang").where(F.col("bound").isNull() | (F.col("h") <= F.col("bound"))).select("doc_id", "lang")
+    # Of a language with many ids only as many as surely hold its first ones are dealt by language: those with hashes below a bound.
+    # The largest BOUNDED languages have one; any other has at most one row in BOUNDED of them all.
+    share = F.lit(4.0 * per_language + 200) / F.col("n")
+    many = ids.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).where(share < 1).orderBy(F.desc("n"), "lang").limit(BOUNDED)
+    bounds = F.broadcast(many.select("lang", ((share * 2 - 1) * (2.0**63)).cast("long").alias("bound")))
+    near_first = ids.join(bounds, "lang", "left").where(F.col("bound").isNull() | (F.col("h") <= F.col("bound"))).select("doc_id", "lang")
     ranked = near_first.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
     chosen = ranked.where(F.col("rank") <= per_language).orderBy("rank", "lang").limit(sample).drop("rank")
     # chosen has at most `sample` rows.

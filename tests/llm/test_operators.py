@@ -678,3 +678,16 @@ def test_chat_escape_is_reversible(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", chat.escape(F.col("t")).alias("e"), chat.escape(F.col("t"), line=True).alias("l"))
     for r in df.collect():
         assert chat.unescape(r.e) == r.t and chat.unescape(r.l, line=True) == r.t and "<|" not in r.e and "\n" not in r.l
+
+
+@pytest.mark.parametrize("bounded", [0, 1, 4096])
+def test_language_sample_takes_the_first_ids_of_each_language(spark, monkeypatch, bounded):
+    """However many rows a language has, and whether or not its ids are bounded before they are dealt."""
+    monkeypatch.setattr(language, "BOUNDED", bounded)
+    rows = [(i, "t", "en" if i % 10 else ("de" if i % 20 else None)) for i in range(12_000)] + [(i, "u", "en") for i in range(50)] + [(None, "t", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    got = sorted((r.lang, r.doc_id) for r in language.training_rows(df, 70, 40).select("lang", "doc_id").collect())
+    hashed = {r.doc_id: r.h for r in spark.range(12_000).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("h")).collect()}
+    ids = {k: sorted({i for i, _, lang in rows if lang == k and i is not None and zlib.crc32(str(i).encode()) % 5}, key=lambda i: (hashed[i], i))[:40] for k in ("de", "en")}
+    ranked = sorted((n, lang, i) for lang, of in ids.items() for n, i in enumerate(of))[:70]
+    assert got == sorted((lang, i) for _, lang, i in ranked)
