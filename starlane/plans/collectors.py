@@ -126,6 +126,29 @@ def retry_schedule(t: Tables) -> DataFrame:
     return failed.withColumn("retry_minutes", F.least(n * n * RETRY_BASE, F.lit(RETRY_MOST)))
 
 
+ATTEMPTS, NOW = 10, "2024-01-15 00:00:00"
+
+
+def after_retry(queue: DataFrame, now: Column, sent: Column) -> DataFrame:
+    """A dead-letter queue after a round at `now`: rows that are due and sent go, those that fail again wait for longer, those not due stay as they are; the last attempt ends a row."""
+    n = F.col("attempts") + 1
+    due = F.col("due") <= now
+    later = now + F.make_dt_interval(mins=F.least((n + 1) * (n + 1) * RETRY_BASE, F.lit(RETRY_MOST)))
+    left = queue.where(~(due & sent))
+    return left.withColumns({"attempts": F.when(due, n).otherwise(F.col("attempts")), "due": F.when(due, later).otherwise(F.col("due"))}).where(F.col("attempts") < ATTEMPTS)
+
+
+@query(
+    "sm22_retry_round",
+    f"""WITH q AS (SELECT event_id, CAST(event_id % 12 AS INTEGER) AS attempts, CAST(ts AS TIMESTAMP) AS due, value > 50 AS sent FROM {{events}} WHERE event_type = 'error' AND event_id % 12 < {ATTEMPTS})
+    SELECT event_id, CASE WHEN due <= TIMESTAMP '{NOW}' THEN attempts + 1 ELSE attempts END AS attempts, CASE WHEN due <= TIMESTAMP '{NOW}' THEN TIMESTAMP '{NOW}' + to_minutes(least((attempts + 2) * (attempts + 2) * {RETRY_BASE}, {RETRY_MOST})) ELSE due END AS due
+    FROM q WHERE NOT (due <= TIMESTAMP '{NOW}' AND sent) AND CASE WHEN due <= TIMESTAMP '{NOW}' THEN attempts + 1 ELSE attempts END < {ATTEMPTS}""",
+)
+def retry_round(t: Tables) -> DataFrame:
+    queue = t.events.where("event_type = 'error'").select("event_id", (F.col("event_id") % 12).cast("int").alias("attempts"), F.col("ts").cast("timestamp").alias("due"), (F.col("value") > 50).alias("sent")).where(F.col("attempts") < ATTEMPTS)
+    return after_retry(queue, F.lit(NOW).cast("timestamp"), F.col("sent")).drop("sent")
+
+
 @query("jn20_latest_label", "SELECT did, label, labeled FROM {account_labels} QUALIFY row_number() OVER (PARTITION BY did ORDER BY labeled DESC, label) = 1")
 def latest_label(t: Tables) -> DataFrame:
     return latest_per_key(t.account_labels, ["did"], [F.desc("labeled"), F.col("label")])

@@ -64,3 +64,28 @@ def test_upsert_touches_its_partitions_only(spark, folder):
     assert values(spark.read.parquet(f"{folder}/t").select("k", "day", "n")) == [("a", 1, 6), ("b", 2, 7), ("c", 1, 2)]
     sinks.report(first, f"{folder}/csv")
     assert spark.read.csv(f"{folder}/csv", header=True).count() == 2
+
+
+def test_a_side_table_is_tracked_until_it_is_full(spark, sf_dir, folder):
+    spark.range(0, 400, 1, 4).write.parquet(f"{folder}/in")
+    query = streaming.track_until(streaming.stream(spark, f"{folder}/in", files=1), f"{folder}/out", f"{folder}/state", most=150)
+    query.awaitTermination()
+    assert spark.read.parquet(f"{folder}/out").count() == 200  # 100, 200, then paused
+    seen = streaming.latencies(query)
+    assert sum(b["rows"] for b in seen) == 400
+    assert all(b["total_ms"] >= b["write_ms"] >= 0 for b in seen)
+
+
+def test_latest_values_in_many_batches(spark, folder):
+    rows = [(k, at, f"{k}{at}") for at in range(40) for k in "abc"]
+    df = spark.createDataFrame(rows, "k string, at long, v string")
+    df.repartition(5).write.parquet(f"{folder}/in")
+    streaming.latest_values(streaming.stream(spark, f"{folder}/in", files=1), ["k"], "at", f"{folder}/out", f"{folder}/state").awaitTermination()
+    assert values(streaming.read_latest(spark, f"{folder}/out", ["k"], "at")) == [(k, 39, f"{k}39") for k in "abc"]
+
+
+def test_a_paced_stream_folds_and_stops(spark, sf_dir, folder):
+    query = streaming.fold_stream(streaming.stream(spark, f"{sf_dir}/events.parquet"), f"{folder}/out", f"{folder}/state", every="1 second")
+    query.processAllAvailable()
+    query.stop()
+    assert streaming.folded(spark, f"{folder}/out").count() == folds(spark.read.parquet(f"{sf_dir}/events.parquet")).count()
