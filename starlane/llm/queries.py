@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starlane.llm import chat, decontaminate, language, licenses, mixing, near, quality, sharding, toxicity, warc
+from starlane.llm import chat, decontaminate, language, licenses, linededup, mixing, near, quality, sharding, toxicity, warc
 from starlane.llm.common import finished, spread, table
 
 
@@ -62,6 +62,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = linededup.dedup(spread(table(spark, sf_dir, "documents")).select("doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def _finished(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """The query with its result as a table of its own, so that none of its other scratch tables stay."""
     return lambda spark, sf_dir: finished(lambda: query(spark, sf_dir), query.__name__)
@@ -69,7 +74,7 @@ def _finished(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spar
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     one_pass = {f.__name__: f for f in (op6_license_scan, op7_language, op8_toxicity)}
-    return {f.__name__: _finished(f) for f in (op1_shard, op2_ngram_jaccard, op3_decontaminate, op4_mix_sources, op5_warc, op9_quality_rules, op10_chat_format)} | one_pass
+    return {f.__name__: _finished(f) for f in (op1_shard, op2_ngram_jaccard, op3_decontaminate, op4_mix_sources, op5_warc, op9_quality_rules, op10_chat_format, op11_line_dedup)} | one_pass
 
 
 _OP3 = r"""
@@ -149,5 +154,16 @@ FROM e GROUP BY conv_id
 """
 
 
+_OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+l AS (SELECT r, doc_id, i, x[i] AS line, translate(trim(x[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+      FROM (SELECT r, doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM d)),
+often AS (SELECT k, max(doc_id) AS keeper FROM l WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) + CAST(bool_or(doc_id IS NULL) AS BIGINT) >= 5),
+j AS (SELECT r, l.doc_id, i, line, often.k IS NOT NULL AND l.doc_id IS DISTINCT FROM keeper AS gone FROM l LEFT JOIN often ON l.k = often.k)
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM j GROUP BY r, doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": _OP3, "op4_mix_sources": _OP4, "op5_warc": _OP5, "op9_quality_rules": _OP9, "op10_chat_format": _OP10}
+    return {"op3_decontaminate": _OP3, "op4_mix_sources": _OP4, "op5_warc": _OP5, "op9_quality_rules": _OP9, "op10_chat_format": _OP10, "op11_line_dedup": _OP11}
