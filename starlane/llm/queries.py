@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starlane.llm import chat, decontaminate, language, licenses, linededup, mixing, near, quality, sharding, toxicity, warc
+from starlane.llm import chat, decontaminate, language, licenses, linededup, mixing, near, negatives, quality, ranked, sharding, toxicity, warc
 from starlane.llm.common import finished, spread, table
 
 
@@ -67,6 +67,15 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(spread(table(spark, sf_dir, "documents")).select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(spread(table(spark, sf_dir, "embeddings")), label=label)
+
+
 def _finished(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """The query with its result as a table of its own, so that none of its other scratch tables stay."""
     return lambda spark, sf_dir: finished(lambda: query(spark, sf_dir), query.__name__)
@@ -74,7 +83,7 @@ def _finished(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spar
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     one_pass = {f.__name__: f for f in (op6_license_scan, op7_language, op8_toxicity)}
-    return {f.__name__: _finished(f) for f in (op1_shard, op2_ngram_jaccard, op3_decontaminate, op4_mix_sources, op5_warc, op9_quality_rules, op10_chat_format, op11_line_dedup)} | one_pass
+    return {f.__name__: _finished(f) for f in (op1_shard, op2_ngram_jaccard, op3_decontaminate, op4_mix_sources, op5_warc, op9_quality_rules, op10_chat_format, op11_line_dedup, op12_ranked_search, op13_hard_negatives)} | one_pass
 
 
 _OP3 = r"""
@@ -165,5 +174,31 @@ FROM j GROUP BY r, doc_id
 """
 
 
+_OP12 = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+h AS (SELECT row_number() OVER () AS r, doc_id, CAST(len(w) AS BIGINT) AS n, w FROM d WHERE len(w) > 0),
+b AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+a AS (SELECT DISTINCT q, unnest(w) AS t FROM b),
+p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM h) WHERE t IN (SELECT t FROM a) GROUP BY r, t),
+s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM h),
+f AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p, s GROUP BY t, docs),
+i AS (SELECT p.r, h.doc_id, p.t, weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))) AS points FROM p JOIN h ON p.r = h.r JOIN f ON p.t = f.t, s),
+g AS (SELECT q, r, doc_id, CAST(sum(points) AS BIGINT) AS score FROM a JOIN i ON a.t = i.t GROUP BY q, r, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM g WHERE score > 0) JOIN b USING (q) WHERE rank <= 10
+"""
+
+_OP13 = r"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_dot_product(CAST(a.e AS DOUBLE[]), CAST(b.e AS DOUBLE[])) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+q AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM q JOIN p USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": _OP3, "op4_mix_sources": _OP4, "op5_warc": _OP5, "op9_quality_rules": _OP9, "op10_chat_format": _OP10, "op11_line_dedup": _OP11}
+    return {"op3_decontaminate": _OP3, "op4_mix_sources": _OP4, "op5_warc": _OP5, "op9_quality_rules": _OP9, "op10_chat_format": _OP10, "op11_line_dedup": _OP11, "op12_ranked_search": _OP12, "op13_hard_negatives": _OP13}
