@@ -1,19 +1,11 @@
-"""Graph operators on edge DataFrames. Loops write each round into the session's checkpoint folder, so that lineage stays short and executors may be lost."""
+"""Graph operators on edge DataFrames. Loops write each round into the shared scratch folder, so that lineage stays short and executors may be lost."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starlane.sources.scratch import scratch_dir
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(scratch_dir(df.sparkSession))
-    return df.checkpoint()
+from starlane.sources.scratch import saved
 
 
 def ranked(df: DataFrame, order: list[Column], rank: str, sums: dict[str, str] | None = None) -> DataFrame:

@@ -8,16 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from starlane.functions.expr import JUNK, MOST_URL
 from starlane.sources.bindings import Tables, as_sql
+from starlane.sources.scratch import finished
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
-    """Registers f(tables) under a name."""
+    """Registers f(tables) under a name; of what it writes on the way only the result stays."""
 
     def register(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-        QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: finished(spark, lambda: f(Tables(spark, sf_dir)))
         if sql:
             SQL[name] = as_sql(sql)
         return f

@@ -138,6 +138,16 @@ def committed_together(t: Tables) -> DataFrame:
     return count("creations").unionByName(count("migrations"))
 
 
+@query("snk08_full_refresh", "SELECT host, CAST(date_trunc('week', ts) AS DATE) AS week, count(*) AS n FROM {creations} GROUP BY 1, 2")
+def full_refresh(t: Tables) -> DataFrame:
+    """A cube that is computed anew from all rows: the version that readers see is the last complete one. The first is made of a part, the second of all."""
+    base = f"{shared_folder(t.spark)}/cube"
+    counts = lambda df: df.groupBy("host", week(F.col("ts")).alias("week")).agg(F.count("*").alias("n"))
+    sinks.refresh(counts(t.creations.where(F.col("ts") < F.lit(SINCE).cast("timestamp"))), base)
+    sinks.refresh(counts(t.creations), base)
+    return sinks.read_current(t.spark, base)
+
+
 @query("snk20_nested_json", "SELECT cluster, node FROM {vectors}")
 def nested_json(t: Tables) -> DataFrame:
     """A cluster to a line, its members in blocks inside."""

@@ -6,22 +6,18 @@ folded by itself, and the deltas are merged by key when read. A replayed batch r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from starlane.plans.collectors import event_bit, folds
 from starlane.plans.registry import QUERIES, SQL
-from starlane.sources.scratch import shared_folder
+from starlane.sources.scratch import finished, shared_folder
 from starlane.sources.sinks import append_delta, read_merged, replace_partitions
 
 KEYS, HOW = ["metric", "key", "day"], {"n": "add", "mask": "or"}
-MOVES = "did long, op_id long, from_host string, to_host string, ts timestamp"
 
 
 def stream(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
@@ -88,22 +84,6 @@ def daily_masks(events: DataFrame, lateness: str = "2 days") -> DataFrame:
     return events.withWatermark("ts", lateness).groupBy(day, F.col("user_id").alias("did")).agg(F.bit_or(event_bit(F.col("event_type"))).alias("mask")).select("did", F.to_date("window.start").alias("dt"), "mask")
 
 
-def _moves(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """An account's operations of one micro-batch in order, against the host that it was on."""
-    rows = pd.concat(list(batches)).sort_values(["ts", "op_id"], kind="stable")
-    host = state.get[0] if state.exists else None
-    before = rows["host"].shift(1)
-    before.iloc[0] = host
-    moved = before.notna() & (before != rows["host"])
-    state.update((rows["host"].iloc[-1],))
-    yield pd.DataFrame({"did": rows["did"], "op_id": rows["op_id"], "from_host": before, "to_host": rows["host"], "ts": rows["ts"]})[moved]
-
-
-def moves(operations: DataFrame) -> DataFrame:
-    """Moves between hosts from a stream of operations (did, op_id, ts, host): the last host of each account is its state."""
-    return operations.groupBy("did").applyInPandasWithState(_moves, MOVES, "host string", "append", GroupStateTimeout.NoTimeout)
-
-
 def _streamed_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = shared_folder(spark)
     query = fold_stream(stream(spark, f"{sf_dir}/events.parquet"), f"{target}/out", f"{target}/state")
@@ -121,7 +101,7 @@ def _streamed_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def register() -> None:
     """The streamed folds must give what the batch folds give."""
-    QUERIES["sm18_streamed_latest"] = _streamed_latest
+    QUERIES["sm18_streamed_latest"] = lambda spark, sf_dir: finished(spark, lambda: _streamed_latest(spark, sf_dir))
     SQL["sm18_streamed_latest"] = "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2"
-    QUERIES["sm03_streamed_folds"] = _streamed_folds
+    QUERIES["sm03_streamed_folds"] = lambda spark, sf_dir: finished(spark, lambda: _streamed_folds(spark, sf_dir))
     SQL["sm03_streamed_folds"] = SQL["q80_daily_folds"]

@@ -3,9 +3,8 @@
 import tempfile
 
 import pytest
-from pyspark.sql import functions as F
 
-from starlane.plans.collectors import changes, folds
+from starlane.plans.collectors import folds
 from starlane.sources import sinks
 from starlane.sources.bindings import Tables
 from starlane.streaming import folds as streaming
@@ -45,23 +44,15 @@ def test_masks_as_running_state(spark, sf_dir, folder):
     assert values(spark.table("masks").select("did", "dt", "mask")) == values(t.activity.select("did", "dt", "mask"))
 
 
-def test_moves_by_state(spark, sf_dir, folder):
-    t = Tables(spark, sf_dir)
-    ops = t.oplog.where(~F.col("nullified")).select("did", "op_id", "ts", "host")
-    ops.repartitionByRange(3, "ts").sortWithinPartitions("ts").write.parquet(f"{folder}/in")
-    names = sorted(r[0] for r in spark.read.parquet(f"{folder}/in").select(F.input_file_name()).distinct().collect())
-    assert len(names) == 3
-    query = streaming.moves(streaming.stream(spark, f"{folder}/in")).writeStream.format("memory").queryName("moves").outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    want = changes(t).where("nth > 1").select("did", "op_id", F.col("before").alias("from_host"), F.col("host").alias("to_host"), "ts")
-    assert values(spark.table("moves")) == values(want)
-
-
 def test_upsert_touches_its_partitions_only(spark, folder):
     first = spark.createDataFrame([("a", 1, 5), ("b", 2, 7)], "k string, day int, n long")
     sinks.replace_partitions(first, f"{folder}/t", ["day"])
-    sinks.upsert(spark, f"{folder}/t", spark.createDataFrame([("a", 1, 1), ("c", 1, 2)], "k string, day int, n long"), ["k", "day"], {"n": "add"}, "day")
-    assert values(spark.read.parquet(f"{folder}/t").select("k", "day", "n")) == [("a", 1, 6), ("b", 2, 7), ("c", 1, 2)]
+    delta = spark.createDataFrame([("a", 1, 9), ("c", 1, 2)], "k string, day int, n long")
+    for _ in range(2):
+        sinks.upsert(spark, f"{folder}/t", delta, ["k", "day"], {"n": "last"}, "day")
+    assert values(spark.read.parquet(f"{folder}/t").select("k", "day", "n")) == [("a", 1, 9), ("b", 2, 7), ("c", 1, 2)]
+    with pytest.raises(ValueError, match="append_delta"):
+        sinks.upsert(spark, f"{folder}/t", delta, ["k", "day"], {"n": "add"}, "day")
     sinks.report(first, f"{folder}/csv")
     assert spark.read.csv(f"{folder}/csv", header=True).count() == 2
 
