@@ -125,6 +125,20 @@ def merge(old: DataFrame, delta: DataFrame, keys: list[str], how: dict[str, str]
     return both.groupBy(*keys).agg(*(make[h](c).cast(kinds[c]).alias(c) for c, h in how.items()))
 
 
+def allocate(rows: DataFrame, places: DataFrame, group: str, keys: list[str], amount: str, place: str, weight: str | None = None) -> DataFrame:
+    """Each row's whole amount spread over the places of its group in proportion to their weights (equal ones without any), so that sums stay.
+
+    Every place gets the whole part of its share; what is left goes, one each, to the largest fractions, ties by the place's name. keys and the group name a row;
+    rows of groups without places are left out. Whole numbers only, so engines agree.
+    """
+    weighed = places.withColumn("__w", F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")).where("__w > 0")
+    row = Window.partitionBy(group, *keys)
+    each = rows.join(weighed, group).withColumn("__all", F.sum("__w").over(row))
+    each = each.withColumns({"__q": F.expr(f"`{amount}` * __w div __all"), "__f": F.expr(f"`{amount}` * __w % __all")})
+    each = each.withColumns({"__left": F.col(amount) - F.sum("__q").over(row), "__i": F.row_number().over(row.orderBy(F.desc("__f"), place))})
+    return each.withColumn(amount, F.col("__q") + F.when(F.col("__i") <= F.col("__left"), 1).otherwise(0)).drop("__w", "__all", "__q", "__f", "__left", "__i")
+
+
 def null_aware_anti(df: DataFrame, others: DataFrame, key: str) -> DataFrame:
     """Rows of df whose key is NOT IN others: all if others is empty, none if it holds a null, and none with a null key unless it is empty.
 

@@ -57,6 +57,17 @@ def k_core(edges: DataFrame, k: int) -> DataFrame:
         alive = saved(alive.join(low.withColumnRenamed("node", "src"), "src", "left_anti").join(low.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
 
 
+def core_graph(edges: DataFrame, k: int, ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The k-core under ids of its own: (node, idx in the whole graph, local in the core), and its edges by local ids with parallel ones kept.
+
+    ids: node and idx of the whole graph, where they are known already. Both ids are contiguous from 0 in the order of the nodes.
+    """
+    ids = node_ids(edges.select(F.explode(F.array("src", "dst")).alias("node")), "node") if ids is None else ids
+    core = k_core(edges, k)
+    local = saved(node_ids(core.select(F.explode(F.array("src", "dst")).alias("node")), "node"))
+    return ids.join(local.withColumnRenamed("idx", "local"), "node"), remap(core, local, "node")
+
+
 def reachable(edges: DataFrame, seeds: DataFrame, steps: int) -> DataFrame:
     """node, distance: all within so many steps of the seeds (along edges)."""
     seen = saved(seeds.select("node").distinct().withColumn("distance", F.lit(0)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from starlane.plans import choices, cohorts, collectors, cubes, details, graphs, hosts, models, records, streams, writes  # noqa: F401  (register)
+from starlane.plans import choices, cohorts, collectors, cubes, details, graphs, hosts, models, passing, places, records, streams, writes  # noqa: F401  (register)
 from starlane.plans.registry import QUERIES, SQL
 from starlane.streaming import folds
 

@@ -11,6 +11,7 @@ from starlane.plans import registry as r
 from starlane.plans.graphs import CUTOFF, node_ids
 from starlane.plans.registry import query
 from starlane.sources.bindings import Tables
+from starlane.sources.scratch import shared_folder
 
 BINS, NEGATIVES, HARD = 24, 3, 0.5
 
@@ -126,13 +127,6 @@ def hard_negative_sample(t: Tables) -> DataFrame:
     return hard_negatives(labelled(t).select("node", F.col("bad").alias("hit"), "lo", "li"))
 
 
-def focal_loss(p: Column, y: Column, gamma: float = 2.0, alpha: float = 0.25) -> Column:
-    """The focal loss of a probability, for evaluation."""
-    q = F.greatest(F.least(p, F.lit(1 - 1e-7)), F.lit(1e-7))
-    of = F.when(y, q).otherwise(1 - q)
-    return -F.when(y, F.lit(alpha)).otherwise(1 - alpha) * F.pow(1 - of, F.lit(gamma)) * F.log(of)
-
-
 @query("gm26_boosted_trees")
 def boosted_trees(t: Tables) -> DataFrame:
     """Boosted trees over the 24 columns, split by date and by chance: fitted on what either split knows, with scores of the rest. Not reproducible in SQL."""
@@ -148,6 +142,22 @@ def boosted_trees(t: Tables) -> DataFrame:
     return out
 
 
+@query("snk21b_saved_models", "SELECT model, count(*) AS nodes, count(*) AS agreeing FROM (SELECT 'probe' AS model FROM {vectors} v JOIN {node_labels} l ON v.node = l.node UNION ALL SELECT 'trees' FROM (SELECT DISTINCT l_partkey AS node FROM {lineitem}) f JOIN {node_labels} l ON f.node = l.node) GROUP BY 1")
+def saved_models(t: Tables) -> DataFrame:
+    """A probe and boosted trees as artefacts: fitted, saved, loaded again; nodes whose scores are the same before and after."""
+    path, bad = shared_folder(t.spark), F.col("bad").cast("int").alias("bad")
+    labels = t.node_labels.select("node", bad)
+    probe, trees = graph.saved(t.vectors.join(labels, "node")), graph.saved(features(t).join(labels, "node"))
+    models = {"probe": (learn.fitted_probe(probe, "embedding", "bad"), learn.vectors(probe, "embedding")), "trees": (learn.fitted_trees(trees, list(FEATURES), "bad", rounds=5), trees)}
+    out = None
+    for name, (model, ready) in models.items():
+        learn.save_model(model, f"{path}/{name}")
+        before, after = (learn.scored(m, ready).select("node", "probability") for m in (model, learn.load_model(f"{path}/{name}")))
+        same = before.join(after.withColumnRenamed("probability", "again"), "node").groupBy(F.lit(name).alias("model")).agg(F.count("*").alias("nodes"), F.sum(flag(F.col("probability") == F.col("again"))).alias("agreeing"))
+        out = same if out is None else out.unionByName(same)
+    return out
+
+
 @query("gm06_core_ids", "WITH RECURSIVE n AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS idx FROM (SELECT src AS node FROM {follows} UNION SELECT dst FROM {follows})), d AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM {follows} UNION ALL SELECT dst FROM {follows}) GROUP BY 1 HAVING count(*) >= 4) SELECT n.node, n.idx, row_number() OVER (ORDER BY n.node) - 1 AS local FROM n JOIN d ON n.node = d.node".replace("WITH RECURSIVE", "WITH"))
 def core_ids(t: Tables) -> DataFrame:
     """What is left after a filter by degree, with ids of its own beside those of the whole graph."""

@@ -53,6 +53,9 @@ BINDINGS = {
         CASE WHEN s_suppkey % 6 = 5 THEN NULL ELSE concat('10.1.0.', CAST(s_suppkey % 40 AS VARCHAR(20))) END AS ip, CAST(s_suppkey % 3 AS INT) AS in_directory, CAST(CASE WHEN (s_suppkey * 3 + m) % 17 = 0 THEN 1 ELSE 0 END AS INT) AS is_partial
         FROM (SELECT l_suppkey, CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) AS INT) AS m, count(*) AS total, sum(CASE WHEN l_returnflag <> 'R' THEN 1 ELSE 0 END) AS active FROM {lineitem} GROUP BY 1, 2) l
         JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey""",
+    # Where accounts live, by the names that scans have.
+    "homes": """SELECT c_custkey AS did, concat('https://', lower(replace(s_name, '#', '-')), CASE WHEN s_suppkey % 10 = 0 THEN '.core.network' WHEN s_suppkey % 29 = 3 THEN '.local' WHEN s_suppkey % 29 = 7 THEN '.test:8080' ELSE '.host.net' END) AS host
+        FROM {customer} CROSS JOIN (SELECT count(*) AS hosts FROM {supplier}) h JOIN {supplier} ON s_suppkey = c_custkey % hosts""",
     # Lines as a log of operations has them: an old and a new shape, tombstones, a line in 53 cut off.
     "op_lines": """SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 53 = 7 THEN concat('{"did":"did:', CAST(o_custkey AS VARCHAR(20)), '","cid":') ELSE
         concat('{"did":"did:', CAST(o_custkey AS VARCHAR(20)), '","cid":"c', CAST(o_orderkey AS VARCHAR(20)), '","nullified":', CASE WHEN o_orderstatus = 'P' THEN 'true' ELSE 'false' END, ',"createdAt":"', CAST(CAST(o_orderdate AS DATE) AS VARCHAR(20)), 'T00:00:00.000Z","operation":{',
