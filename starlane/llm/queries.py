@@ -82,8 +82,8 @@ def _finished(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spar
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    one_pass = {f.__name__: f for f in (op6_license_scan, op7_language, op8_toxicity)}
-    return {f.__name__: _finished(f) for f in (op1_shard, op2_ngram_jaccard, op3_decontaminate, op4_mix_sources, op5_warc, op9_quality_rules, op10_chat_format, op11_line_dedup, op12_ranked_search, op13_hard_negatives)} | one_pass
+    one_pass = {f.__name__: f for f in (op6_license_scan, op7_language)}
+    return {f.__name__: _finished(f) for f in (op1_shard, op2_ngram_jaccard, op3_decontaminate, op4_mix_sources, op5_warc, op8_toxicity, op9_quality_rules, op10_chat_format, op11_line_dedup, op12_ranked_search, op13_hard_negatives)} | one_pass
 
 
 _OP3 = r"""

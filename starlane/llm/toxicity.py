@@ -6,20 +6,21 @@ often in toxic than in other documents. Forward-backward gives each word's margi
 of marginals give the document's score through a logistic function fitted to the documents' labels, and words with a marginal of
 one half or more are the offending offsets.
 
-Fitting uses at most SAMPLE[1] toxic and SAMPLE[0] other documents, by the order of a hash of the id, and of each its first MOST
-characters. Words are labelled, and the logistic function is fitted, on all of that; the field is trained on all their pieces of PIECE words that hold a labelled word,
-and of the others on CLEAN[0] for each of these and CLEAN[1] more. Everything else sees all rows and whole texts. Labels come only from rows whose crc32(doc_id as text) mod 5 is not 0.
+Fitting uses at most SAMPLE[1] toxic and SAMPLE[0] other documents, by the order of a hash of the id, and their whole texts. Which words are
+labelled is counted over all of them, and the logistic function is fitted to all of them, both in tasks. The field is trained on the driver, on pieces of PIECE words, which come there
+as numbers of features: those that hold a labelled word, MARKED at most, and of the others CLEAN[0] for each of these and CLEAN[1] more, both by the order of a
+hash. Everything else sees all rows and whole texts. Labels come only from rows whose crc32(doc_id as text) mod 5 is not 0.
 
 Nulls, ties and the like: a null or empty text has no words and the score of a text without any; a document with several labels is
-toxic if one says so; a text of millions of words takes time and memory in proportion to its length; null ids and null labels are not learned from; where either class has no sample every score is the share of
+toxic if one says so; a text of millions of words takes time and memory in proportion to its length; repeated rows are scored alike and learned from once; null ids and null labels are not learned from; where either class has no sample every score is the share of
 toxic labels; an empty table gives an empty result. Scores depend on the text only.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,13 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from starlane.llm.common import materialize
 from starlane.llm.language import held_out
 
 SAMPLE = (3000, 1500)
 #: Pieces without a labelled word that the field is trained on: so many for each piece with one, and so many more.
 CLEAN = (2, 500)
-#: Characters of a document that fitting reads: with SAMPLE a bound on what the driver holds.
-MOST = 20_000
+#: Pieces with a labelled word that the field is trained on at most. With CLEAN a bound on what the driver holds, about half a kilobyte for each piece.
+MARKED = 20_000
 HASH = 1 << 16
 PIECE, LEAST, LIFT = 64, 3, 20.0
 CACHE = 100_000
@@ -159,18 +161,16 @@ class Field:
         flat = _in_pieces(np.concatenate(scores), sizes[sizes > 0], self.trans)
         return np.split(flat, np.cumsum(sizes)[:-1])
 
-    def train(self, pieces: list[tuple[list[str], np.ndarray]], epochs: int = 6, rate: float = 0.2, batch: int = 128) -> None:
-        """Largest conditional likelihood by AdaGrad; a piece is (words, labels)."""
+    def train(self, pieces: list[tuple[tuple[np.ndarray, np.ndarray], np.ndarray]], epochs: int = 6, rate: float = 0.2, batch: int = 128) -> None:
+        """Largest conditional likelihood by AdaGrad; a piece is ((features of its words one after the other, how many each word has), labels)."""
         rng, seen, seen_t, seen_b = np.random.default_rng(11), np.full(HASH, 1e-6), np.full((2, 2), 1e-6), 1e-6
-        cached = {w: np.array(features(w)) for words, _ in pieces for w in words}
-        flat = [np.concatenate([cached[w] for w in words]) for words, _ in pieces]
-        many = [np.array([cached[w].size for w in words]) for words, _ in pieces]
+        flat, many = [f for (f, _), _ in pieces], [n for (_, n), _ in pieces]
         for _ in range(epochs):
             for block in np.array_split(rng.permutation(len(pieces)), max(1, len(pieces) // batch)):
-                sizes = np.array([len(pieces[i][0]) for i in block])
+                sizes = np.array([many[i].size for i in block])
                 steps = int(sizes.max())
                 mask = np.arange(steps) < sizes[:, None]
-                ids, counts = np.concatenate([flat[i] for i in block]), np.concatenate([many[i] for i in block])
+                ids, counts = np.concatenate([flat[i] for i in block]).astype(np.int64), np.concatenate([many[i] for i in block]).astype(np.int64)
                 u, y = np.full((len(block), steps), -30.0), np.zeros((len(block), steps))
                 u[mask] = self.bias + np.add.reduceat(self.weights[ids], np.cumsum(counts) - counts)
                 y[mask] = np.concatenate([pieces[i][1] for i in block])
@@ -195,9 +195,9 @@ class Field:
     def summary(p: np.ndarray) -> tuple[float, float, float]:
         return (1.0, float(p.max()), float(np.log1p(p.sum()))) if p.size else (1.0, 0.0, 0.0)
 
-    def calibrate(self, texts: list[list[str]], labels: np.ndarray, toxic_share: float) -> None:
-        """Newton steps for the logistic function, its constant set for the share of toxic labels in all rows."""
-        x, w = np.array([self.summary(p) for p in self.marginals([self.scores(t) for t in texts])]), np.zeros(3)
+    def calibrate(self, x: np.ndarray, labels: np.ndarray, toxic_share: float) -> None:
+        """Newton steps for the logistic function of summaries (a row for each document), its constant set for the share of toxic labels in all rows."""
+        w = np.zeros(3)
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(3), x.T @ (labels - p) - 0.05 * w)
@@ -213,46 +213,88 @@ def tokens(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def label_tokens(texts: list[list[str]], labels: np.ndarray) -> list[np.ndarray]:
-    """Words of toxic texts that have a feature (word or beginning) of LEAST toxic texts or more and LIFT times as frequent in them as in others."""
-    names = lambda w: (w, *(f"{w[:k]}*" for k in range(4, 7) if len(w) > k))
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for text, y in zip(texts, labels, strict=True):
-        seen[int(y)].update({n for w in set(text) for n in names(w)})
-    n1, n0 = max(1, int(labels.sum())), max(1, int(len(labels) - labels.sum()))
-    bad = {n for n, c in seen[1].items() if c >= LEAST and c / n1 >= LIFT * (seen[0][n] + 0.5) / n0}
-    return [np.array([bool(y) and any(n in bad for n in names(w)) for w in text], float) for text, y in zip(texts, labels, strict=True)]
+def names(word: str) -> list[str]:
+    """What a word is counted under: itself and its beginnings."""
+    return [word, *(f"{word[:k]}*" for k in range(4, 7) if len(word) > k)]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> tuple[DataFrame, DataFrame]:
-    """(text, y) of the sample; the count of labelled rows by y over all."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("y"))
+    """(text, y) of the sample, whole texts, each once; the count of labelled rows by y over all."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     first = lambda y: known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample[y])
     # At most sum(sample) ids.
     chosen = docs.select("doc_id", "text").join(F.broadcast(first(0).unionByName(first(1))), "doc_id")
-    return chosen.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select(F.substring("text", 1, MOST).alias("text"), "y"), known.groupBy("y").agg(F.count("*").alias("n"))
+    return chosen.groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("text", "y").distinct(), known.groupBy("y").agg(F.count("*").alias("n"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, clean: tuple[int, int] = CLEAN) -> Field:
-    """Fitted on the driver, on the bounded sample; of its pieces without a labelled word, clean says how many (see CLEAN)."""
+def offending(rows: DataFrame) -> set[str]:
+    """Words and beginnings that LEAST toxic texts or more have, LIFT times as frequent in them as in others; counted over whole texts in tasks."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches):
+            for text, y in zip(batch.column("text"), batch.column("y").to_pylist(), strict=True):
+                found = sorted({n for w in set(tokens(text.as_py())) for n in names(w)})
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([y] * len(found), pa.int32())], ["name", "y"])
+
+    n = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    by = rows.mapInArrow(each, "name string, y int").groupBy("name").agg(F.sum("y").alias("one"), F.sum(1 - F.col("y")).alias("zero"))
+    lift = F.col("one") / float(max(1, n.get(1, 0))) >= LIFT * (F.col("zero") + 0.5) / float(max(1, n.get(0, 0)))
+    return {r.name for r in by.where((F.col("one") >= LEAST) & lift).select("name").collect()}
+
+
+def cut(rows: DataFrame, bad: set[str]) -> DataFrame:
+    """Pieces of PIECE words of all texts: features of the words, how many each has, labels; marked if a word is labelled; place, a hash by which some are taken."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches):
+            for text, y in zip(batch.column("text"), batch.column("y").to_pylist(), strict=True):
+                words, out = tokens(text.as_py()), []
+                for i in range(0, len(words), PIECE):
+                    piece = words[i : i + PIECE]
+                    ids = [features(w) for w in piece]
+                    tags = bytes(bool(y) and not bad.isdisjoint(names(w)) for w in piece)
+                    data = np.array([f for x in ids for f in x], np.uint16).tobytes(), bytes(map(len, ids)), tags
+                    out.append((*data, any(tags), hashlib.md5(f"{i}:{y}:".encode() + data[0]).digest()))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.binary(), pa.binary(), pa.bool_(), pa.binary()), strict=True)], ["features", "many", "labels", "marked", "place"])
+
+    return rows.mapInArrow(each, "features binary, many binary, labels binary, marked boolean, place binary")
+
+
+def _arrays(rows: list) -> list[tuple[tuple[np.ndarray, np.ndarray], np.ndarray]]:
+    return [((np.frombuffer(r.features, np.uint16), np.frombuffer(r.many, np.uint8)), np.frombuffer(r.labels, np.uint8).astype(float)) for r in rows]
+
+
+def summaries(rows: DataFrame, field: Field) -> DataFrame:
+    """y and what the logistic function sees of each text."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches):
+            found = field.marginals([field.scores(tokens(v.as_py())) for v in batch.column("text")])
+            x = np.array([field.summary(p) for p in found])
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(x[:, 1]), pa.array(x[:, 2])], ["y", "most", "all"])
+
+    return rows.mapInArrow(each, "y int, most double, all double")
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, clean: tuple[int, int] = CLEAN, marked: int = MARKED) -> Field:
+    """Counts, pieces and summaries of the sample's whole texts are made in tasks; the driver gets pieces as numbers, as many as marked and clean say (see MARKED and CLEAN), and two numbers for each text."""
     rows, share = training_rows(docs, labels, sample)
     counts = {r.y: r.n for r in share.collect()}
-    got = sorted({(r.text or "", int(r.y)) for r in rows.collect()})
-    field, y = Field(), np.array([r[1] for r in got], float)
-    total = sum(counts.values())
+    rows = materialize(rows, "toxicity-sample")
+    classes = {r.y for r in rows.select("y").distinct().collect()}
+    field, total = Field(), sum(counts.values())
     toxic_share = min(max(counts.get(1, 0) / total if total else 0.0, 1e-6), 1 - 1e-6)
-    if not got or y.min() == y.max():
+    if len(classes) < 2:
         field.logistic = np.array([np.log(toxic_share / (1 - toxic_share)), 0.0, 0.0])
         return field
-    same: dict[str, str] = {}
-    texts = [[same.setdefault(w, w) for w in tokens(t)] for t, _ in got]
-    tags = label_tokens(texts, y)
-    cut = [(w[i : i + PIECE], t[i : i + PIECE]) for w, t in zip(texts, tags, strict=True) for i in range(0, len(w), PIECE)]
-    marked = [c for c in cut if c[1].any()]
-    plain = [c for c in cut if not c[1].any()]
-    keep = np.random.default_rng(5).permutation(len(plain))[: clean[0] * len(marked) + clean[1]]
-    field.train(marked + [plain[i] for i in keep])
-    field.calibrate(texts, y, toxic_share)
+    rows = rows.repartition(min(sum(sample), 2 * rows.sparkSession.sparkContext.defaultParallelism))
+    pieces = materialize(cut(rows, offending(rows)), "toxicity-pieces")
+    first = lambda which, most: pieces.where(which).orderBy("place").limit(most).collect()
+    told = first("marked", marked)
+    field.train(_arrays(told) + _arrays(first("NOT marked", clean[0] * len(told) + clean[1])))
+    seen = np.array(sorted(map(tuple, summaries(rows, field).collect())))
+    field.calibrate(np.column_stack([np.ones(len(seen)), seen[:, 1:]]), seen[:, 0], toxic_share)
     return field
 
 
