@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,24 @@ def ranked(df: DataFrame, order: list[Column], rank: str, sums: dict[str, str] |
     return rows.select(*df.columns, (F.col("__n_before") + F.col("__i")).cast("long").alias(rank), *((F.col(f"__{name}_before") + F.col(f"__{name}")).alias(name) for name in sums))
 
 
+def percentiles(df: DataFrame, group: str, value: str, qs: tuple[float, ...]) -> DataFrame:
+    """group, n, and q<percent> for each of qs: exact, between two values in proportion to their distance. Nulls do not count.
+
+    Equal values are counted first, and counts are summed in range partitions, so that no task holds a group's values. Of each group only the rows at the ranks asked for are left.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(group, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__c"))
+    rows = saved(ranked(counts, [F.col(group), F.col("__v")], "__rank", {"__upto": "__c"}))
+    all_ = rows.groupBy(group).agg(F.sum("__c").alias("n"), F.min(F.col("__upto") - F.col("__c")).alias("__before"))
+    # One row for each group: the join adds no more than a group's own numbers to it.
+    at = rows.join(all_, group).withColumns({"__hi": F.col("__upto") - F.col("__before"), "__lo": F.col("__upto") - F.col("__before") - F.col("__c")})
+    place = lambda q: (F.col("n") - 1) * F.lit(float(q))
+    holds = lambda k: (F.col("__lo") <= k) & (k < F.col("__hi"))
+    needed = [holds(f(place(q))) for q in qs for f in (F.floor, F.ceil)]
+    found = at.where(reduce(lambda a, b: a | b, needed)).groupBy(group, "n").agg(*(F.max(F.when(holds(f(place(q))), F.col("__v"))).alias(f"__{name}{i}") for i, q in enumerate(qs) for name, f in (("a", F.floor), ("b", F.ceil))))
+    between = lambda i, q: F.col(f"__a{i}") + (F.col(f"__b{i}") - F.col(f"__a{i}")) * (place(q) - F.floor(place(q)))
+    return found.select(group, "n", *(between(i, q).alias(f"q{round(q * 100)}") for i, q in enumerate(qs)))
+
+
 def node_ids(nodes: DataFrame, key: str) -> DataFrame:
     """key, idx: contiguous from 0 in the order of the key."""
     return ranked(nodes.select(key).distinct(), [F.col(key)], "idx").withColumn("idx", F.col("idx") - 1)

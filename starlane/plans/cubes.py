@@ -115,13 +115,14 @@ def trajectories_deduplicated(t: Tables) -> DataFrame:
     return dedup_journeys(t)
 
 
-LAST = 5
+#: Steps that are shown one by one, and the hosts that keep their name: the busiest, with so many ends of moves at least.
+LAST, NAMED, LEAST_MOVES = 5, 15, 11
 
 
 @query(
     "q35_migration_hops",
     f"""WITH s AS (SELECT did, a, b, row_number() OVER (PARTITION BY did ORDER BY ts, op_id) - 1 AS step FROM {_MOVES}),
-    top AS (SELECT h FROM (SELECT a AS h FROM s UNION ALL SELECT b FROM s) GROUP BY 1 HAVING count(*) >= 11 ORDER BY count(*) DESC, h LIMIT 3),
+    top AS (SELECT h FROM (SELECT a AS h FROM s UNION ALL SELECT b FROM s) GROUP BY 1 HAVING count(*) >= {LEAST_MOVES} ORDER BY count(*) DESC, h LIMIT {NAMED}),
     f AS (SELECT did, arg_max(b, step) AS final FROM s GROUP BY 1),
     l AS (SELECT CASE WHEN a IN (SELECT h FROM top) THEN a ELSE 'Other' END || '@' || step AS source, CASE WHEN b IN (SELECT h FROM top) THEN b ELSE 'Other' END || '@' || (step + 1) AS target FROM s WHERE step < {LAST}
           UNION ALL SELECT CASE WHEN a IN (SELECT h FROM top) THEN a ELSE 'Other' END || '@{LAST}', CASE WHEN final IN (SELECT h FROM top) THEN final ELSE 'Other' END || '@{LAST + 1}' FROM s JOIN f USING (did) WHERE step = {LAST})
@@ -133,7 +134,7 @@ def migration_hops(t: Tables) -> DataFrame:
     ends = Window.partitionBy("did")
     steps = steps.withColumn("final", F.max_by("to_host", "step").over(ends)).where(F.col("step") <= LAST)
     every = hops(outside(t), "did", ["ts", "op_id"]).select(F.explode(F.array("from_host", "to_host")).alias("host"))
-    top = every.groupBy("host").agg(F.count("*").alias("n")).where("n >= 11").orderBy(F.desc("n"), "host").limit(3).select("host")
+    top = every.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_MOVES).orderBy(F.desc("n"), "host").limit(NAMED).select("host")
     name = lambda c: F.when(F.col(f"__{c}").isNotNull(), F.col(c)).otherwise(F.lit("Other"))
     rows = steps.withColumn("to", F.when(F.col("step") == LAST, F.col("final")).otherwise(F.col("to_host")))
     for c in ("from_host", "to"):
@@ -169,6 +170,30 @@ def top_active_hosts(t: Tables) -> DataFrame:
     return host_activity_summary(t).orderBy(F.desc("active_users"), "host").limit(10)
 
 
+_SUMMARY = f"(SELECT host, {_BY_HOST}, max(dt) AS updated_at FROM {{activity}} a JOIN {{accounts}} c ON a.did = c.did WHERE dt >= DATE '2024-01-30' - DAYS GROUP BY 1)"
+
+
+def activity_summary(t: Tables, days: int) -> DataFrame:
+    """Hosts' users of a window by what they did, and the last day that is in it."""
+    rows = t.activity.where(F.col("dt") >= F.date_sub(F.lit("2024-01-30").cast("date"), days)).join(t.accounts, "did")
+    merged = rows.groupBy("host", "did").agg(F.bit_or("mask").alias("m"), F.max("dt").alias("last"))
+    users = lambda b: F.sum(flag(F.col("m").bitwiseAND(F.lit(b)) != 0))
+    return merged.groupBy("host").agg(F.count("*").alias("active_users"), users(1).alias("posters"), users(2).alias("likers"), users(4).alias("reposters"), users(8).alias("followers"), F.max("last").alias("updated_at"))
+
+
+@query("q67_host_activity", "SELECT * FROM (SELECT 30 AS days, * FROM A WHERE host NOT LIKE '%.core.network' ORDER BY active_users DESC, host LIMIT 15) UNION ALL SELECT * FROM (SELECT 7 AS days, * FROM B WHERE host NOT LIKE '%.core.network' ORDER BY active_users DESC, host LIMIT 15)".replace("A WHERE", _SUMMARY.replace("DAYS", "30") + " WHERE").replace("B WHERE", _SUMMARY.replace("DAYS", "7") + " WHERE"))
+def host_activity(t: Tables) -> DataFrame:
+    """The fifteen busiest hosts but for the platform's own, in two windows."""
+    best = lambda days: activity_summary(t, days).where(~core_host(F.col("host"))).orderBy(F.desc("active_users"), "host").limit(15).select(F.lit(days).alias("days"), "*")
+    return best(30).unionByName(best(7))
+
+
+@query("q67b_activity_updated", "SELECT days, max(updated_at) AS updated_at FROM (SELECT 30 AS days, * FROM A UNION ALL SELECT 7, * FROM B) GROUP BY 1".replace("FROM A", "FROM " + _SUMMARY.replace("DAYS", "30")).replace("FROM B)", "FROM " + _SUMMARY.replace("DAYS", "7") + ")"))
+def activity_updated(t: Tables) -> DataFrame:
+    both = activity_summary(t, 30).withColumn("days", F.lit(30)).unionByName(activity_summary(t, 7).withColumn("days", F.lit(7)))
+    return both.groupBy("days").agg(F.max("updated_at").alias("updated_at"))
+
+
 @query("q40_changed_since", f"SELECT 'migrations' AS source, max(ts) > TIMESTAMP '{WATERMARK} 00:00:00' AS changed, {r.long_sum(chr(39).join(['ts > TIMESTAMP ', WATERMARK + ' 00:00:00', '']))} AS pending FROM {{migrations}}")
 def changed_since(t: Tables) -> DataFrame:
     """Whether there is anything after the watermark; a rebuild is skipped if not."""
@@ -240,7 +265,7 @@ def migration_flows(t: Tables) -> DataFrame:
 
 @query(
     "q46_migration_weekly_breakdown",
-    f"WITH m AS (SELECT {_collapsed('to_host')} AS h, ts FROM {{migrations}} WHERE NOT (from_host LIKE '%.core.network' AND to_host LIKE '%.core.network')), top AS (SELECT h FROM m GROUP BY 1 ORDER BY count(*) DESC, h LIMIT 3) SELECT {_week('ts')} AS week, CASE WHEN h = '{CORE}' OR h IN (SELECT h FROM top) THEN h ELSE 'Other destinations' END AS to_host, count(*) AS n FROM m WHERE {_week('ts')} >= DATE '2000-01-01' GROUP BY 1, 2",
+    f"WITH m AS (SELECT {_collapsed('to_host')} AS h, ts FROM {{migrations}} WHERE NOT (from_host LIKE '%.core.network' AND to_host LIKE '%.core.network')), top AS (SELECT h FROM m GROUP BY 1 ORDER BY count(*) DESC, h LIMIT {NAMED}) SELECT {_week('ts')} AS week, CASE WHEN h = '{CORE}' OR h IN (SELECT h FROM top) THEN h ELSE 'Other destinations' END AS to_host, count(*) AS n FROM m WHERE {_week('ts')} >= DATE '2000-01-01' GROUP BY 1, 2",
 )
 def migration_weekly_breakdown(t: Tables) -> DataFrame:
     rows = outside(t)

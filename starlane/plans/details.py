@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starlane.functions.expr import core_host, flag, hostname, uniform
+from starlane.functions.expr import core_host, flag, hostname, round_to, uniform
 from starlane.operators.archetypes import latest_per_key
+from starlane.operators.graph import percentiles
 from starlane.plans import registry as r
+from starlane.plans.records import first_name, sql_first_name
 from starlane.plans.registry import query
 from starlane.sources.bindings import Tables
 
@@ -66,15 +68,17 @@ def creations_in_json(t: Tables) -> DataFrame:
 
 @query(
     "flt33_handles",
-    "WITH o AS (SELECT o_custkey AS did, o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN ['dns:x', 'at://User' || o_custkey || '.Example'] WHEN o_orderkey % 3 = 1 THEN ['at:// A' || o_orderkey || ' ', 'at://b'] ELSE ['none'] END AS aliases FROM {orders}), h AS (SELECT did, lower(trim(substr(list_filter(aliases, lambda x: starts_with(x, 'at://'))[1], 6))) AS handle FROM o) SELECT handle, count(*) AS n, count(DISTINCT did) AS accounts FROM h WHERE handle IS NOT NULL AND length(handle) <= 253 GROUP BY 1",
+    "WITH o AS (SELECT o_custkey AS did, CASE WHEN o_orderkey % 30 = 1 THEN ['at://' || repeat('y', 250) || o_custkey, 'at://b'] WHEN o_orderkey % 3 = 0 THEN ['dns:x', 'at://User' || o_custkey || '.Example'] WHEN o_orderkey % 3 = 1 THEN ['at:// A' || o_orderkey || ' ', 'at://b'] ELSE ['none', 'at:// '] END AS aliases, CASE WHEN o_orderkey % 2 = 0 THEN ' Old' || o_custkey END AS old FROM {orders}), "
+    f"h AS (SELECT did, {sql_first_name('aliases', 'old')} AS handle FROM o) SELECT handle, count(*) AS n, count(DISTINCT did) AS accounts FROM h WHERE handle IS NOT NULL GROUP BY 1",
 )
 def handles(t: Tables) -> DataFrame:
-    """The first alias of the right scheme, trimmed and lower-cased."""
-    key = F.pmod("o_orderkey", F.lit(3))
-    aliases = F.when(key == 0, F.array(F.lit("dns:x"), F.concat(F.lit("at://User"), "o_custkey", F.lit(".Example")))).when(key == 1, F.array(F.concat(F.lit("at:// A"), "o_orderkey", F.lit(" ")), F.lit("at://b"))).otherwise(F.array(F.lit("none")))
-    first = F.get(F.filter("aliases", lambda x: x.startswith("at://")), 0)
-    rows = t.orders.select(F.col("o_custkey").alias("did"), aliases.alias("aliases")).select("did", F.lower(F.trim(F.substr(first, F.lit(6)))).alias("handle"))
-    return rows.where(F.col("handle").isNotNull() & (F.length("handle") <= 253)).groupBy("handle").agg(F.count("*").alias("n"), F.count_distinct("did").alias("accounts"))
+    """The first alias of the right scheme that is a name, trimmed, lower-cased and cut, else the old field."""
+    key, custkey = F.pmod("o_orderkey", F.lit(3)), F.col("o_custkey").cast("string")
+    long = F.array(F.concat(F.lit("at://" + "y" * 250), custkey), F.lit("at://b"))
+    aliases = F.when(F.pmod("o_orderkey", F.lit(30)) == 1, long).when(key == 0, F.array(F.lit("dns:x"), F.concat(F.lit("at://User"), custkey, F.lit(".Example")))).when(key == 1, F.array(F.concat(F.lit("at:// A"), "o_orderkey", F.lit(" ")), F.lit("at://b"))).otherwise(F.array(F.lit("none"), F.lit("at:// ")))
+    old = F.when(F.pmod("o_orderkey", F.lit(2)) == 0, F.concat(F.lit(" Old"), custkey))
+    rows = t.orders.select(F.col("o_custkey").alias("did"), first_name(aliases, old).alias("handle")).where("handle is not null")
+    return rows.groupBy("handle").agg(F.count("*").alias("n"), F.count_distinct("did").alias("accounts"))
 
 
 @query("flt36_sampled_negatives", f"SELECT node, bad FROM {{node_labels}} WHERE bad OR ('0x' || substr(md5('42:' || node), 1, 8))::BIGINT / 4294967296.0::DOUBLE < {RATE}")
@@ -85,9 +89,9 @@ def sampled_negatives(t: Tables) -> DataFrame:
 
 @query("ag45_value_percentiles", f"SELECT event_type, {r.rnd('quantile_cont(value, 0.5)', 4)} AS p50, {r.rnd('quantile_cont(value, 0.95)', 4)} AS p95, count(*) AS n FROM {{events}} GROUP BY 1")
 def value_percentiles(t: Tables) -> DataFrame:
-    """Exact percentiles with interpolation."""
-    p = lambda q: (F.floor(F.percentile("value", F.lit(q)) * 10000.0 + 0.5).cast("double") / 10000.0).alias(f"p{round(q * 100)}")
-    return t.events.groupBy("event_type").agg(p(0.5), p(0.95), F.count("*").alias("n"))
+    """Exact percentiles with interpolation, found by running counts in range partitions."""
+    p = lambda q: round_to(F.col(f"q{round(q * 100)}"), 4).alias(f"p{round(q * 100)}")
+    return percentiles(t.events, "event_type", "value", (0.5, 0.95)).select("event_type", p(0.5), p(0.95), "n")
 
 
 @query("jn26_hosts_by_precedence", "WITH u AS (SELECT did, host, 1 AS p FROM {current_host} UNION ALL SELECT did, host, 2 FROM {accounts}) SELECT did, host, p AS source FROM u QUALIFY row_number() OVER (PARTITION BY did ORDER BY p) = 1")

@@ -168,6 +168,28 @@ def cluster_ranking(t: Tables) -> DataFrame:
     return g.crossJoin(F.broadcast(base)).select("cluster", "size", "bad", "intra", round_to(enrich, 4).alias("enrichment"), round_to(enrich * F.log1p(F.col("intra") / F.col("size")), 4).alias("score"))
 
 
+_SPLIT = f"(SELECT cluster, v.node, coalesce(bad AND first_labeled < DATE '{CUTOFF}', false) AS known, coalesce(bad AND first_labeled >= DATE '{CUTOFF}', false) AS future, coalesce(NOT bad, false) AS excluded FROM {{vectors}} v LEFT JOIN {{node_labels}} l ON v.node = l.node)"
+
+
+@query(
+    "gm20_known_enrichment",
+    f"""WITH s AS {_SPLIT}, b AS (SELECT 1.0::DOUBLE * {r.long_sum('known')} / nullif({r.long_sum('NOT excluded')}, 0) AS base FROM s)
+    SELECT cluster, count(*) AS size, {r.long_sum('known')} AS known, {r.long_sum('NOT excluded AND NOT known')} AS candidates, {r.long_sum('future')} AS future,
+    {r.rnd(f"(1.0::DOUBLE * {r.long_sum('known')} / count(*)) / max(base)", 4)} AS known_enrichment, {r.rnd(f"{r.long_sum('future')} / greatest({r.long_sum('NOT excluded AND NOT known')}, 1.0::DOUBLE)", 4)} AS future_rate FROM s, b GROUP BY 1""",
+)
+def known_enrichment(t: Tables) -> DataFrame:
+    """Clusters by what was known at the cutoff only: how much richer in known members than all, and, for what it is worth later, the share of their candidates that came to be known after it."""
+    late = F.col("first_labeled") >= F.lit(CUTOFF).cast("date")
+    no = lambda c: F.coalesce(c, F.lit(False))
+    rows = t.vectors.select("cluster", "node").join(t.node_labels, "node", "left").select("cluster", no(F.col("bad") & ~late).alias("known"), no(F.col("bad") & late).alias("future"), no(~F.col("bad")).alias("excluded"))
+    n = lambda c: F.sum(flag(c))
+    open_ = ~F.col("excluded") & ~F.col("known")
+    base = rows.agg((n(F.col("known")) / F.nullif(n(~F.col("excluded")), F.lit(0))).alias("base"))
+    by = rows.groupBy("cluster").agg(F.count("*").alias("size"), n(F.col("known")).alias("known"), n(open_).alias("candidates"), n(F.col("future")).alias("future")).crossJoin(F.broadcast(base))
+    enrichment = (F.col("known") / F.col("size")) / F.col("base")
+    return by.select("cluster", "size", "known", "candidates", "future", round_to(enrichment, 4).alias("known_enrichment"), round_to(F.col("future") / F.greatest(F.col("candidates").cast("double"), F.lit(1.0)), 4).alias("future_rate"))
+
+
 @query("so11_cluster_members", f"WITH s AS (SELECT a.node, a.cluster, bad, {_SCORE} AS score FROM {_ASSIGNED} a JOIN {{vectors}} v ON a.node = v.node) SELECT cluster, bad, node, score FROM s QUALIFY row_number() OVER (PARTITION BY cluster, bad ORDER BY score DESC, node) <= CASE WHEN bad THEN 2 ELSE 3 END")
 def cluster_members(t: Tables) -> DataFrame:
     """The best members of each cluster, with a quota for labelled and one for others."""
@@ -202,8 +224,8 @@ def precision_recall_lift(t: Tables) -> DataFrame:
 def roc_auc(t: Tables) -> DataFrame:
     """Over distinct scores: each positive beats the negatives below it, and half of those that tie."""
     g = scored(t).groupBy("score").agg(F.count("*").alias("n"), F.sum(flag(F.col("hit"))).alias("p"))
-    below = F.coalesce(F.sum(F.col("n") - F.col("p")).over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    c, neg = g.withColumn("below", below), F.col("n") - F.col("p")
+    neg = F.col("n") - F.col("p")
+    c = graph.ranked(g.withColumn("neg", neg), [F.col("score")], "rank", {"upto": "neg"}).withColumn("below", F.col("upto") - F.col("neg"))
     won = F.sum(F.col("p") * (F.col("below") + neg / 2.0))
     return c.agg(F.sum("p").alias("positives"), F.sum(neg).alias("negatives"), round_to(won / F.nullif(F.sum("p") * F.sum(neg), F.lit(0)), 6).alias("auc"))
 

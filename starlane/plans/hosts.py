@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from starlane.functions.expr import LAST_SIZE, PROVIDERS, SIZES, bare, behind_cdn, core_host, flag, hostname, percent, provider, public_host, size_bucket
 from starlane.operators.archetypes import composite_fallback, latest_per_key, zero_fill
+from starlane.operators.graph import ranked
 from starlane.plans import registry as r
 from starlane.plans.registry import query
 from starlane.sources.bindings import Tables
@@ -241,10 +242,10 @@ def top_host_of_city(t: Tables) -> DataFrame:
     "WITH c AS (SELECT host, min(CAST(ts AS DATE)) AS f FROM {creations} GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY f, host) AS n, count(*) OVER () AS total FROM c) SELECT CASE WHEN n = 1 THEN 'oldest' WHEN n = total THEN 'newest' ELSE 'median' END AS pick, host, f AS first_day FROM k WHERE n IN (1, total // 2 + 1, total)",
 )
 def longevity_picks(t: Tables) -> DataFrame:
-    """Oldest, median and newest host; one row for each host is ordered."""
+    """Oldest, median and newest host, by numbers given in range partitions."""
     c = t.creations.groupBy("host").agg(F.min("ts").cast("date").alias("first_day"))
-    w = Window.orderBy("first_day", "host")
-    k = c.withColumns({"n": F.row_number().over(w), "total": F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    k = ranked(c, [F.col("first_day"), F.col("host")], "n")
+    k = k.crossJoin(F.broadcast(k.agg(F.count("*").alias("total"))))
     pick = F.when(F.col("n") == 1, "oldest").when(F.col("n") == F.col("total"), "newest").otherwise("median")
     return k.where((F.col("n") == 1) | (F.col("n") == F.floor(F.col("total") / 2) + 1) | (F.col("n") == F.col("total"))).select(pick.alias("pick"), "host", "first_day")
 

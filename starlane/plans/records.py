@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starlane.functions.expr import flag
+from starlane.functions.expr import core_host, flag
 from starlane.plans import registry as r
 from starlane.plans.registry import query
 from starlane.sources.bindings import Tables
@@ -13,7 +13,8 @@ from starlane.sources.bindings import Tables
 # Names in the records.
 SERVICE = "atproto_pds"
 REPLIED, QUOTED = 1 << 20, 1 << 21
-LONGEST_LANG = 20
+LONGEST_LANG, LONGEST_NAME = 20, 253
+SCHEME = "at://"
 
 OPERATION = f"""did string, cid string, nullified boolean, createdAt string,
     operation struct<type:string, prev:string, service:string, handle:string, alsoKnownAs:array<string>, services:struct<{SERVICE}:struct<endpoint:string>>>, broken string"""
@@ -48,9 +49,28 @@ def endpoint(operation: Column) -> Column:
     return F.when(operation["type"] == "create", operation["service"]).otherwise(operation["services"][SERVICE]["endpoint"])
 
 
+def named(raw: Column) -> Column:
+    """A name without white space around it, in lower case, cut at LONGEST_NAME characters; null if nothing is left."""
+    return F.nullif(F.substring(F.lower(F.regexp_replace(raw, r"^\s+|\s+$", "")), 1, LONGEST_NAME), F.lit(""))
+
+
+def first_name(aliases: Column, old: Column) -> Column:
+    """The first alias of the names' scheme that is a name, else what the old field says."""
+    found = F.filter(F.transform(F.filter(aliases, lambda x: x.startswith(SCHEME)), lambda x: named(F.substr(x, F.lit(len(SCHEME) + 1)))), lambda x: x.isNotNull())
+    return F.coalesce(F.get(found, 0), named(old))
+
+
 def handle(operation: Column) -> Column:
-    """The first name that the operation gives."""
-    return F.when(operation["type"] == "create", operation["handle"]).otherwise(F.regexp_replace(F.get(operation["alsoKnownAs"], 0), "^at://", ""))
+    return first_name(operation["alsoKnownAs"], operation["handle"])
+
+
+def sql_named(raw: str) -> str:
+    return f"nullif(substr(lower(regexp_replace({raw}, '^\\s+|\\s+$', '', 'g')), 1, {LONGEST_NAME}), '')"
+
+
+def sql_first_name(aliases: str, old: str) -> str:
+    """SQL of first_name."""
+    return f"coalesce(list_filter(list_transform(list_filter({aliases}, lambda x: starts_with(x, '{SCHEME}')), lambda x: {sql_named(f'substr(x, {len(SCHEME) + 1})')}), lambda x: x IS NOT NULL)[1], {sql_named(old)})"
 
 
 def uri_did(uri: Column) -> Column:
@@ -72,7 +92,7 @@ def events(t: Tables) -> DataFrame:
 
 _OP = f"""(SELECT seq, json_extract_string(line, '$.did') AS did, json_extract_string(line, '$.operation.type') AS kind, CAST(json_extract_string(line, '$.nullified') AS BOOLEAN) AS nullified, CAST(json_extract_string(line, '$.createdAt') AS DATE) AS day,
     CASE WHEN json_extract_string(line, '$.operation.type') = 'create' THEN json_extract_string(line, '$.operation.service') ELSE json_extract_string(line, '$.operation.services.{SERVICE}.endpoint') END AS endpoint,
-    CASE WHEN json_extract_string(line, '$.operation.type') = 'create' THEN json_extract_string(line, '$.operation.handle') ELSE regexp_replace(json_extract_string(line, '$.operation.alsoKnownAs[0]'), '^at://', '') END AS handle FROM {{op_lines}} WHERE json_valid(line))"""
+    {sql_first_name("json_extract_string(line, '$.operation.alsoKnownAs[*]')", "json_extract_string(line, '$.operation.handle')")} AS handle FROM {{op_lines}} WHERE json_valid(line))"""
 _EV = """(SELECT seq, json_extract_string(line, '$.did') AS did, json_extract_string(line, '$.kind') AS kind, json_extract_string(line, '$.commit.operation') AS operation, json_extract_string(line, '$.commit.collection') AS collection, json_extract_string(line, '$.commit.rkey') AS rkey,
     json_extract(line, '$.commit.record') AS record, CAST(make_timestamp(CAST(json_extract_string(line, '$.time_us') AS BIGINT)) AS DATE) AS day FROM {event_lines} WHERE json_valid(line))"""
 _NORMAL = "regexp_replace(lower(regexp_replace(endpoint, '/$', '')), '^http://', 'https://')"
@@ -159,11 +179,34 @@ def interactions(t: Tables) -> DataFrame:
 @query("jn23_cross_host_interactions", f"WITH x AS (SELECT did, {_TARGET} AS target FROM {_EV} WHERE operation = 'create'), y AS (SELECT a.host AS from_host, b.host AS to_host FROM x LEFT JOIN {{accounts}} a ON x.did = concat('did:', a.did) LEFT JOIN {{accounts}} b ON x.target = concat('did:', b.did) WHERE target LIKE 'did:%') SELECT coalesce(from_host, '?') AS from_host, coalesce(to_host, '?') AS to_host, count(*) AS n, from_host IS NULL OR to_host IS NULL AS unresolved FROM y GROUP BY 1, 2, 4")
 def cross_host_interactions(t: Tables) -> DataFrame:
     """Both ends of each interaction by their hosts; those with an end that is not known are counted apart."""
-    x = targets(t).select("did", "target")
-    host = t.accounts.select(F.concat(F.lit("did:"), F.col("did").cast("string")).alias("id"), "host")
-    ends = x.join(host.select(F.col("id").alias("did"), F.col("host").alias("from_host")), "did", "left").join(host.select(F.col("id").alias("target"), F.col("host").alias("to_host")), "target", "left")
     unresolved = F.col("from_host").isNull() | F.col("to_host").isNull()
-    return ends.groupBy("from_host", "to_host").agg(F.count("*").alias("n"), F.first(unresolved).alias("unresolved")).select(F.coalesce("from_host", F.lit("?")).alias("from_host"), F.coalesce("to_host", F.lit("?")).alias("to_host"), "n", "unresolved")
+    return between_hosts(t).groupBy("from_host", "to_host").agg(F.sum("n").alias("n"), F.first(unresolved).alias("unresolved")).select(F.coalesce("from_host", F.lit("?")).alias("from_host"), F.coalesce("to_host", F.lit("?")).alias("to_host"), "n", "unresolved")
+
+
+def between_hosts(t: Tables) -> DataFrame:
+    """from_host, to_host (null where an end is not known), collection, n. Interactions are counted by their ends before hosts are looked up, and by one known host before the other is: what everyone acts on is one row for each host."""
+    pairs = targets(t).groupBy("did", "target", "collection").agg(F.count("*").alias("n"))
+    host = t.accounts.select(F.concat(F.lit("did:"), F.col("did").cast("string")).alias("id"), "host")
+    one = pairs.join(host.select(F.col("id").alias("did"), F.col("host").alias("from_host")), "did", "left").groupBy("from_host", "target", "collection").agg(F.sum("n").alias("n"))
+    both = one.join(host.select(F.col("id").alias("target"), F.col("host").alias("to_host")), "target", "left")
+    return both.groupBy("from_host", "to_host", "collection").agg(F.sum("n").alias("n"))
+
+
+_ENDS = f"(SELECT x.collection, a.host AS f, b.host AS g, coalesce(a.host LIKE '%.core.network', false) AS fc, coalesce(b.host LIKE '%.core.network', false) AS gc FROM (SELECT did, collection, {_TARGET} AS target FROM {_EV} WHERE operation = 'create') x LEFT JOIN {{accounts}} a ON x.did = concat('did:', a.did) LEFT JOIN {{accounts}} b ON x.target = concat('did:', b.did) WHERE target LIKE 'did:%')"
+
+
+@query(
+    "ag33_interactions_by_type",
+    f"""WITH e AS {_ENDS} SELECT 'type' AS part, collection AS name, count(*) AS total, {r.long_sum('f <> g')} AS crossing, {r.long_sum('f = g')} AS same FROM e GROUP BY 2
+    UNION ALL SELECT 'federation', CASE WHEN f = g THEN 'same host' WHEN fc AND gc THEN 'core to core' WHEN fc THEN 'core to indie' WHEN gc THEN 'indie to core' ELSE 'indie to indie' END, count(*), {r.long_sum('f <> g')}, {r.long_sum('f = g')} FROM e WHERE f IS NOT NULL AND g IS NOT NULL GROUP BY 2""",
+)
+def interactions_by_type(t: Tables) -> DataFrame:
+    """Each kind of interaction in all, between hosts and inside one; and those with both ends known by whose hosts they join. From counts by pairs of hosts."""
+    rows, (f, g) = between_hosts(t), (F.col("from_host"), F.col("to_host"))
+    sums = lambda df, part: df.groupBy("name").agg(F.sum("n").alias("total"), F.sum(F.when(f != g, F.col("n")).otherwise(0)).alias("crossing"), F.sum(F.when(f == g, F.col("n")).otherwise(0)).alias("same")).select(F.lit(part).alias("part"), "name", "total", "crossing", "same")
+    a, b = core_host(f), core_host(g)
+    kind = F.when(f == g, "same host").when(a & b, "core to core").when(a, "core to indie").when(b, "indie to core").otherwise("indie to indie")
+    return sums(rows.withColumnRenamed("collection", "name"), "type").unionByName(sums(rows.where(f.isNotNull() & g.isNotNull()).withColumn("name", kind), "federation"))
 
 
 @query("sm05_latest_records", f"WITH x AS (SELECT did, rkey, seq, operation, json_extract_string(record, '$.text') AS text FROM {_EV} WHERE collection = 'post') SELECT did, rkey, arg_max(operation, seq) AS operation, arg_max(coalesce(text, ''), seq) AS text, max(seq) AS seq FROM x GROUP BY 1, 2 HAVING arg_max(operation, seq) <> 'delete'")

@@ -162,13 +162,13 @@ def nested_json(t: Tables) -> DataFrame:
 
 @query(
     "src17_pool",
-    f"""WITH p AS (SELECT event_id % 500 AS uri, max(event_id) AS e FROM {{events}} WHERE event_id % 41 <> 2 GROUP BY 1), l AS (SELECT event_id % 500 AS uri, max(event_id) AS e FROM {{events}} GROUP BY 1)
+    f"""WITH p AS (SELECT CAST(floor(event_id / 23.0) AS BIGINT) AS uri, max(event_id) AS e FROM {{events}} WHERE event_id % 41 <> 2 GROUP BY 1), l AS (SELECT CAST(floor(event_id / 23.0) AS BIGINT) AS uri, max(event_id) AS e FROM {{events}} GROUP BY 1)
     SELECT concat('feed/', CAST(p.uri AS VARCHAR)) AS uri, p.e % 90 AS like_count FROM p JOIN l ON p.uri = l.uri WHERE p.e % 90 >= 30 AND l.e % 5 <> 0""",
 )
 def pool(t: Tables) -> DataFrame:
     """JSON lines and a CSV beside them: the last line of each key stands, broken lines are skipped, and only keys that the CSV's last line calls live stay."""
     path = f"{shared_folder(t.spark)}/pool"
-    uri = F.concat(F.lit("feed/"), F.pmod("event_id", F.lit(500)).cast("string"))
+    uri = F.concat(F.lit("feed/"), F.floor(F.col("event_id") / 23).cast("string"))
     whole = F.to_json(F.struct(uri.alias("uri"), F.pmod("event_id", F.lit(90)).alias("like_count"), F.col("event_id").alias("seq")))
     t.events.select(F.when(F.pmod("event_id", F.lit(41)) == 2, F.lit('{"uri":"feed/')).otherwise(whole).alias("value")).write.text(f"{path}/lines")
     t.events.select(uri.alias("uri"), F.when(F.pmod("event_id", F.lit(5)) != 0, "live").otherwise("gone").alias("status"), F.col("event_id").alias("seq")).write.option("header", True).csv(f"{path}/status")

@@ -56,22 +56,23 @@ BINDINGS = {
     # Where accounts live, by the names that scans have.
     "homes": """SELECT c_custkey AS did, concat('https://', lower(replace(s_name, '#', '-')), CASE WHEN s_suppkey % 10 = 0 THEN '.core.network' WHEN s_suppkey % 29 = 3 THEN '.local' WHEN s_suppkey % 29 = 7 THEN '.test:8080' ELSE '.host.net' END) AS host
         FROM {customer} CROSS JOIN (SELECT count(*) AS hosts FROM {supplier}) h JOIN {supplier} ON s_suppkey = c_custkey % hosts""",
-    # Lines as a log of operations has them: an old and a new shape, tombstones, a line in 53 cut off.
+    # Lines as a log of operations has them: an old and a new shape, tombstones, a line in 53 cut off, aliases that are no names, blank or too long.
     "op_lines": """SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 53 = 7 THEN concat('{"did":"did:', CAST(o_custkey AS VARCHAR(20)), '","cid":') ELSE
         concat('{"did":"did:', CAST(o_custkey AS VARCHAR(20)), '","cid":"c', CAST(o_orderkey AS VARCHAR(20)), '","nullified":', CASE WHEN o_orderstatus = 'P' THEN 'true' ELSE 'false' END, ',"createdAt":"', CAST(CAST(o_orderdate AS DATE) AS VARCHAR(20)), 'T00:00:00.000Z","operation":{',
-        CASE o_orderkey % 5 WHEN 0 THEN concat('"type":"create","prev":null,"service":"http://Host-', CAST(o_custkey % 4 AS VARCHAR(20)), '.example.net/","handle":"user', CAST(o_custkey AS VARCHAR(20)), '.net"')
+        CASE o_orderkey % 5 WHEN 0 THEN concat('"type":"create","prev":null,"service":"http://Host-', CAST(CAST(floor(o_custkey / 40.0) AS BIGINT) AS VARCHAR(20)), '.example.net/","handle":"user', CAST(o_custkey AS VARCHAR(20)), '.net"')
         WHEN 1 THEN '"type":"tombstone","prev":"c0"'
-        ELSE concat('"type":"operation","prev":"c0","alsoKnownAs":["at://user', CAST(o_custkey AS VARCHAR(20)), '-', CAST(o_orderkey % 3 AS VARCHAR(20)), '.net"],"services":{"atproto_pds":{"endpoint":"https://host-', CAST(o_orderkey % 4 AS VARCHAR(20)), CASE WHEN o_orderkey % 7 = 0 THEN '.example.net//' ELSE '.Example.net' END, '"}}') END, '}}') END AS line
+        ELSE concat('"type":"operation","prev":"c0","alsoKnownAs":', CASE o_orderkey % 11 WHEN 2 THEN concat('["dns:x","at:// User', CAST(o_custkey AS VARCHAR(20)), '.Net "]') WHEN 4 THEN concat('["at://  ","at://', repeat('x', 250), CAST(o_custkey AS VARCHAR(20)), '"]') WHEN 6 THEN concat('["none"],"handle":" Old', CAST(o_custkey AS VARCHAR(20)), '.net"') WHEN 8 THEN '[]'
+            ELSE concat('["at://user', CAST(o_custkey AS VARCHAR(20)), '-', CAST(o_orderkey % 3 AS VARCHAR(20)), '.net"]') END, ',"services":{"atproto_pds":{"endpoint":"https://host-', CAST(CAST(floor(o_custkey / 60.0) AS BIGINT) + o_orderkey % 3 AS VARCHAR(20)), CASE WHEN o_orderkey % 7 = 0 THEN '.example.net//' ELSE '.Example.net' END, '"}}') END, '}}') END AS line
         FROM {orders}""",
-    # Lines as a stream of events has them; subjects are accounts or records, by the kind of record.
+    # Lines as a stream of events has them; subjects are accounts or records, by the kind of record. Accounts and keys of records grow with the table; some subjects are no account that is known.
     "event_lines": """SELECT event_id AS seq, CASE WHEN event_id % 61 = 9 THEN '{"did":' ELSE
         concat('{"did":"did:', CAST(user_id AS VARCHAR(20)), '","time_us":', CAST(CAST(floor(value * 1000.0) AS BIGINT) * 40000000 + 1704067200000000 AS VARCHAR(20)), ',"kind":"commit","commit":{"operation":"', CASE WHEN event_id % 11 = 3 THEN 'delete' WHEN event_id % 11 = 5 THEN 'update' ELSE 'create' END, '","collection":"',
-        CASE event_type WHEN 'click' THEN 'post' WHEN 'view' THEN 'like' WHEN 'purchase' THEN 'repost' WHEN 'signup' THEN 'follow' ELSE 'block' END, '","rkey":"k', CAST(event_id % 13 AS VARCHAR(20)), '"',
+        CASE event_type WHEN 'click' THEN 'post' WHEN 'view' THEN 'like' WHEN 'purchase' THEN 'repost' WHEN 'signup' THEN 'follow' ELSE 'block' END, '","rkey":"k', CAST(CAST(floor(event_id / 200.0) AS BIGINT) AS VARCHAR(20)), '"',
         CASE WHEN event_id % 11 = 3 THEN '' ELSE concat(',"record":{"text":"t', CAST(event_id AS VARCHAR(20)), '"',
             CASE event_id % 4 WHEN 0 THEN ',"langs":["en","de-CH"]' WHEN 1 THEN ',"langs":[]' WHEN 2 THEN ',"langs":["a-tag-that-is-far-too-long"]' ELSE '' END,
-            CASE WHEN event_type = 'click' AND event_id % 3 = 0 THEN concat(',"reply":{"parent":{"uri":"at://did:', CAST(event_id % 97 AS VARCHAR(20)), '/post/k1"}}') ELSE '' END,
+            CASE WHEN event_type = 'click' AND event_id % 3 = 0 THEN concat(',"reply":{"parent":{"uri":"at://did:', CAST(user_id + CAST(floor(event_id / 500.0) AS BIGINT) AS VARCHAR(20)), '/post/k', CAST(CAST(floor(event_id / 200.0) AS BIGINT) AS VARCHAR(20)), '"}}') ELSE '' END,
             CASE WHEN event_id % 6 = 1 THEN ',"embed":{"$type":"record"}' WHEN event_id % 6 = 2 THEN ',"embed":{"$type":"images"}' ELSE '' END,
-            CASE WHEN event_type = 'signup' THEN concat(',"subject":"did:', CAST(event_id % 89 AS VARCHAR(20)), '"') WHEN event_type IN ('view', 'purchase') THEN concat(',"subject":{"uri":"at://did:', CAST(event_id % 83 AS VARCHAR(20)), '/post/k2"}') ELSE '' END, '}') END, '}}') END AS line
+            CASE WHEN event_type = 'signup' THEN concat(',"subject":"did:', CAST((user_id + CAST(floor(event_id / 500.0) AS BIGINT)) * 7 AS VARCHAR(20)), '"') WHEN event_type IN ('view', 'purchase') THEN concat(',"subject":{"uri":"at://did:', CAST((user_id + CAST(floor(event_id / 500.0) AS BIGINT)) * 13 AS VARCHAR(20)), '/post/k2"}') ELSE '' END, '}') END, '}}') END AS line
         FROM {events}""",
     "did_langs": """SELECT CAST(floor(doc_id / 5.0) AS BIGINT) AS did, concat(lang, CASE WHEN doc_id % 4 = 0 THEN '-x' ELSE '' END) AS lang, count(*) AS posts FROM {documents} WHERE lang IS NOT NULL GROUP BY 1, 2""",
     "collections": """SELECT concat(CASE WHEN page_id % 5 = 0 THEN 'core.app' ELSE concat('ns', CAST(page_id % 6 AS VARCHAR(20)), '.', CASE WHEN page_id % 2 = 0 THEN 'blog' ELSE 'chat' END) END, '.item', CAST(page_id % 3 AS VARCHAR(20))) AS collection,
