@@ -131,20 +131,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, broadc
     toks = materialize(_window_shingles(wins, SHINGLE), "decon-shingles")
     base = materialize(_read(docs, toks), "decon-runs")
     found = materialize(prefixes(base, wins, toks), "decon-prefixes")
-    few = wins.limit(broadcast_windows + 1).count() <= broadcast_windows
-    sized = lambda df: F.broadcast(df) if few else df
+    # One window may be in very many items, so each table is sent to all tasks by its own count.
+    few = lambda df: df.limit(broadcast_windows + 1).count() <= broadcast_windows
+    sized = lambda df, table: F.broadcast(df) if few(table) else df
 
     start, length = F.col("place") - F.col("offset"), F.size("window")
     hits = (
         _spots(base, k, context=True)
-        .join(sized(found), "tok")
+        .join(sized(found, wins), "tok")
         .where((start >= 0) & (start + length <= F.col("n")))
         .where(F.slice("around", start - F.col("lo") + 1, length) == F.col("window"))
         .select("rid", "wid", (F.col("start") + start).alias("start"), length.alias("length"))
     )
     hits = materialize(hits, "decon-hits")
     spans = hits.groupBy("rid").agg(F.collect_set(F.struct("start", "length")).alias("spans"))
-    items = hits.select("rid", "wid").distinct().join(sized(owned.join(wins, "window").select("wid", "item")), "wid").groupBy("rid").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    items = hits.select("rid", "wid").distinct().join(sized(owned.join(wins, "window").select("wid", "item"), owned), "wid").groupBy("rid").agg(F.array_sort(F.collect_set("item")).alias("items"))
     n_hit = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))))
     out = base.select("rid", "doc_id", "th", "n_words").join(spans, "rid", "left").join(items, "rid", "left")
     return out.select(

@@ -16,6 +16,7 @@ see the text only.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import combinations
@@ -29,6 +30,8 @@ SAMPLE, PER_LANGUAGE, PIECES = 2000, 400, 2
 #: So many languages at most have the hashes of their ids bounded when the sample is drawn.
 BOUNDED = 1 << 12
 FEATURES = 4096
+#: Bytes of a text whose letters are held as numbers at a time.
+BLOCK = 1 << 20
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double"
 # Language codes by family.
 FAMILIES = {
@@ -56,8 +59,12 @@ def has_letter(text: str) -> bool:
 
 
 def counts(text: str) -> np.ndarray:
-    a = _LETTERS[np.frombuffer(f" {text.lower()} ".encode(), np.uint8)]
-    return np.bincount(((a[:-2] * 0x9E3779B1 + a[1:-1] * 0x85EBCA77 + a[2:] * 0xC2B2AE3D) & 0xFFFFFFFF) >> 20 if a.size > 2 else np.zeros(0, int), minlength=FEATURES)
+    """How often each feature (a hash of three letters on end) stands in the text, BLOCK bytes at a time."""
+    data, out = np.frombuffer(f" {text.lower()} ".encode(), np.uint8), np.zeros(FEATURES, np.int64)
+    for at in range(0, data.size - 2, BLOCK):
+        a = _LETTERS[data[at : at + BLOCK + 2]]
+        out += np.bincount(((a[:-2] * 0x9E3779B1 + a[1:-1] * 0x85EBCA77 + a[2:] * 0xC2B2AE3D) & 0xFFFFFFFF) >> 20, minlength=FEATURES)
+    return out
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -148,8 +155,8 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE, per_language: int = PER
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs, data = [], []
-        for doc_id, lang, text in zip(*(batch.column(c) for c in ("doc_id", "lang", "text")), strict=True):
-            for piece in pieces(text.as_py(), doc_id.as_py() & 0xFFFFFFFF):
+        for lang, text in zip(batch.column("lang"), batch.column("text"), strict=True):
+            for piece in pieces(text.as_py(), zlib.crc32(text.as_buffer())):
                 x = counts(piece)
                 at = np.flatnonzero(x)
                 langs.append(lang.as_py())

@@ -202,8 +202,27 @@ class _Chains:
         return out
 
 
-def spans(text: list[bytes], templates: tuple[tuple[str, str], ...] = TEMPLATES) -> list[tuple[str, int, int, int, float]]:
-    """(label, first word, last word, words covered, share of the template covered) of every span that names a license."""
+Span = tuple[str, int, int, int, float]
+
+
+def spans(text: list[bytes], templates: tuple[tuple[str, str], ...] = TEMPLATES) -> list[Span]:
+    """(label, first word, last word, words covered, share of the template covered) of the spans that name a license; those of one label do not overlap."""
+    return disjoint(template_spans(text, templates))
+
+
+def disjoint(found: list[Span]) -> list[Span]:
+    """For each label the spans that cover most words (of equal ones, the largest share of their template), without any that overlaps one taken: templates of a license have wording in common."""
+    taken: dict[str, list[Span]] = defaultdict(list)
+    for one in sorted(found, key=lambda x: (-x[3], -x[4], x[2] - x[1], x[1])):
+        others = taken[one[0]]
+        i = bisect.bisect_left(others, one[1], key=lambda x: x[1])
+        if (i == 0 or others[i - 1][2] < one[1]) and (i == len(others) or one[2] < others[i][1]):
+            others.insert(i, one)
+    return sorted((x for own in taken.values() for x in own), key=lambda x: (x[1], x[0], x[2]))
+
+
+def template_spans(text: list[bytes], templates: tuple[tuple[str, str], ...] = TEMPLATES) -> list[Span]:
+    """The same of each template by itself."""
     ids, labels, sizes, automaton = _model(templates)
     known = np.fromiter((ids.get(w, -1) for w in text), np.int32, len(text))
     edges = np.flatnonzero(np.diff(np.concatenate(([0], (known >= 0).view(np.int8), [0]))))
@@ -248,10 +267,10 @@ def _scan(batches: Iterator[pa.RecordBatch], templates: tuple[tuple[str, str], .
         rows = []
         for value in batch.column("text"):
             text = words(value.as_buffer().to_pybytes()) if value.is_valid else []
-            base, found = base_places(text), spans(text, templates)
+            base, found = base_places(text), template_spans(text, templates)
             firsts, named = [p for p, _ in base], {label for _, label in base}
             score = max([0.5 * bool(base), *(x[4] for x in found)])
-            rows.append((len(text), len(base), min(firsts, default=None), max(firsts, default=None), ",".join(sorted(named)), ",".join(sorted(named | {x[0] for x in found})), score, [dict(zip(("label", "first", "last", "covered"), x[:4], strict=True)) for x in found]))
+            rows.append((len(text), len(base), min(firsts, default=None), max(firsts, default=None), ",".join(sorted(named)), ",".join(sorted(named | {x[0] for x in found})), score, [dict(zip(("label", "first", "last", "covered"), x[:4], strict=True)) for x in disjoint(found)]))
         columns = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
         arrays = [pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *arrays], ["doc_id", *(n for n, _ in fields)])

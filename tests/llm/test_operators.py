@@ -274,6 +274,15 @@ def test_decontaminate_both_ways(odd, benchmark, monkeypatch, bitmap, few):
     assert sum(v for k, v in want.items() if k[-1]) == 5
 
 
+def test_a_window_that_very_many_items_share(spark):
+    """One window, one document and 5,000 items: the items' table is judged by its own size, not by that of the windows."""
+    text = "one two three four five six seven eight nine ten"
+    items = spark.range(5000).select(F.format_string("i%05d", "id").alias("item_id"), F.lit(text).alias("text"))
+    docs = spark.createDataFrame([(1, f"so {text} it is"), (2, "nothing here"), (3, text)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in decontaminate.contamination(docs, items, broadcast_windows=100).collect()}
+    assert got == {1: (10, 5000), 2: (0, 0), 3: (10, 5000)}
+
+
 def test_decontaminate_against_brute_force(spark):
     rng = np.random.default_rng(12)
     words = [f"v{i}" for i in range(6)]
@@ -470,6 +479,17 @@ def test_a_license_that_stands_twice_is_two_spans(between):
         assert [x[1:3] for x in licenses.spans(text) if x[3] == len(once)] == [(0, len(once) - 1), (len(once) + between, len(text) - 1)]
 
 
+def test_one_notice_is_one_span():
+    """Templates of one license share their wording; each place is named once for a label, by what covers most."""
+    for text in ("code under the MIT license", licenses.TEMPLATES[1][1], "see the MIT license, and this is released under the MIT license too"):
+        found = licenses.spans(licenses.words(text.encode()))
+        every = licenses.template_spans(licenses.words(text.encode()))
+        for label in {x[0] for x in every}:
+            own = [x for x in found if x[0] == label]
+            assert all(a[2] < b[1] for a, b in zip(own, own[1:], strict=False))
+            assert all(any(x[1] <= y[2] and y[1] <= x[2] and x[3] >= y[3] for x in own) for y in every if y[0] == label)
+
+
 def test_license_templates_as_a_table(spark):
     table = spark.createDataFrame([("own", "all of this belongs to nobody at all"), ("own", None), (None, "x y z"), ("none", "  ")], "label string, text string")
     docs = spark.createDataFrame([(1, "Now ALL of this, belongs to nobody at all."), (2, "belongs to nobody"), (3, "w " * 300_000 + "all of this belongs to nobody at all")], "doc_id long, text string")
@@ -514,6 +534,15 @@ def test_language_family_first():
     assert [p[0] for p in model.predict(x[[0, 3, 6]])] == ["de", "en", "fr"]
 
 
+def test_letters_are_counted_in_blocks(monkeypatch):
+    text = "Ärger über die Straße, " * 500
+    whole = language.counts(text)
+    for size in (1, 2, 7, 4096):
+        monkeypatch.setattr(language, "BLOCK", size)
+        assert (language.counts(text) == whole).all()
+    assert language.counts("").sum() == 0 and language.counts("a").sum() == 1
+
+
 # --- op8
 
 
