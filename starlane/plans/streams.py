@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from starlane.operators.graph import ranked
+from starlane.plans import collectors  # noqa: F401  (its SQL is checked here too)
 from starlane.plans.records import _EV, _TARGET
-from starlane.plans.registry import long_sum, query
+from starlane.plans.registry import SQL, long_sum, query
 from starlane.sources.bindings import Tables
-from starlane.sources.scratch import shared_folder
+from starlane.sources.scratch import delete, shared_folder
+from starlane.sources.sinks import replace_partitions
 from starlane.streaming import live
-from starlane.streaming.folds import stream
+from starlane.streaming.folds import daily_masks, fold_stream, folded, stream, track_until
 
 #: Files that a log is written as; the stream takes one in a batch.
 FILES = 4
@@ -65,19 +68,56 @@ def streamed_moves(t: Tables) -> DataFrame:
     return t.spark.read.schema(live.MOVES).parquet(f"{base}/out")
 
 
-@query("sm23_batches", f"SELECT CAST(floor(({FILES} * (row_number() OVER (ORDER BY event_id) - 1)) / count(*) OVER ()) AS BIGINT) AS batch, 1 AS one FROM {{events}}".replace("SELECT", "SELECT batch, count(*) AS rows, true AS timed FROM (SELECT", 1) + ") GROUP BY 1")
+def event_files(t: Tables, path: str) -> None:
+    """Events as Parquet, in as many files of equal size as FILES says, in the order of their ids."""
+    total = t.events.count()
+    numbered = ranked(t.events, [F.col("event_id")], "place").withColumn("file", F.floor(F.lit(FILES) * (F.col("place") - 1) / F.lit(total)))
+    for k in range(FILES):
+        numbered.where(F.col("file") == k).drop("file", "place").coalesce(1).write.mode("append").parquet(path)
+
+
+_FILED = f"(SELECT *, CAST(floor(({FILES} * (row_number() OVER (ORDER BY event_id) - 1)) / count(*) OVER ()) AS BIGINT) AS file FROM {{events}})"
+
+
+@query("sm23_batches", f"SELECT file AS batch, count(*) AS rows, true AS timed FROM {_FILED} GROUP BY 1")
 def batches(t: Tables) -> DataFrame:
     """What the batches of a stream took, from the table that the listener keeps: their rows, and whether their times are there."""
     base = shared_folder(t.spark)
-    rows = t.events.select("event_id", "user_id")
-    total = rows.count()
-    from starlane.operators.graph import ranked
-
-    numbered = ranked(rows, [F.col("event_id")], "place").withColumn("file", F.floor(F.lit(FILES) * (F.col("place") - 1) / F.lit(total)))
-    for k in range(FILES):
-        numbered.where(F.col("file") == k).drop("file").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    event_files(t, f"{base}/in")
     with live.watched(t.spark, f"{base}/progress") as progress:
         running = stream(t.spark, f"{base}/in", files=1).writeStream.format("noop").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
         running.awaitTermination()
         progress.wait(running)
         return progress.read().select("batch", "rows", ((F.col("total_ms") >= F.col("write_ms")) & (F.col("write_ms") >= 0)).alias("timed"))
+
+
+@query("sm02_streamed_masks", "SELECT did, dt, mask FROM {activity}")
+def streamed_masks(t: Tables) -> DataFrame:
+    """Each account's bits of each day as running state; every batch leaves the days that it has changed, and bits only ever come, so the table is their union."""
+    base = shared_folder(t.spark)
+    event_files(t, f"{base}/in")
+    running = daily_masks(stream(t.spark, f"{base}/in", files=1), LATENESS).writeStream.outputMode("update")
+    running.foreachBatch(lambda batch, number: replace_partitions(batch.withColumn("batch", F.lit(number)), f"{base}/out", ["batch"])).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{base}/out").groupBy("did", "dt").agg(F.bit_or("mask").alias("mask"))
+
+
+@query("sm16_tracked_until_full", f"SELECT event_type, count(*) AS n, max(event_id) AS last FROM {_FILED} WHERE file < 2 GROUP BY 1")
+def tracked_until_full(t: Tables) -> DataFrame:
+    """A side table that takes batches until it holds two fifths of the log: with the second of four it does, and the others are read past it."""
+    base = shared_folder(t.spark)
+    event_files(t, f"{base}/in")
+    rows = stream(t.spark, f"{base}/in", files=1).select("event_id", "event_type")
+    track_until(rows, f"{base}/out", f"{base}/state", most=2 * t.events.count() // 5).awaitTermination()
+    return t.spark.read.parquet(f"{base}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+
+
+@query("sm11_replayed_batch", SQL["q80_daily_folds"])
+def replayed_batch(t: Tables) -> DataFrame:
+    """Data first, then the mark that says so: a collector that stops between the two reads its last batch again when it is started, and no sum counts twice. The mark of the last batch is taken away here."""
+    base = shared_folder(t.spark)
+    event_files(t, f"{base}/in")
+    run = lambda: fold_stream(stream(t.spark, f"{base}/in", files=1), f"{base}/out", f"{base}/state").awaitTermination()
+    run()
+    delete(t.spark, f"{base}/state/commits/{FILES - 1}")
+    run()
+    return folded(t.spark, f"{base}/out")

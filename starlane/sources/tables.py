@@ -26,3 +26,10 @@ def jdbc(spark: SparkSession, url: str, query: str, key: str | None = None, boun
     if key and bounds:
         reader = reader.options(partitionColumn=key, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=parts)
     return reader.load()
+
+
+def attach(spark: SparkSession, databases: dict[str, str], tables: dict[str, list[str]], **options: str) -> None:
+    """Tables of several databases under names of one session: the view <database>_<table> for each, so that one statement can join them. Nothing is read until it is asked for."""
+    for database, url in databases.items():
+        for name in tables[database]:
+            jdbc(spark, url, f"SELECT * FROM {name}", **options).createOrReplaceTempView(f"{database}_{name}")
