@@ -5,7 +5,8 @@ source up to and with it, divided by the source's target; its second and later c
 copies are ordered by virtual finish time, over all sources together, and the order is cut where the total budget is used up.
 
 The running sums are made in two levels so that no source goes through one task: sums for each (source, first digits of the
-shuffle key), then a running sum inside each of those cells. The cut is found from the sums of BINS ranges of virtual time, then of
+shuffle key), then a running sum inside each of those cells. Rows without an id, or with one id, may all have one shuffle key; where these are very many they make cells of their own,
+split by row, between the rows of their cell that come before and those that come after. The cut is found from the sums of BINS ranges of virtual time, then of
 FINE ranges inside the one in which it falls, and from the copies of the one range of these that holds it: about one of 34 million.
 
 Nulls, ties and the like: a null source is a source of its own, after all others; a null or empty text has size 0 and is never
@@ -25,6 +26,8 @@ from starlane.llm.common import materialize, plain_words
 
 #: Hex digits of the shuffle key that make a cell: 16 ** 3 cells for each source.
 CELL_DIGITS = 3
+#: Rows with one shuffle key (one id and size) are split by row into PARTS where they are more than a HOT_PARTS-th of all rows, and more than HOT_LEAST.
+HOT_PARTS, HOT_LEAST, PARTS = 4096, 10_000, 256
 #: Ranges of virtual time up to END; virtual time 1 is where every source has exactly its target.
 BINS, END = 4096, 2.0
 FINE = 4096
@@ -65,6 +68,21 @@ def targets(sizes: DataFrame, share: float, cap: float, weights: tuple[int, ...]
     return levels.select("__key", "source_size", F.least(F.col("__cap"), F.coalesce(F.col("__weight") * first["__level"], F.col("__cap"))).alias("target"))
 
 
+def _split_hot(queue: DataFrame) -> DataFrame:
+    """queue with __cell as it sorts: (first digits, pieces between hot keys, part of a hot key). queue must be written, since its rows' numbers are used."""
+    counts = queue.groupBy("__key", "__cell").agg(F.count("*").alias("__n"))
+    most = F.greatest(F.sum("__n").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) / HOT_PARTS, F.lit(float(HOT_LEAST)))
+    # One row for each cell of each source; of those that are left no more than HOT_PARTS have so many rows, and no more keys inside them.
+    cells = F.broadcast(counts.withColumn("__most", most).where("__n > __most").drop("__n"))
+    orders = queue.join(cells, ["__key", "__cell"]).groupBy("__key", "__cell", "__order").agg(F.count("*").alias("__n"), F.max("__most").alias("__most")).where("__n > __most")
+    hot = F.broadcast(orders.groupBy("__key", "__cell").agg(F.collect_list("__order").alias("__hot")))
+    rows = queue.join(hot, ["__key", "__cell"], "left")
+    own = F.coalesce(F.array_contains("__hot", F.col("__order")), F.lit(False))
+    before = F.coalesce(F.size(F.filter("__hot", lambda h: h < F.col("__order"))), F.lit(0))
+    part = F.when(own, F.pmod("__rid", F.lit(PARTS))).otherwise(0).cast("int")
+    return rows.withColumn("__cell", F.struct(F.col("__cell").alias("digits"), (2 * before + own.cast("int")).alias("piece"), part.alias("part"))).drop("__hot")
+
+
 def _finish(rows: DataFrame, cells: DataFrame) -> DataFrame:
     inside = Window.partitionBy("__key", "__cell").orderBy("__order", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.join(cells, ["__key", "__cell"]).withColumn("__place", F.col("__before") + F.sum("size").over(inside)).withColumn("finish", F.col("__place") / F.nullif(F.col("target"), F.lit(0.0)))
@@ -85,7 +103,9 @@ def _edge(sums: DataFrame, bin_: str, budget: DataFrame, most: str) -> DataFrame
 def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, size: Column | None = None, keep_columns: bool = True) -> DataFrame:
     """docs (doc_id, source, text, ...) with size, source_size, target, finish and taken (words that the mix takes: a multiple of size)."""
     queued = queue_keys(docs, word_count(F.col("text")) if size is None else size)
-    slim = materialize(queued.select("doc_id", "size", "__key", "__order", "__cell"), "mix-queue")
+    columns = [c for c in (queued.columns if keep_columns else ("doc_id", "size", "__key", "__order", "__cell")) if c != "__rid"]
+    queue = _split_hot(materialize(queued.select(*columns).withColumn("__rid", F.monotonically_increasing_id()), "mix-queue"))
+    slim = queue.select("doc_id", "size", "__key", "__order", "__cell")
     by_cell = slim.groupBy("__key", "__cell").agg(F.sum("size").alias("__sum"))
     goals = targets(by_cell.groupBy("__key").agg(F.sum("__sum").alias("source_size")), share, cap, weights)
     earlier = Window.partitionBy("__key").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -108,10 +128,10 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[in
     found = last_ones.unionByName(before).agg(F.max("at").alias("__cut_at"))
     cut = materialize(edge.agg(F.max("bin").alias("__cut_bin")).crossJoin(F.broadcast(found)), "mix-cut")
 
-    rows = _finish(queued if keep_columns else slim, cells).crossJoin(F.broadcast(cut))
+    rows = _finish(queue, cells).crossJoin(F.broadcast(cut))
     kept = lambda at: F.coalesce((F.col("__cut_bin").isNull() | (F.least(F.floor(at * BINS), F.lit(last)) < F.col("__cut_bin")) | (at <= F.coalesce(F.col("__cut_at"), F.lit(-1.0)))), F.lit(False))
     rows = rows.withColumn("taken", F.col("size") * F.size(F.filter(_copies(cap), kept)))
-    return rows.drop("__key", "__order", "__cell", "__before", "__place", "__cut_bin", "__cut_at")
+    return rows.drop("__key", "__order", "__cell", "__rid", "__before", "__place", "__cut_bin", "__cut_at")
 
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:

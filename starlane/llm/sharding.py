@@ -5,8 +5,8 @@ shard. No shard takes more than (1 + SLACK) times the mean of bytes: what finds
 shard with room (or, if none has room for so large a document, to the emptiest).
 
 The ring is cut into 2 ** CELL_BITS cells, and a cell goes to one shard as a whole, so the walk needs only the cells' bytes: a
-table of fixed length, however many documents there are. Cells that hold more than a small part of a shard (many rows with one
-id, or null ids) are split by row into SPLITS parts, each of which walks on its own. Heavier cells walk first, then by place on
+table of fixed length, however many documents there are. Cells that hold more than HOT of SPLITS equal parts of all rows or bytes (many rows with one
+id, or null ids) are split by row into parts of about that size, each of which walks on its own. Heavier cells walk first, then by place on
 the ring. Slots are the running row number in a cell, after the rows of the cells that come before it in its shard.
 
 Law `bytes`: sizes (UTF-8 bytes + 1) are near equal. Nulls, ties and the like: a null text has size 1 and no CRC; a null id is
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 from starlane.llm.common import materialize
 
 SHARDS, VNODES, SLACK = 16, 1024, 0.0005
-CELL_BITS, SPLITS, HOT_PART = 16, 256, 8
+CELL_BITS = 16
+#: A cell with more than HOT of SPLITS equal parts of all rows or bytes is split by row into parts of about that size.
+SPLITS, HOT = 1 << 14, 4
 
 
 def _place(*parts: object) -> int:
@@ -67,17 +70,19 @@ def shard(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, slack: fl
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32("text").alias("text_crc32"),
         F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - CELL_BITS).cast("int").alias("cell"),
-        F.pmod(F.monotonically_increasing_id(), F.lit(SPLITS)).cast("int").alias("part"),
+        F.monotonically_increasing_id().alias("rid"),
     )
     keyed = materialize(keyed, "shard-keys")
-    # At most 2 ** CELL_BITS rows, and SHARDS * HOT_PART * SPLITS more for hot cells.
+    # At most 2 ** CELL_BITS rows, and about 2 * SPLITS more for the parts of hot cells.
     whole = {r.cell: r for r in keyed.groupBy("cell").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")).collect()}
-    most, most_rows = (sum(n) / shards / HOT_PART for n in ([r.bytes for r in whole.values()], [r.rows for r in whole.values()]))
-    hot = sorted(c for c, r in whole.items() if r.rows > 1 and (r.bytes > most or r.rows > most_rows))
-    counts = {(c, -1): (r.rows, r.bytes) for c, r in whole.items() if c not in set(hot)}
+    part_rows, part_bytes = (max(1.0, sum(n) / SPLITS) for n in ([r.rows for r in whole.values()], [r.bytes for r in whole.values()]))
+    parts = {c: min(r.rows, math.ceil(max(r.rows / part_rows, r.bytes / part_bytes))) for c, r in whole.items()}
+    hot = {c: n for c, n in parts.items() if n > HOT}
+    counts = {(c, -1): (r.rows, r.bytes) for c, r in whole.items() if c not in hot}
+    split = F.broadcast(spark.createDataFrame(sorted(hot.items()), "cell int, parts int"))
+    keyed = keyed.join(split, "cell", "left").withColumn("split", F.coalesce(F.pmod("rid", "parts").cast("int"), F.lit(-1))).drop("rid", "parts")
     if hot:
-        parts = keyed.where(F.col("cell").isin(hot)).groupBy("cell", "part").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")).collect()
-        counts |= {(r.cell, r.part): (r.rows, r.bytes) for r in parts}
+        counts |= {(r.cell, r.split): (r.rows, r.bytes) for r in keyed.where("split >= 0").groupBy("cell", "split").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")).collect()}
     to = walk([(*k, b) for k, (_, b) in counts.items()], shards, vnodes, slack)
     filled, plan = [0] * shards, []
     for key in sorted(to):
@@ -85,7 +90,6 @@ def shard(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, slack: fl
         plan.append((*key, s, filled[s], home))
         filled[s] += counts[key][0]
     cells = spark.createDataFrame(plan, "cell int, split int, shard int, before long, home_shard int")
-    rows = keyed.withColumn("split", F.when(F.col("cell").isin(hot), F.col("part")).otherwise(-1) if hot else F.lit(-1))
     inside = Window.partitionBy("cell", "split").orderBy("doc_id", "size", "text_crc32")
-    rows = rows.withColumn("n", F.row_number().over(inside)).join(F.broadcast(cells), ["cell", "split"])
+    rows = keyed.withColumn("n", F.row_number().over(inside)).join(F.broadcast(cells), ["cell", "split"])
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("n") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "home_shard")

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from starlane.llm import chat, decontaminate, language, licenses, mixing, near, quality, sharding, toxicity, warc
-from starlane.llm.common import finished, scratch_tables
+from starlane.llm.common import finished, materialize, scratch_tables
 
 PLAIN = re.compile("[^\x20\x09-\x0d]+")
 FOLDED = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -69,6 +69,14 @@ def test_shard_splits_many_small_rows_of_one_id(spark):
     assert sorted(r.slot for r in got.where("shard = 0").collect()) == list(range(got.where("shard = 0").count()))
 
 
+def test_shard_splits_cells_far_below_a_shard(spark):
+    """An id with a two-hundredth of all rows is many windows, none with more than some thousandths."""
+    rows = spark.range(40_000).select(F.when(F.col("id") % 200 == 0, F.lit(7)).otherwise(F.col("id")).alias("doc_id"), F.lit("xyz").alias("text"))
+    got = sharding.shard(rows, 4)
+    assert got.where("doc_id = 7").select("shard", "home_shard").distinct().count() > 4
+    assert got.select("shard", "slot").distinct().count() == 40_000
+
+
 def test_ring_walk_against_a_plain_one():
     """Key by key: clockwise from its place, past every point whose shard is full."""
     rng = np.random.default_rng(6)
@@ -343,6 +351,27 @@ def test_mix_comes_near_its_targets(spark, sf_dir):
     assert rows.columns == docs.columns and sum(r.taken for r in by) == rows.select(F.sum(mixing.word_count(F.col("text")))).first()[0]
 
 
+def test_mix_splits_rows_of_one_id_and_size(spark, monkeypatch):
+    """A third of the rows have no id and one size: they are cells of many tasks, and every row still has a place of its own."""
+    monkeypatch.setattr(mixing, "HOT_LEAST", 500)
+    n = 6000
+    df = spark.range(n).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("s"), (F.col("id") % 2).cast("string")).alias("source"), F.when(F.col("id") % 3 == 0, "a b c").otherwise(F.concat_ws(" ", F.array_repeat(F.lit("w"), (F.col("id") % 5 + 1).cast("int")))).alias("text")).repartition(4)
+    queued = materialize(mixing.queue_keys(df, mixing.word_count(F.col("text"))).withColumn("__rid", F.monotonically_increasing_id()), "queue")
+    cells = mixing._split_hot(queued).groupBy("__key", "__cell").agg(F.count("*").alias("n"), F.min("__order").alias("a"), F.max("__order").alias("b")).collect()
+    assert max(r.n for r in cells) < 60 and sum(r.n for r in cells) == n
+    by = defaultdict(list)
+    for r in cells:
+        by[r["__key"]].append((tuple(r["__cell"]), r.a, r.b))
+    for each in by.values():
+        each.sort()
+        assert all(x[2] <= y[1] for x, y in zip(each, each[1:], strict=False))  # cells sort as their shuffle keys do
+    rows = mixing.mix(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    assert all(abs(r.taken - r.target) <= 12 for r in rows)
+    split = Counter((r.doc_id, r.taken) for r in mixing.mix(df, keep_columns=False).collect())
+    monkeypatch.setattr(mixing, "HOT_LEAST", 1 << 30)
+    assert split == Counter((r.doc_id, r.taken) for r in mixing.mix(df).collect())
+
+
 def test_mix_keeps_columns_of_its_own_names(odd):
     assert mixing.mixed_rows(odd).columns == odd.columns
     assert {r["size"] for r in mixing.mixed_rows(odd).collect()} == {"s"}
