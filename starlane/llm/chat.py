@@ -9,8 +9,8 @@ loss_end) of that text. `expanded` makes the examples whole, each with its own c
 square of a conversation's length. `read_back` writes them and takes its digests from the files.
 
 Nulls, ties and the like: a null text or role is empty; a null conv_id is a conversation; a null turn comes first; equal turn
-numbers stand by role, then text; a conversation without assistant turns has no example and an empty loss; an empty table gives an
-empty layout. Only conv_id, turn, role and text are read.
+numbers stand by role, then text; a conversation without assistant turns has no example and an empty loss; repeated rows are turns said twice; a long turn is copied into
+every example after it, and a task holds one example at a time; an empty table gives an empty layout. Only conv_id, turn, role and text are read.
 """
 
 from __future__ import annotations

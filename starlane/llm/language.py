@@ -9,8 +9,8 @@ of a hash of the id, each as a whole text and as two short pieces of it (so that
 all rows and whole texts.
 
 Nulls, ties and the like: a null text and one without a letter is `und` with score 0; rows with a null id or null lang are never learned
-from; where nothing can be learned everything is `und`; equal texts get equal results; an empty table gives an empty result. Predictions
-see the text only.
+from; where nothing can be learned everything is `und`; equal texts get equal results, and so do repeated rows; the letters of a long text are counted BLOCK bytes at a time; an empty table gives an empty result. Predictions
+see the text only, and of other columns none is read, whatever they are called.
 """
 
 from __future__ import annotations

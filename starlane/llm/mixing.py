@@ -11,7 +11,7 @@ FINE ranges inside the one in which it falls, and from the copies of the one ran
 
 Nulls, ties and the like: a null source is a source of its own, after all others; a null or empty text has size 0 and is never
 taken; documents that agree in id and size stand in any order, which cannot be told apart in the result; of copies with the same
-finish time all or none are taken; an empty table gives an empty result. Other columns pass through unless they have a name that
+finish time all or none are taken; a long text is split into words as one row of one task; an empty table gives an empty result. Other columns pass through unless they have a name that
 the operator adds (size, source_size, target, taken, finish), which is then replaced.
 """
 

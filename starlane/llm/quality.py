@@ -9,7 +9,7 @@ more than max(LEAST_DOCUMENTS, SHARE of the host's distinct texts) have it, or m
 less than DEPLETED of the characters in lines is left is rejected.
 
 Nulls, ties and the like: a null text has no words and so fails; a null source is a host of its own; repeated rows are judged
-alike, each for itself; an empty table gives an empty result. The operator reads doc_id, source and text; other columns, whatever
+alike, each for itself; the words and lines of a long text are arrays of one row; an empty table gives an empty result. The operator reads doc_id, source and text; other columns, whatever
 their names, are not touched by `quality`.
 """
 

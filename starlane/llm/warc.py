@@ -10,7 +10,7 @@ for each attempt of a task; only files of attempts that succeeded are listed in
 
 Nulls, ties and the like: a null html is an empty payload; payloads with fewer than `least` bytes are always responses; a null
 page_id loses against any other, and if all of a group are null, all are responses; repeated rows with the largest id are
-all responses; a null url becomes urn:page:<id>; an empty table gives an empty result. Only page_id, url and html are read, whatever other columns are called.
+all responses; a null url becomes urn:page:<id>; a page and its record are held whole by the task that writes or reads it; an empty table gives an empty result. Only page_id, url and html are read, whatever other columns are called.
 """
 
 from __future__ import annotations

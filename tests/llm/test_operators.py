@@ -665,6 +665,35 @@ def test_quality_statistics(odd, spark, nothing):
     assert quality.quality(nothing).count() == 0
 
 
+def test_columns_with_names_of_the_operators_own(spark, odd):
+    """What an operator adds may be the name of a column that it does not read."""
+    clashing = odd.selectExpr("doc_id", "text", "lang", "source", "1 AS n_words", "2 AS kept", "3 AS host", "4 AS line", "5 AS lines", "6 AS row", "7 AS boilerplate_chars")
+    want = Counter(tuple(r) for r in quality.quality(odd).select("doc_id", "n_words", "kept").collect())
+    assert Counter(tuple(r) for r in quality.quality(clashing).select("doc_id", "n_words", "kept").collect()) == want
+    pages = spark.createDataFrame([(1, "u", "<a>", 5, "x", b"y"), (2, None, "<a>", None, None, None)], "page_id long, url string, html string, payload_bytes int, record_type string, refers_to binary")
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(spark, pages, least=0).collect()}
+    assert got == {1: (3, "revisit", 2), 2: (3, "response", None)}
+
+
+def test_long_texts_in_every_operator(spark):
+    """A text of a million characters beside short ones."""
+    words = [f"w{i % 977}x{i % 31}" for i in range(120_000)]
+    text = "\n".join(" ".join(words[i : i + 12]) for i in range(0, len(words), 12)) + "\nreleased under the MIT License"
+    docs = spark.createDataFrame([(1, text, "en", "a"), (2, "short one", "en", "a"), (3, text + " tail", "en", "b")], "doc_id long, text string, lang string, source string")
+    n = len(PLAIN.findall(text))
+    item = " ".join(words[5000:5030])
+    found = {r.doc_id: r for r in decontaminate.contamination(docs, spark.createDataFrame([("i", item)], "item_id string, text string")).collect()}
+    assert found[1].contaminated and found[3].contaminated and not found[2].contaminated
+    assert {r.doc_id: r["size"] for r in mixing.mix(docs).collect()} == {1: n, 2: 2, 3: n + 1}
+    scanned = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    assert scanned[1].labels == "mit" and scanned[1].first_word == n - 2 == scanned[1].last_word
+    assert {r.doc_id: r.n_words for r in quality.quality(docs).collect()} == {1: n, 2: 2, 3: n + 1}
+    assert all(r.lang_pred == "en" for r in language.identify(docs, language.fit(docs)).collect()) or not language.fit(docs).families
+    turns = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], "conv_id long, turn int, role string, text string")
+    back = chat.read_back(chat.layout(turns)).first()
+    assert back.loss_chars == len(text) and back.loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_quality_rejects_depleted_documents(spark):
     own = " ".join(f"own{i}" for i in range(20))
     common = "this line of the footer stands in nearly every document of the host and says nothing"
