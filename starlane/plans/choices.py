@@ -42,6 +42,29 @@ def renamed_hosts(t: Tables) -> DataFrame:
     return t.accounts.groupBy(renamed(F.col("host")).alias("host"), week(F.col("created")).alias("week")).agg(F.count("*").alias("n"))
 
 
+#: The platform's second name, as hosts have it that are not under its own suffix.
+SECOND = "https://5-low.host.net"
+
+
+def own_host(host: Column, second: bool = False) -> Column:
+    """Run by the platform: by its suffix, or, in the wider form, also under its second name."""
+    return core_host(host) | (bare(host) == SECOND) if second else core_host(host)
+
+
+_OWN = ("{0} LIKE '%.core.network'", f"({{0}} LIKE '%.core.network' OR {{0}} = '{SECOND}')")
+
+
+def _inside(own: str) -> str:
+    return f"NOT ({own.format('from_host')} AND {own.format('to_host')})"
+
+
+@query("flt08_moves_outside", f"SELECT year(ts) AS year, count(*) AS moves, {r.long_sum(_inside(_OWN[0]))} AS outside, {r.long_sum(_inside(_OWN[1]))} AS outside_wider FROM {{migrations}} GROUP BY 1")
+def moves_outside(t: Tables) -> DataFrame:
+    """Moves but for those from one of the platform's hosts to another, by either form of what is the platform's."""
+    inside = lambda second: own_host(F.col("from_host"), second) & own_host(F.col("to_host"), second)
+    return t.migrations.groupBy(F.year("ts").cast("long").alias("year")).agg(F.count("*").alias("moves"), F.sum(flag(~inside(False))).alias("outside"), F.sum(flag(~inside(True))).alias("outside_wider"))
+
+
 def era(first_week: Column) -> Column:
     out = F.when(first_week.between(*ERAS[0][1:]), F.lit(ERAS[0][0]))
     for label, low, high in ERAS[1:]:
