@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,11 +12,13 @@ from starlane.plans import registry as r
 from starlane.plans.registry import query
 from starlane.sources import sinks
 from starlane.sources.bindings import Tables
-from starlane.sources.scratch import shared_folder
+from starlane.sources.scratch import saved, shared_folder
 from starlane.sources.tables import csv, json_lines
 
 #: Where the second delivery begins, and the first day that retention and a rewind keep.
 SINCE, KEPT, REWOUND = "1998-01-01", "2024-01-11", "2024-01-21"
+#: Buckets of derived tables; a cluster would have as many as it has shuffle partitions.
+BUCKETS = 8
 
 
 def _handles(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -73,6 +77,30 @@ def tombstones(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path).select("did", "handle", F.col("at.ts").alias("ts"), F.col("deleted_at.ts").alias("deleted_at"))
 
 
+@query("snk07b_stored_tombstones", "SELECT did, arg_max(handle, (ts, op_id)) AS handle, max(ts) AS ts, CASE WHEN arg_max(nullified, (ts, op_id)) THEN max(ts) END AS deleted_at FROM {oplog} GROUP BY 1")
+def stored_tombstones(t: Tables) -> DataFrame:
+    """The same as state that deliveries are laid upon: the later half of the log comes first, then the earlier, and one of them twice."""
+    base = f"{shared_folder(t.spark)}/state"
+    rows = t.oplog.select("did", F.struct("ts", "op_id").alias("at"), "handle", "nullified")
+    late = F.col("at.ts") >= F.lit(SINCE).cast("timestamp")
+    for part in (rows.where(late), rows.where(~late), rows.where(late)):
+        sinks.apply_changes(base, part, ["did"], "at", F.col("nullified"))
+    return sinks.read_current(t.spark, base).select("did", "handle", F.col("at.ts").alias("ts"), F.col("deleted_at.ts").alias("deleted_at"))
+
+
+@query("snk11_derived_tables", "WITH m AS (SELECT did, count(*) AS moves FROM {migrations} GROUP BY 1), a AS (SELECT did, count(*) AS days, bit_or(mask) AS mask FROM {activity} GROUP BY 1) SELECT moves, count(*) AS accounts, CAST(sum(days) AS BIGINT) AS days, CAST(bit_or(mask) AS INTEGER) AS mask FROM m JOIN a ON m.did = a.did GROUP BY 1")
+def derived_tables(t: Tables) -> DataFrame:
+    """Two derived tables in the same buckets, joined by their key without moving either; dropped when the result stands."""
+    base, tag = shared_folder(t.spark), uuid.uuid4().hex
+    names = f"moves_{tag}", f"days_{tag}"
+    moves = sinks.derive(t.migrations.groupBy("did").agg(F.count("*").alias("moves")), names[0], f"{base}/moves", "did", BUCKETS)
+    days = sinks.derive(t.activity.groupBy("did").agg(F.count("*").alias("days"), F.bit_or("mask").alias("mask")), names[1], f"{base}/days", "did", BUCKETS)
+    out = saved(moves.join(days.hint("merge"), "did").groupBy("moves").agg(F.count("*").alias("accounts"), F.sum("days").alias("days"), F.bit_or("mask").alias("mask")))
+    for name in names:
+        t.spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def _days(t: Tables) -> DataFrame:
     return t.events.groupBy(F.to_date("ts").alias("dt"), "event_type").agg(F.count("*").alias("n"))
 

@@ -117,6 +117,24 @@ def with_tombstones(changes: DataFrame, keys: list[str], order: str, deleted: Co
     return last.select(*keys, *(f"l.{c}" for c in plain), "l.deleted_at")
 
 
+def apply_changes(base: str, changes: DataFrame, keys: list[str], order: str, deleted: Column) -> int:
+    """Changes laid upon a table of the last state of each key that refresh() keeps, with deleted_at: soft deletes, and what a later change brings back. Changes that come late or twice alter nothing. The new version's number."""
+    spark = changes.sparkSession
+    new = with_tombstones(changes, keys, order, deleted)
+    if latest_version(spark, base) is not None:
+        plain = [c for c in new.columns if c not in keys]
+        both = read_current(spark, base).unionByName(new)
+        new = both.groupBy(*keys).agg(F.max(F.struct(F.col(order).alias("__o"), *plain)).alias("l")).select(*keys, *(f"l.{c}" for c in plain))
+    return refresh(new, base)
+
+
+def derive(df: DataFrame, name: str, path: str, key: str, buckets: int) -> DataFrame:
+    """A derived table under a name, in buckets by a key and sorted in each, with statistics of all columns: joins and groups by that key need no shuffle, as they would use an index."""
+    df.write.option("path", path).bucketBy(buckets, key).sortBy(key).mode("overwrite").saveAsTable(name)
+    df.sparkSession.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS FOR ALL COLUMNS")
+    return df.sparkSession.table(name)
+
+
 def prune(spark: SparkSession, path: str, by: str, first_kept: str | None) -> int:
     """Deletes partitions before first_kept (as their names sort); without it nothing. How many went."""
     if not first_kept:

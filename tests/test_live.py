@@ -162,7 +162,26 @@ def test_batches_are_seen_if_they_are_committed(spark, folder):
     assert values(sinks.read_committed(spark, folder, "b")) == [(0,), (0,), (1,)]
 
 
-@pytest.mark.parametrize("name", ["snk04_last_write", "sm12_rewound", "gm05_k_core", "gm25_nearest_centroid", "snk21_saved_vectors", "sm17_streamed_moves", "sm03_streamed_folds", "src17_pool", "q01_activity_by_age"])
+def test_changes_may_come_late_or_twice(spark, folder):
+    day = lambda rows: spark.createDataFrame(rows, "k string, at int, v string, gone boolean")
+    parts = [[("a", 1, "x", False), ("b", 5, "y", True)], [("a", 3, "z", True), ("b", 2, "old", False)], [("a", 4, "w", False), ("c", 1, None, True)]]
+    for part in (parts[0], parts[2], parts[1], parts[2], parts[0]):
+        sinks.apply_changes(f"{folder}/s", day(part), ["k"], "at", F.col("gone"))
+    got = sinks.read_current(spark, f"{folder}/s").select("k", "at", F.coalesce("v", F.lit("-")), F.coalesce("deleted_at", F.lit(0)))
+    assert values(got) == [("a", 4, "w", 0), ("b", 5, "y", 5), ("c", 1, "-", 1)]
+
+
+def test_derived_tables_join_without_a_shuffle(spark, folder):
+    a = sinks.derive(spark.range(500).select(F.col("id").alias("k"), (F.col("id") % 3).alias("v")), "derived_a", f"{folder}/a", "k", 4)
+    b = sinks.derive(spark.range(0, 500, 5).select(F.col("id").alias("k")), "derived_b", f"{folder}/b", "k", 4)
+    joined = a.join(b.hint("merge"), "k")
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 100
+    assert "500 rows" in " ".join(r.data_type for r in spark.sql("DESCRIBE EXTENDED derived_a").collect() if r.col_name == "Statistics")
+    for name in ("derived_a", "derived_b"):
+        spark.sql(f"DROP TABLE {name}")
+
+
+@pytest.mark.parametrize("name", ["snk11_derived_tables", "snk04_last_write", "sm12_rewound", "gm05_k_core", "gm25_nearest_centroid", "snk21_saved_vectors", "sm17_streamed_moves", "sm03_streamed_folds", "src17_pool", "q01_activity_by_age"])
 def test_a_query_leaves_nothing_but_its_result(spark, sf_dir, name):
     where = scratch.scratch_dir(spark).removeprefix("file://")
     before = set(os.listdir(where))
