@@ -4,19 +4,20 @@ Terms are runs of digits, letters and all beyond ASCII, with A-Z lower-cased. Wi
 them, n in a document, df documents that hold a term and tf times in one: a term weighs w = floor(1000 ln((2 N + 2) / (2 df + 1))),
 a document has m = 10 + 90 n N div L, and its score is the sum of w * (10^9 tf div (1000 tf + 8 m)) over the item's terms.
 
-One pass over the texts keeps, for every document, n and how often it holds each term that some item has; N, L and df are summed from
-that table. A second pass reads it in segments of at most SEGMENT_DOCS documents or SEGMENT_POSTINGS postings. In a segment each term
-has its posting list, in order of rarity. A list that an item reaches is clustered by document similarity: the
+`build` makes an index of a vocabulary. One pass over the texts keeps, for every document, n and how often it holds each term of the
+vocabulary; N, L and df are summed from that table. A second pass cuts it into segments of at most SEGMENT_DOCS documents or SEGMENT_POSTINGS postings.
+In a segment each term has its posting list, in order of rarity. The list is clustered by document similarity: its
 documents are compared, by sketches of their weighted terms, with representatives taken from the list itself, join the most similar one,
-and clusters are cut into blocks of BLOCK documents at most. A block's summary is the largest impact of each coordinate in
-any of its documents: terms as common as the list's own or more so, since a document of the list that holds a rarer term of the item
-stands in that term's list too, where its bound covers them all; and of these the terms that some item has together with the list's.
-The summary times the item's weights is an exact upper bound of what the block's documents can score beyond lists already done. A
-block is skipped only if its bound is below the item's k-th best score so far, and a list with all after it only if the sum of their
+and clusters are cut into blocks of BLOCK documents at most. With each block its summary is stored: the largest impact of each coordinate in
+any of its documents. Coordinates are the terms as common as the list's own or more so, since a document of the list that holds a rarer term of an item
+stands in that term's list too, where its bound covers them all. The index is a table, a row for each segment's documents and one for each of its lists.
+
+`Index.search` takes items whose terms are in the vocabulary. In each segment an item's lists are gone through, the rarest term first. A summary times the item's weights is an exact
+upper bound of what the block's documents can score beyond lists already done. A block is skipped only if its bound is below the item's k-th best score so far, and a list with all after it only if the sum of their
 largest impacts is; documents of other blocks are scored in full. So the result is that of scoring every document.
 
-Every task hands on k documents of each item; those are ranked. Items are taken in rounds of ITEMS rows or ITEM_CHARS
-characters, whose terms go to the tasks; each round passes over all documents, so neither terms nor scores of all items are ever in one place.
+Every segment hands on k documents of each item; those are ranked. `search` indexes the items' own terms, in rounds of ITEMS rows or ITEM_CHARS
+characters; each round passes over all documents, so neither terms nor scores of all items are ever in one place.
 
 Nulls, ties and the like: a null or empty text has no terms and is not among the N documents; an item without terms that some
 document holds has no rows; repeated items are ranked each for itself, and null ids of items are kept; documents of equal score stand by id,
@@ -27,10 +28,13 @@ empty tables give an empty result. Only doc_id, item_id and the texts are read,
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +48,10 @@ BLOCK, SKETCH = 128, 32
 PIECE = 1 << 20
 FORWARD = "doc_id long, n long, terms array<int>, times array<int>"
 FOUND = "item long, doc_id long, score long"
+#: A segment's documents (term -1): ids, sizes, terms, impacts; or one of its lists: what List has. Numbers as bytes, ids of 64 bits and all else of 32.
+INDEX = "segment long, term int, a binary, b binary, c binary, d binary, e binary"
+#: Coordinates of lists in one Arrow batch.
+STORED = 1 << 20
 #: Bytes as terms have them: A-Z in lower case, and a space for all of ASCII that is in no term.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -98,59 +106,50 @@ def _joined(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class Segment:
-    """Documents of one segment with their impacts by row, posting lists by term, and blocks of the lists that were asked for.
+    """Documents of one segment with their impacts by row, and their posting lists.
 
     Terms are numbered by rarity, and stand in that order in each row, so what a row has from a term on is one range.
     """
 
-    def __init__(self, ids: np.ndarray, sizes: np.ndarray, terms: np.ndarray, impacts: np.ndarray, weights: np.ndarray, together: dict[int, np.ndarray]):
-        self.ids, self.sizes, self.terms, self.impacts, self.weights, self.together = ids, sizes, terms, impacts, weights, together
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, terms: np.ndarray, impacts: np.ndarray, weights: np.ndarray):
+        self.ids, self.sizes, self.terms, self.impacts, self.weights = ids, sizes, terms, impacts, weights
         self.starts = np.cumsum(sizes) - sizes
-        self.ends = self.starts + sizes
-        self.by_term = np.argsort(terms, kind="stable")
-        self.lists = np.searchsorted(terms[self.by_term], np.arange(len(weights) + 1))
-        self.row = np.repeat(np.arange(len(sizes)), sizes)
         self.largest = np.zeros(len(weights), np.int64)
         np.maximum.at(self.largest, terms, impacts)
-        self._sketches: np.ndarray | None = None
-        self._blocks: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
     def sketches(self) -> np.ndarray:
         """A few random projections of each document's weighted terms, of length 1."""
-        if self._sketches is None:
-            signs = np.random.default_rng(12).choice(np.array([-1, 1], np.float32), (len(self.weights), SKETCH))
-            out = np.empty((len(self.sizes), SKETCH), np.float32)
-            for a in range(0, len(out), 1024):
-                s, e = self.starts[a], self.ends[min(a + 1024, len(out)) - 1]
-                t = self.terms[s:e]
-                out[a : a + 1024] = np.add.reduceat(signs[t] * (self.impacts[s:e] * self.weights[t]).astype(np.float32)[:, None], self.starts[a : a + 1024] - s)
-            self._sketches = out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
-        return self._sketches
-
-    def blocks(self, term: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of a term's list: its documents, block by block; where each block begins; summaries, a row for each block and a column for each of together[term]."""
-        if term not in self._blocks:
-            at = self.by_term[self.lists[term] : self.lists[term + 1]]
-            rows = self.row[at]
-            cluster = np.zeros(len(rows), np.int64)
+        signs, ends = np.random.default_rng(12).choice(np.array([-1, 1], np.float32), (len(self.weights), SKETCH)), self.starts + self.sizes
+        out = np.empty((len(self.sizes), SKETCH), np.float32)
+        for a in range(0, len(out), 1024):
+            s, e = self.starts[a], ends[min(a + 1024, len(out)) - 1]
+            t = self.terms[s:e]
+            out[a : a + 1024] = np.add.reduceat(signs[t] * (self.impacts[s:e] * self.weights[t]).astype(np.float32)[:, None], self.starts[a : a + 1024] - s)
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+    def lists(self) -> Iterator[tuple[int, List]]:
+        """Every term's list in blocks, with summaries."""
+        order = np.argsort(self.terms, kind="stable")
+        edges = np.searchsorted(self.terms[order], np.arange(len(self.weights) + 1))
+        row, ends, sketches = np.repeat(np.arange(len(self.sizes)), self.sizes), self.starts + self.sizes, self.sketches()
+        for term in np.flatnonzero(np.diff(edges)).tolist():
+            at = order[edges[term] : edges[term + 1]]
+            rows = row[at]
             if len(rows) > BLOCK:
-                near = self.sketches()[rows] @ self.sketches()[rows[:: BLOCK]].T
-                cluster = np.argmax(near, axis=1)
-            order = np.argsort(cluster, kind="stable")
-            rows, at, cluster = rows[order], at[order], cluster[order]
-            first = np.searchsorted(cluster, cluster)
-            begins = np.flatnonzero((np.arange(len(rows)) - first) % BLOCK == 0)
-            column = np.full(len(self.weights), -1)
-            column[self.together[term]] = np.arange(len(self.together[term]))
-            sizes = self.ends[rows] - at
+                cluster = np.argmax(sketches[rows] @ sketches[rows[::BLOCK]].T, axis=1)
+                by = np.argsort(cluster, kind="stable")
+                rows, at, cluster = rows[by], at[by], cluster[by]
+                begins = np.flatnonzero((np.arange(len(rows)) - np.searchsorted(cluster, cluster)) % BLOCK == 0)
+            else:
+                begins = np.zeros(1, np.int64)
+            sizes = ends[rows] - at
             entries = _joined(at, sizes)
-            block = np.repeat(np.cumsum(np.isin(np.arange(len(rows)), begins)) - 1, sizes)
-            to = column[self.terms[entries]]
-            known = to >= 0
-            summary = np.zeros((len(begins), len(self.together[term])), np.int32)
-            np.maximum.at(summary.reshape(-1), block[known] * summary.shape[1] + to[known], self.impacts[entries[known]].astype(np.int32))
-            self._blocks[term] = rows, begins, summary
-        return self._blocks[term]
+            block = np.repeat(np.searchsorted(begins, np.arange(len(rows)), "right") - 1, sizes)
+            width = len(self.weights) - term
+            summary = np.zeros(len(begins) * width, np.int32)
+            np.maximum.at(summary, block * width + self.terms[entries] - term, self.impacts[entries].astype(np.int32))
+            found = np.flatnonzero(summary)
+            yield term, List(rows, begins, np.searchsorted(found, np.arange(len(begins)) * width), found % width + term, summary[found])
 
     def scores(self, rows: np.ndarray, asked: np.ndarray) -> np.ndarray:
         """Full scores of documents; asked: the item's weight of every term, 0 for those that it has not."""
@@ -159,6 +158,20 @@ class Segment:
         return np.add.reduceat(asked[self.terms[entries]] * self.impacts[entries], np.cumsum(sizes) - sizes)
 
 
+class List(NamedTuple):
+    """A posting list: documents, block by block; where blocks begin; where their summaries begin, and these as coordinates and largest impacts."""
+
+    rows: np.ndarray
+    begins: np.ndarray
+    summaries: np.ndarray
+    coordinates: np.ndarray
+    largest: np.ndarray
+
+    def bounds(self, asked: np.ndarray) -> np.ndarray:
+        """What each block's documents can score at most, of the terms asked for. Every block has its own term for a coordinate."""
+        return np.add.reduceat(asked[self.coordinates] * self.largest, self.summaries)
+
+
 class Best:
     """The k best documents of an item so far: score first, then the smaller id (the largest number stands for none)."""
 
@@ -176,26 +189,24 @@ class Best:
         self.scores, self.ids = scores[order], ids[order]
 
 
-def search_segment(segment: Segment, terms: np.ndarray, best: Best) -> int:
+def search_segment(segment: Segment, lists: dict[int, List], terms: np.ndarray, best: Best) -> int:
     """Adds the segment's documents that may be among the item's best; terms: the item's, rarest first. How many were scored."""
     asked = np.zeros(len(segment.weights), np.int64)
     asked[terms] = segment.weights[terms]
     rest = np.cumsum((asked[terms] * segment.largest[terms])[::-1])[::-1]
     seen, scored = np.zeros(len(segment.ids), bool), 0
-    for i, term in enumerate(terms):
+    for i, term in enumerate(terms.tolist()):
         if rest[i] < best.least():
             break  # no document without a rarer term can matter
-        if segment.lists[term] == segment.lists[term + 1]:
+        if term not in lists:
             continue
-        rows, begins, summary = segment.blocks(term)
-        later = terms[i:]
-        bounds = summary[:, np.searchsorted(segment.together[term], later)].astype(np.int64) @ asked[later]
-        ends = np.append(begins[1:], len(rows))
+        own = lists[term]
+        bounds, ends = own.bounds(asked), np.append(own.begins[1:], len(own.rows))
         order, done, step = np.argsort(-bounds, kind="stable"), 0, 1
         while done < len(order) and bounds[order[done]] >= best.least():
             take = order[done : done + step]
             take = take[bounds[take] >= best.least()]
-            docs = rows[_joined(begins[take], ends[take] - begins[take])]
+            docs = own.rows[_joined(own.begins[take], ends[take] - own.begins[take])]
             docs = docs[~seen[docs]]
             if len(docs):
                 seen[docs] = True
@@ -205,8 +216,8 @@ def search_segment(segment: Segment, terms: np.ndarray, best: Best) -> int:
     return scored
 
 
-def _segments(batches: Iterator[pa.RecordBatch], rank: np.ndarray, weights: np.ndarray, together: dict[int, np.ndarray], documents: int, total: int) -> Iterator[Segment]:
-    """The forward table's rows in segments, with impacts; documents without a term of any item are passed over."""
+def _segments(batches: Iterator[pa.RecordBatch], rank: np.ndarray, weights: np.ndarray, documents: int, total: int) -> Iterator[Segment]:
+    """The forward table's rows in segments, with impacts; documents without a term of the vocabulary are passed over."""
 
     def made(parts: list[tuple]) -> Segment:
         ids, n, sizes, terms, times = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -216,7 +227,7 @@ def _segments(batches: Iterator[pa.RecordBatch], rank: np.ndarray, weights: np.n
         impacts = (1_000_000_000 * times) // (1000 * times + 8 * m[row])
         terms = rank[terms]
         order = np.lexsort((terms, row))
-        return Segment(ids, sizes, terms[order], impacts[order], weights, together)
+        return Segment(ids, sizes, terms[order], impacts[order], weights)
 
     parts: list[tuple] = []
     docs = postings = 0
@@ -246,40 +257,89 @@ def _segments(batches: Iterator[pa.RecordBatch], rank: np.ndarray, weights: np.n
         yield made(parts)
 
 
-def _round(docs: DataFrame, items: list[tuple[int, bytes]], k: int) -> DataFrame:
-    """FOUND of one round of items (number, text in UTF-8): k documents of each item and task at most."""
-    vocabulary: dict[bytes, int] = {}
-    asked = []
-    for item, text in items:
-        own = {t for piece in words(text) for t in piece}
-        asked.append((item, np.array([vocabulary.setdefault(t, len(vocabulary)) for t in sorted(own)], np.int64)))
+def _stored(number: int, segment: Segment) -> Iterator[pa.RecordBatch]:
+    """INDEX's rows of a segment: its documents (term -1), and its lists, some to a batch."""
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True))
+        numbers = [pa.array([number] * len(rows), pa.int64()), pa.array(columns[0], pa.int32())]
+        return pa.RecordBatch.from_arrays([*numbers, *(pa.array([x.tobytes() for x in c], pa.binary()) for c in columns[1:])], ["segment", "term", "a", "b", "c", "d", "e"])
+
+    i32 = lambda x: x.astype(np.int32)
+    yield batch([(-1, segment.ids, i32(segment.sizes), i32(segment.terms), i32(segment.impacts), np.zeros(0, np.int32))])
+    rows, held = [], 0
+    for term, own in segment.lists():
+        rows.append((term, *map(i32, own)))
+        held += len(own.coordinates)
+        if held > STORED:
+            yield batch(rows)
+            rows, held = [], 0
+    if rows:
+        yield batch(rows)
+
+
+def _read(group: pa.Table, weights: np.ndarray) -> tuple[Segment, dict[int, List]]:
+    segment, lists = None, {}
+    for i, term in enumerate(group.column("term").to_pylist()):
+        ints = [np.frombuffer(group.column(c)[i].as_py(), np.int32).astype(np.int64) for c in "bcde"]
+        if term < 0:
+            segment = Segment(np.frombuffer(group.column("a")[i].as_py(), np.int64), *ints[:3], weights)
+        else:
+            lists[term] = List(np.frombuffer(group.column("a")[i].as_py(), np.int32).astype(np.int64), *ints)
+    return segment, lists
+
+
+@dataclass(frozen=True)
+class Index:
+    """A table of INDEX, the vocabulary with each term's number (by rarity), and the terms' weights by number."""
+
+    table: DataFrame
+    vocabulary: dict[bytes, int]
+    weights: np.ndarray
+
+    def search(self, items: list[tuple[int, bytes]], k: int = TOP) -> DataFrame:
+        """FOUND: k documents of each item (number, text in UTF-8) and segment at most. The items come as a list, for they go to every task; see search() for tables."""
+        asked = []
+        for item, text in items:
+            own = {t for piece in words(text) for t in piece}
+            if not own <= self.vocabulary.keys():
+                raise ValueError(f"item {item} has terms that the index was not built for")
+            asked.append((item, np.array(sorted(self.vocabulary[t] for t in own), np.int64)))
+        weights = self.weights
+
+        def run(group: pa.Table) -> pa.Table:
+            segment, lists = _read(group, weights)
+            none, out = np.iinfo(np.int64).max, []
+            for item, terms in asked:
+                best = Best(k)
+                search_segment(segment, lists, terms, best)
+                out.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(best.ids), item)), pa.array(best.ids, pa.int64(), mask=best.ids == none), pa.array(best.scores, pa.int64())], ["item", "doc_id", "score"]))
+            return pa.Table.from_batches(out, pa.schema([("item", pa.int64()), ("doc_id", pa.int64()), ("score", pa.int64())]))
+
+        return self.table.groupBy("segment").applyInArrow(run, FOUND)
+
+
+def build(docs: DataFrame, terms: Iterable[bytes]) -> Index:
+    """An index of all docs (doc_id, text) for a vocabulary, which goes to every task."""
+    vocabulary = {t: i for i, t in enumerate(sorted(set(terms)))}
     table = materialize(forward(docs, vocabulary), "forward")
     documents, total = table.agg(F.count("*"), F.sum("n")).first()
     holding = np.zeros(len(vocabulary), np.int64)
-    for term, n in table.select(F.explode("terms").alias("term")).groupBy("term").count().collect():  # as many rows as the round has terms
+    for term, n in table.select(F.explode("terms").alias("term")).groupBy("term").count().collect():  # as many rows as the vocabulary has terms
         holding[term] = n
     order = np.argsort(holding, kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     weights = np.array([weight(documents, int(holding[t])) for t in order], np.int64)
-    ranked = [(item, np.sort(rank[terms])) for item, terms in asked]
-    sets: dict[int, set[int]] = {}
-    for _, terms in ranked:
-        for i, t in enumerate(terms.tolist()):
-            sets.setdefault(t, set()).update(terms[i:].tolist())
-    together = {t: np.array(sorted(s), np.int64) for t, s in sets.items()}
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = {item: Best(k) for item, _ in ranked}
-        for segment in _segments(batches, rank, weights, together, documents, total):
-            for item, terms in ranked:
-                search_segment(segment, terms, best[item])
-        none = np.iinfo(np.int64).max
-        for item, b in best.items():
-            if len(b.ids):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b.ids), item)), pa.array(b.ids, pa.int64(), mask=b.ids == none), pa.array(b.scores, pa.int64())], ["item", "doc_id", "score"])
-
-    return table.mapInArrow(search, FOUND)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Numbers of segments are those of their partition and their place in it, so a task that is run again gives the same.
+        first = TaskContext.get().partitionId() << 32
+        for nth, segment in enumerate(_segments(batches, rank, weights, documents, total)):
+            yield from _stored(first + nth, segment)
+
+    stored = materialize(table.mapInArrow(cut, INDEX), "blocks", compression="zstd")
+    return Index(stored, {t: int(rank[i]) for t, i in vocabulary.items()}, weights)
 
 
 def search(docs: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
@@ -292,7 +352,9 @@ def search(docs: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
     for r in range(rounds if count else 0):
         own = items.where(F.pmod(F.xxhash64("item"), F.lit(rounds)) == r).select("item", F.encode("text", "UTF-8").alias("text")).collect()
         if own:
-            found = found.unionByName(_round(docs, [(x.item, bytes(x.text)) for x in own], k))
+            asked = [(x.item, bytes(x.text)) for x in own]
+            index = build(docs, {t for _, text in asked for piece in words(text) for t in piece})
+            found = found.unionByName(index.search(asked, k))
     order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.join(items.select("item", "item_id"), "item").select("item_id", "rank", "doc_id", "score")

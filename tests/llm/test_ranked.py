@@ -85,24 +85,24 @@ def test_against_scoring_all(spark, monkeypatch, block, segment, piece):
     rank = np.argsort(order)
     weights = np.array([ranked.weight(len(rows), df[t]) for t in order], np.int64)
     own = [np.sort(rank[a]) for a in asked]
-    sets: dict = {}
-    for a in own:
-        for i, t in enumerate(a.tolist()):
-            sets.setdefault(t, set()).update(a[i:].tolist())
-    together = {t: np.array(sorted(s)) for t, s in sets.items()}
     best, scored = [ranked.Best(10) for _ in items], 0
-    for s in ranked._segments(iter(batches), rank, weights, together, len(rows), sum(r["n"] for r in rows)):
+    for number, s in enumerate(ranked._segments(iter(batches), rank, weights, len(rows), sum(r["n"] for r in rows))):
         assert len(s.ids) <= segment
+        back, lists = ranked._read(pa.Table.from_batches(ranked._stored(number, s)), weights)
+        assert all((getattr(back, n) == getattr(s, n)).all() for n in ("ids", "sizes", "terms", "impacts", "largest"))
         for a, b in zip(own, best, strict=True):
-            scored += ranked.search_segment(s, a, b)
+            scored += ranked.search_segment(back, lists, a, b)
         # Summaries are the largest impacts of each block, whose documents are the list's, each once.
-        for t in list(s._blocks)[:20]:
-            docs_, begins, summary = s.blocks(t)
-            assert sorted(docs_) == sorted(set(s.row[s.terms == t]))
-            for b, (x, y) in enumerate(zip(begins, [*begins[1:], len(docs_)], strict=True)):
+        row = np.repeat(np.arange(len(s.ids)), s.sizes)
+        assert sorted(lists) == sorted(set(s.terms.tolist()))
+        for t in sorted(lists)[::5]:
+            one = lists[t]
+            assert sorted(one.rows) == sorted(row[s.terms == t])
+            for b, (x, y) in enumerate(zip(one.begins, [*one.begins[1:], len(one.rows)], strict=True)):
                 assert 0 < y - x <= block
-                for j, u in enumerate(together[t]):
-                    assert summary[b, j] == max((int(s.impacts[s.starts[r] : s.ends[r]][s.terms[s.starts[r] : s.ends[r]] == u].sum()) for r in docs_[x:y]), default=0)
+                inside = np.isin(row, one.rows[x:y]) & (s.terms >= t)
+                stored = slice(one.summaries[b], [*one.summaries, len(one.coordinates)][b + 1])
+                assert dict(zip(one.coordinates[stored].tolist(), one.largest[stored].tolist(), strict=True)) == {u: int(s.impacts[inside & (s.terms == u)].max()) for u in set(s.terms[inside].tolist())}
     want = plain(docs, items)
     assert Counter((i, r, int(d), int(x)) for (i, _), b in zip(items, best, strict=True) for r, (d, x) in enumerate(zip(b.ids, b.scores, strict=True), 1)) == want
     assert scored < 0.9 * sum(sum(1 for r in rows if set(r["terms"]) & set(a.tolist())) for a in asked)  # blocks are skipped
@@ -122,3 +122,20 @@ def test_bounds_keep_ties_with_smaller_ids(spark):
     docs = [(i, "alpha beta") for i in range(400, 0, -1)] + [(None, "alpha beta")] * 3 + [(500, "gamma")]
     items = [("x", "alpha"), ("y", "beta gamma alpha alpha")]
     assert got(spark.createDataFrame(docs, "doc_id long, text string").repartition(7), spark.createDataFrame(items, "item_id string, text string")) == plain(docs, items)
+
+
+def test_an_index_serves_other_items(spark):
+    rng = np.random.default_rng(8)
+    docs = made(rng, 200)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    index = ranked.build(df, {t.encode() for _, x in docs for t in terms(x)})
+    known = sorted({t for _, x in docs for t in terms(x)})
+    for words in ([" ".join(known[:3]).replace("w", "W"), known[-1]], [docs[9][1]]):
+        items = list(enumerate(words))
+        found = sorted(tuple(r) for r in index.search([(i, w.encode()) for i, w in items]).collect())
+        want = plain(docs, items)
+        for i, _ in items:
+            best = sorted(((-s, d) for j, d, s in found if j == i))[:10]
+            assert Counter((i, r, d, -s) for r, (s, d) in enumerate(best, 1)) == Counter({k: n for k, n in want.items() if k[0] == i})
+    with pytest.raises(ValueError, match="not built for"):
+        index.search([(0, b"elsewhere")])
