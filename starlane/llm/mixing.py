@@ -70,11 +70,10 @@ def targets(sizes: DataFrame, share: float, cap: float, weights: tuple[int, ...]
 
 def _split_hot(queue: DataFrame) -> DataFrame:
     """queue with __cell as it sorts: (first digits, pieces between hot keys, part of a hot key). queue must be written, since its rows' numbers are used."""
-    counts = queue.groupBy("__key", "__cell").agg(F.count("*").alias("__n"))
-    most = F.greatest(F.sum("__n").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) / HOT_PARTS, F.lit(float(HOT_LEAST)))
-    # One row for each cell of each source; of those that are left no more than HOT_PARTS have so many rows, and no more keys inside them.
-    cells = F.broadcast(counts.withColumn("__most", most).where("__n > __most").drop("__n"))
-    orders = queue.join(cells, ["__key", "__cell"]).groupBy("__key", "__cell", "__order").agg(F.count("*").alias("__n"), F.max("__most").alias("__most")).where("__n > __most")
+    most = max(queue.count() / HOT_PARTS, HOT_LEAST)
+    # No more than HOT_PARTS cells, or keys inside of them, can have more rows than that.
+    cells = F.broadcast(queue.groupBy("__key", "__cell").agg(F.count("*").alias("__n")).where(F.col("__n") > most).drop("__n"))
+    orders = queue.join(cells, ["__key", "__cell"]).groupBy("__key", "__cell", "__order").agg(F.count("*").alias("__n")).where(F.col("__n") > most)
     hot = F.broadcast(orders.groupBy("__key", "__cell").agg(F.collect_list("__order").alias("__hot")))
     rows = queue.join(hot, ["__key", "__cell"], "left")
     own = F.coalesce(F.array_contains("__hot", F.col("__order")), F.lit(False))
