@@ -278,15 +278,32 @@ def _stored(number: int, segment: Segment) -> Iterator[pa.RecordBatch]:
         yield batch(rows)
 
 
-def _read(group: pa.Table, weights: np.ndarray) -> tuple[Segment, dict[int, List]]:
-    segment, lists = None, {}
-    for i, term in enumerate(group.column("term").to_pylist()):
-        ints = [np.frombuffer(group.column(c)[i].as_py(), np.int32).astype(np.int64) for c in "bcde"]
-        if term < 0:
-            segment = Segment(np.frombuffer(group.column("a")[i].as_py(), np.int64), *ints[:3], weights)
-        else:
-            lists[term] = List(np.frombuffer(group.column("a")[i].as_py(), np.int32).astype(np.int64), *ints)
-    return segment, lists
+class _Lists(dict):
+    """A segment's lists, each taken from the group's buffers (without a copy) when it is first asked for: most are never reached."""
+
+    def __init__(self, group: pa.Table):
+        super().__init__()
+        self.group, self.at = group, {t: i for i, t in enumerate(group.column("term").to_pylist()) if t >= 0}
+
+    def ints(self, i: int, column: str, kind: type = np.int32) -> np.ndarray:
+        return np.frombuffer(self.group.column(column)[i].as_buffer(), kind)
+
+    def __contains__(self, term: object) -> bool:
+        return term in self.at
+
+    def __iter__(self) -> Iterator[int]:
+        return iter(self.at)
+
+    def __missing__(self, term: int) -> List:
+        i = self.at[term]
+        self[term] = List(*(self.ints(i, c) for c in "abcde"))
+        return self[term]
+
+
+def _read(group: pa.Table, weights: np.ndarray) -> tuple[Segment, _Lists]:
+    lists = _Lists(group)
+    i = group.column("term").to_pylist().index(-1)
+    return Segment(lists.ints(i, "a", np.int64), *(lists.ints(i, c).astype(np.int64) for c in "bcd"), weights), lists
 
 
 @dataclass(frozen=True)
