@@ -82,7 +82,8 @@ def modes(t: Tables, mode: str) -> DataFrame:
         return features(t)
     if mode == "degree":
         return known(t).select("node", *(F.expr(_MODES[k]).alias(k) for k in ("degree_out", "degree_in")))
-    rows = known(t).select("node", *(F.expr(x).alias(k) for k, x in _MODES.items()))
+    # Read twice, so the lines are counted once.
+    rows = graph.saved(known(t).select("node", *(F.expr(x).alias(k) for k, x in _MODES.items())))
     s = rows.agg(*(f(k).alias(f"{k}_{n}") for k in _MODES for n, f in (("m", F.avg), ("s", F.stddev_samp))))
     return rows.crossJoin(F.broadcast(s)).select("node", *(((F.col(k) - F.col(f"{k}_m")) / (F.coalesce(f"{k}_s", F.lit(0.0)) + 1e-8)).alias(k) for k in _MODES))
 

@@ -36,3 +36,9 @@ def test_counts_of_odd_lines_without_copies_of_them(spark, odd):
     for node, r in want.items():
         assert {k: got[node][k] for k in r.asDict()} == r.asDict()
     assert got[None]["posts"] == 2 and got[8]["followers"] == got[8]["active_days"] == got[8]["follows"] == 0 and got[8]["last_day"] is None
+
+
+def test_scaling_goes_through_lines_once(spark, odd):
+    rows = models.stable_features(odd)
+    assert "l_partkey" not in _plan(rows)
+    assert {r.node for r in rows.collect()} == {None, 7, 8, 9}
