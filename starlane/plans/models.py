@@ -143,7 +143,8 @@ def hard_negative_sample(t: Tables) -> DataFrame:
 @query("gm26_boosted_trees")
 def boosted_trees(t: Tables) -> DataFrame:
     """Boosted trees over the 24 columns, split by date and by chance: fitted on what either split knows, with scores of the rest. Not reproducible in SQL."""
-    rows = features(t).join(labelled(t).select("node", F.col("bad").cast("int").alias("bad"), "late"), "node")
+    late = (F.col("first_labeled") >= F.lit(CUTOFF).cast("date")).alias("late")
+    rows = graph.saved(features(t).join(t.node_labels.select("node", F.col("bad").cast("int").alias("bad"), late), "node"))
     u = uniform(F.col("node"))
     # Positives by date, negatives by chance in both splits.
     splits = {"temporal": F.when(F.col("bad") == 1, F.col("late")).otherwise(u >= 0.7), "random": u >= 0.7}

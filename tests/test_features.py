@@ -42,3 +42,13 @@ def test_scaling_goes_through_lines_once(spark, odd):
     rows = models.stable_features(odd)
     assert "l_partkey" not in _plan(rows)
     assert {r.node for r in rows.collect()} == {None, 7, 8, 9}
+
+
+def test_trees_go_through_lines_once(spark, sf_dir, monkeypatch):
+    seen = []
+    known = models.known
+    monkeypatch.setattr(models, "known", lambda *a, **b: seen.append("known") or known(*a, **b))
+    monkeypatch.setattr(models.learn, "boosted_trees", lambda rows, rest, *a: seen.append("l_partkey" in _plan(rows)) or rest.withColumn("probability", F.lit(0.5)))
+    rows = models.boosted_trees(Tables(spark, sf_dir))
+    assert seen == ["known", False, False]
+    assert {r.split for r in rows.select("split").distinct().collect()} == {"temporal", "random"}
