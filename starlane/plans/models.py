@@ -31,11 +31,12 @@ _COUNTED = {
 }
 
 
-def known(t: Tables) -> DataFrame:
-    """A row for each node, the null one too. Lines go to their node once, as keys, a day and bits; the first of equal values is found there by sorting, so no line is copied for a distinct count."""
+def known(t: Tables, of: DataFrame | None = None) -> DataFrame:
+    """A row for each node, the null one too, or for each with lines that `of` names. Others' lines go before anything is moved. Lines go to their node once, as keys, a day and bits; the first of equal values is found there by sorting, so no line is copied for a distinct count."""
     since = lambda d: F.datediff(d, F.lit("1995-01-01").cast("date")).cast("long")
     marks = reduce(lambda a, b: a.bitwiseOR(b), (F.shiftleft(flag(F.expr(c)), i) for i, c in enumerate(_COUNTED.values())))
-    lines = t.lineitem.select(F.col("l_partkey").alias("node"), "l_suppkey", "l_orderkey", F.to_date("l_shipdate").alias("day"), marks.alias("marks")).repartition("node")
+    lines = t.lineitem.select(F.col("l_partkey").alias("node"), "l_suppkey", "l_orderkey", F.to_date("l_shipdate").alias("day"), marks.alias("marks"))
+    lines = (lines if of is None else lines.join(of.select("node"), "node", "left_semi")).repartition("node")
     distinct = {"follows": "l_suppkey", "followers": "l_orderkey", "active_days": "day"}
     for name, c in distinct.items():
         lines = lines.withColumn(name, flag(F.col(c).isNotNull() & (F.row_number().over(Window.partitionBy("node", c).orderBy(c)) == 1)))
@@ -62,8 +63,8 @@ def _feature(text: str, end: str | int | None) -> str:
     return f"coalesce({x}, 0)"
 
 
-def features(t: Tables) -> DataFrame:
-    return known(t).select("node", *(F.expr(_feature(*how)).cast("double").alias(name) for name, how in FEATURES.items()))
+def features(t: Tables, of: DataFrame | None = None) -> DataFrame:
+    return known(t, of).select("node", *(F.expr(_feature(*how)).cast("double").alias(name) for name, how in FEATURES.items()))
 
 
 @query("gm08b_all_features", f"WITH k AS ({_KNOWN}) SELECT node, " + ", ".join(f"{r.rnd(_feature(*how), 6)} AS {name}" for name, how in FEATURES.items()) + " FROM k")
@@ -104,7 +105,7 @@ _BIN = f"CAST(least(floor((X - min(X) OVER ()) / (max(X) OVER () - min(X) OVER (
 
 
 def labelled(t: Tables) -> DataFrame:
-    rows = known(t).join(t.node_labels, "node")
+    rows = known(t, t.node_labels).join(t.node_labels, "node")
     return rows.withColumns({"late": F.col("first_labeled") >= F.lit(CUTOFF).cast("date"), "lo": F.log1p("follows"), "li": F.log1p("followers")})
 
 
@@ -144,7 +145,7 @@ def hard_negative_sample(t: Tables) -> DataFrame:
 def boosted_trees(t: Tables) -> DataFrame:
     """Boosted trees over the 24 columns, split by date and by chance: fitted on what either split knows, with scores of the rest. Not reproducible in SQL."""
     late = (F.col("first_labeled") >= F.lit(CUTOFF).cast("date")).alias("late")
-    rows = graph.saved(features(t).join(t.node_labels.select("node", F.col("bad").cast("int").alias("bad"), late), "node"))
+    rows = graph.saved(features(t, t.node_labels).join(t.node_labels.select("node", F.col("bad").cast("int").alias("bad"), late), "node"))
     u = uniform(F.col("node"))
     # Positives by date, negatives by chance in both splits.
     splits = {"temporal": F.when(F.col("bad") == 1, F.col("late")).otherwise(u >= 0.7), "random": u >= 0.7}
@@ -161,13 +162,17 @@ def saved_models(t: Tables) -> DataFrame:
     """A probe and boosted trees as artefacts: fitted, saved, loaded again; nodes whose scores are the same before and after."""
     path, bad = shared_folder(t.spark), F.col("bad").cast("int").alias("bad")
     labels = t.node_labels.select("node", bad)
-    probe, trees = graph.saved(t.vectors.join(labels, "node")), graph.saved(features(t).join(labels, "node"))
-    models = {"probe": (learn.fitted_probe(probe, "embedding", "bad"), learn.vectors(probe, "embedding")), "trees": (learn.fitted_trees(trees, list(FEATURES), "bad", rounds=5), trees)}
+    probe, trees = graph.saved(t.vectors.join(labels, "node")), graph.saved(features(t, labels).join(labels, "node"))
+    models = {
+        "probe": (learn.fitted_probe(probe, "embedding", "bad"), probe, lambda m, rows: learn.scored(m, learn.vectors(rows, "embedding"))),
+        "trees": (learn.fitted_trees(trees, list(FEATURES), "bad", rounds=5), trees, learn.scored),
+    }
     out = None
-    for name, (model, ready) in models.items():
+    for name, (model, rows, score) in models.items():
         learn.save_model(model, f"{path}/{name}")
-        before, after = (learn.scored(m, ready).select("node", "probability") for m in (model, learn.load_model(f"{path}/{name}")))
-        same = before.join(after.withColumnRenamed("probability", "again"), "node").groupBy(F.lit(name).alias("model")).agg(F.count("*").alias("nodes"), F.sum(flag(F.col("probability") == F.col("again"))).alias("agreeing"))
+        # Both scores stand in one row, so rows are neither moved nor matched, and repeated nodes count as often as they are there.
+        both = score(learn.load_model(f"{path}/{name}"), score(model, rows).withColumnRenamed("probability", "before"))
+        same = both.groupBy(F.lit(name).alias("model")).agg(F.count("*").alias("nodes"), F.sum(flag(F.col("before") == F.col("probability"))).alias("agreeing"))
         out = same if out is None else out.unionByName(same)
     return out
 

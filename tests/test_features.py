@@ -52,3 +52,30 @@ def test_trees_go_through_lines_once(spark, sf_dir, monkeypatch):
     rows = models.boosted_trees(Tables(spark, sf_dir))
     assert seen == ["known", False, False]
     assert {r.split for r in rows.select("split").distinct().collect()} == {"temporal", "random"}
+
+
+def test_lines_of_other_nodes_are_dropped_before_they_move(spark, odd):
+    of = spark.createDataFrame([(7, 1), (7, 2), (None, 3), (99, 4)], "node long, x int")
+    got = models.known(odd, of)
+    plan = _plan(got)
+    assert 0 <= plan.index("RepartitionByExpression") < plan.index("LeftSemi")
+    assert got.collect() == models.known(odd).where("node = 7").collect()
+
+
+def test_models_are_saved_from_lines_of_labelled_nodes(spark, sf_dir, tmp_path, monkeypatch):
+    """Nodes that are labelled twice count twice, as in SQL."""
+    for name in ("lineitem", "embeddings"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    labels.union(labels.where("doc_id % 3 = 0")).write.parquet(f"{tmp_path}/labels.parquet")
+    plans, saved = [], models.graph.saved
+    monkeypatch.setattr(models.graph, "saved", lambda df: plans.append(_plan(df)) or saved(df))
+    t = Tables(spark, str(tmp_path))
+    got = models.saved_models(t)
+    (lines,) = [p for p in plans if "l_partkey" in p]
+    assert 0 <= lines.index("RepartitionByExpression") < lines.index("LeftSemi")
+    # Scores are compared in the row, not by a join.
+    assert "Join" not in _plan(got)
+    want = {"probe": t.vectors.join(t.node_labels, "node").count(), "trees": t.lineitem.select(F.col("l_partkey").alias("node")).distinct().join(t.node_labels, "node").count()}
+    assert {r.model: (r.nodes, r.agreeing) for r in got.collect()} == {k: (n, n) for k, n in want.items()}
+    assert all(n > 0 for n in want.values())
